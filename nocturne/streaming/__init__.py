@@ -1,0 +1,5 @@
+"""No streaming operators are defined.
+
+The projections of ``nocturne.functions`` (label maps, token parsing, grid
+alignment) are stateless, so they also run on a ``readStream`` frame unchanged.
+"""
