@@ -22,48 +22,51 @@ def cut_epoch(signal: Column, fs: Column, start_sec: Column, end_sec: Column, n:
     return F.concat(part, F.array_repeat(last, pad))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def mean(xs: Column) -> Column:
-    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(xs), F.lit(0))
+    return let(xs, lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(x), F.lit(0)))
+
+
+def _moments(x: Column, mu: Column) -> Column:
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"))
+    n = F.nullif(F.size(x), F.lit(0))
+
+    def add(s, d):
+        return F.struct((s["a"] + d * d).alias("a"), (s["b"] + d * d * d).alias("b"), (s["c"] + d * d * d * d).alias("c"))
+
+    def finish(s):
+        return F.struct(F.size(x).cast("double").alias("n"), mu.alias("mu"), (s["a"] / n).alias("m2"), (s["b"] / n).alias("m3"), (s["c"] / n).alias("m4"))
+
+    return F.aggregate(F.transform(x, lambda v: v - mu), zero, add, finish)
 
 
 def moments(xs: Column) -> Column:
     """Struct (n, mu, m2, m3, m4): size, mean and central moments, in two passes."""
-    return F.transform(
-        F.array(mean(xs)),
-        lambda mu: F.aggregate(
-            xs,
-            F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c")),
-            lambda s, x: F.struct(
-                (s["a"] + (x - mu) * (x - mu)).alias("a"),
-                (s["b"] + (x - mu) * (x - mu) * (x - mu)).alias("b"),
-                (s["c"] + (x - mu) * (x - mu) * (x - mu) * (x - mu)).alias("c"),
-            ),
-            lambda s: F.struct(
-                F.size(xs).cast("double").alias("n"), mu.alias("mu"), (s["a"] / F.nullif(F.size(xs), F.lit(0))).alias("m2"),
-                (s["b"] / F.nullif(F.size(xs), F.lit(0))).alias("m3"), (s["c"] / F.nullif(F.size(xs), F.lit(0))).alias("m4"),
-            ),
-        ),
-    )[0]
+    return let(xs, lambda x: let(mean(x), lambda mu: _moments(x, mu)))
 
 
 def variance(xs: Column) -> Column:
     """Population variance."""
-    return F.transform(
-        F.array(mean(xs)),
-        lambda mu: F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - mu) * (x - mu)) / F.nullif(F.size(xs), F.lit(0)),
-    )[0]
+    return let(xs, lambda x: let(mean(x), lambda mu: F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mu) * (v - mu)) / F.nullif(F.size(x), F.lit(0))))
 
 
 def diff(xs: Column) -> Column:
     """First differences."""
-    rest = F.greatest(F.size(xs) - 1, F.lit(0))
-    return F.zip_with(F.slice(xs, F.lit(2), rest), F.slice(xs, F.lit(1), rest), lambda b, a: b - a)
+    return let(xs, lambda x: let(F.greatest(F.size(x) - 1, F.lit(0)), lambda n: F.zip_with(F.slice(x, F.lit(2), n), F.slice(x, F.lit(1), n), lambda b, a: b - a)))
 
 
 def normalize(xs: Column, floor: float = 1e-6) -> Column:
     """Centred samples, divided by the population deviation when it exceeds ``floor``."""
-    stats = F.array(F.struct(mean(xs).alias("mu"), F.sqrt(variance(xs)).alias("sd")))
-    return F.transform(stats, lambda s: F.transform(xs, lambda x: F.when(s["sd"] > floor, (x - s["mu"]) / s["sd"]).otherwise(x - s["mu"])))[0]
+
+    def scaled(x):
+        stats = F.struct(mean(x).alias("mu"), F.sqrt(variance(x)).alias("sd"))
+        return let(stats, lambda s: let(F.when(s["sd"] > floor, s["sd"]).otherwise(1.0), lambda d: F.transform(x, lambda v: (v - s["mu"]) / d)))
+
+    return let(xs, scaled)
 
 
 def uniform(*parts: Column) -> Column:
@@ -76,18 +79,18 @@ def gaussian(*parts: Column) -> Column:
     return F.sqrt(-2.0 * F.log(u)) * F.cos(2 * np.pi * v)
 
 
-def resample(signal: Column, orig_hz: float, target_hz: float) -> Column:
+def resample(signal: Column, orig_hz: float, target_hz: float, kind: str = "float") -> Column:
     """Fourier-domain resampling to round(n target/orig) samples; equal rates pass through."""
     if orig_hz <= 0 or target_hz <= 0:
         raise ValueError("sampling rates must be positive")
     if abs(orig_hz - target_hz) < 1e-6:
-        return signal.cast("array<float>")
+        return signal.cast(f"array<{kind}>")
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def run(batch: pd.Series) -> pd.Series:
         return batch.map(lambda x: None if x is None else _fourier_resample(np.asarray(x, dtype=float), orig_hz, target_hz))
 
-    return run(signal)
+    return run(signal).cast(f"array<{kind}>")
 
 
 def _fourier_resample(x: np.ndarray, orig_hz: float, target_hz: float) -> np.ndarray:
@@ -99,7 +102,7 @@ def _fourier_resample(x: np.ndarray, orig_hz: float, target_hz: float) -> np.nda
     kept[: low // 2 + 1] = spec[: low // 2 + 1]
     if low % 2 == 0 and m != n:  # the shared Nyquist bin stands for two mirrored bins
         kept[low // 2] *= 2.0 if m < n else 0.5
-    return (np.fft.irfft(kept, m) * (m / n)).astype(np.float32)
+    return np.fft.irfft(kept, m) * (m / n)
 
 
 def drop_band(signal: Column, key: Column, fraction: float, prob: float, seed: int) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nocturne.functions import arrays
+from nocturne.functions.arrays import diff, let, variance
 
 # Frequency bands in Hz.
 BANDS = {"delta": (0.5, 4.0), "theta": (4.0, 8.0), "alpha": (8.0, 12.0), "beta": (12.0, 30.0)}
@@ -27,11 +28,13 @@ EPOCHS_PER_FFT = 256
 
 
 def crossings(xs: Column) -> Column:
-    """Share of neighbouring samples with different sign bits."""
-    rest = F.greatest(F.size(xs) - 1, F.lit(0))
-    negative = F.transform(xs, lambda x: x < 0)
-    flips = F.zip_with(F.slice(negative, F.lit(2), rest), F.slice(negative, F.lit(1), rest), lambda b, a: F.when(a != b, 1).otherwise(0))
-    return F.when(rest > 0, F.aggregate(flips, F.lit(0), lambda s, x: s + x) / rest).otherwise(0.0)
+    """Share of neighbouring samples with different signs, zero counting as positive."""
+
+    def rate(x, n):
+        flips = F.zip_with(F.slice(x, F.lit(2), n), F.slice(x, F.lit(1), n), lambda b, a: F.when((a < 0) != (b < 0), 1).otherwise(0))
+        return F.when(n > 0, F.aggregate(flips, F.lit(0), lambda s, v: s + v) / n).otherwise(0.0)
+
+    return let(xs, lambda x: let(F.greatest(F.size(x) - 1, F.lit(0)), lambda n: rate(x, n)))
 
 
 def segment_length(fs: float, n: int) -> int:
@@ -73,29 +76,41 @@ def bin_width(n: Column, fs: float) -> Column:
     return F.lit(fs) / F.least(F.lit(int(max(8, round(fs * 4.0)))), n)
 
 
+def _total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda s, v: s + v)
+
+
 def band_power(power: Column, step: Column, lo: float, hi: float) -> Column:
     """Trapezoid over the bins with lo <= f < hi; no bin or one bin gives 0."""
-    inside = F.filter(power, lambda p, i: (i * step >= lo) & (i * step < hi))
-    ends = (F.get(inside, F.lit(0)) + F.get(inside, F.size(inside) - 1)) / 2
-    total = F.aggregate(inside, F.lit(0.0), lambda s, p: s + p)
-    return F.when(F.size(inside) > 1, (total - ends) * step).otherwise(0.0)
+
+    def area(p):
+        ends = (p[0] + F.element_at(p, -1)) / 2
+        return F.when(F.size(p) > 1, (_total(p) - ends) * step).otherwise(0.0)
+
+    return let(F.filter(power, lambda p, i: (i * step >= lo) & (i * step < hi)), area)
 
 
 def spectral_entropy(power: Column) -> Column:
-    total = F.aggregate(power, F.lit(0.0), lambda s, p: s + p)
-    share = F.filter(F.transform(power, lambda p: p / F.nullif(total, F.lit(0.0))), lambda p: p > 0)
-    bits = F.aggregate(share, F.lit(0.0), lambda s, p: s - p * F.log2(p))
-    return F.when(F.size(share) > 1, bits / F.log2(F.size(share).cast("double"))).otherwise(0.0)
+    def bits(share):
+        total = F.aggregate(share, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+        return F.when(F.size(share) > 1, total / F.log2(F.size(share).cast("double"))).otherwise(0.0)
+
+    return let(F.nullif(_total(power), F.lit(0.0)), lambda t: let(F.filter(F.transform(power, lambda p: p / t), lambda p: p > 0), bits))
 
 
 def spectral_edge(power: Column, step: Column, quantile: float) -> Column:
     """First frequency at which the cumulative power share reaches the quantile."""
-    total = F.aggregate(power, F.lit(0.0), lambda s, p: s + p)
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("i"))
-    reached = lambda s: F.nullif(total, F.lit(0.0)) * quantile <= s["sum"]
-    walk = F.aggregate(power, start, lambda s, p: F.when(reached(s), s).otherwise(F.struct((s["sum"] + p).alias("sum"), (s["i"] + 1).alias("i"))))
-    at = F.greatest(walk["i"] - 1, F.lit(0))
-    return F.when(total > 0, at * step).otherwise(0.0)
+
+    def walk(goal):
+        return F.aggregate(
+            power,
+            start,
+            lambda s, p: F.when(s["sum"] >= goal, s).otherwise(F.struct((s["sum"] + p).alias("sum"), (s["i"] + 1).alias("i"))),
+            lambda s: F.greatest(s["i"] - 1, F.lit(0)) * step,
+        )
+
+    return let(_total(power), lambda t: F.when(t > 0, let(t * quantile, walk)).otherwise(0.0))
 
 
 def _sample_entropy(x: np.ndarray) -> float:
@@ -118,41 +133,53 @@ def sample_entropy(signal: Column) -> Column:
     return run(signal)
 
 
+def _thinned(xs: Column, points: int) -> Column:
+    """Every n-th sample so that at most ``points`` remain."""
+
+    def picked(x):
+        step = F.ceil(F.size(x) / points).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.size(x) - 1, step), lambda i: x[i])
+
+    return let(xs, lambda x: F.when(F.size(x) > points, picked(x)).otherwise(x))
+
+
 def permutation_entropy(xs: Column) -> Column:
     """Normalised entropy of the order patterns of three neighbouring samples, ties in time order."""
-    n = F.size(xs)
-    step = F.greatest(F.ceil(n / PERMUTATION_POINTS), F.lit(1)).cast("int")
-    thin = F.filter(xs, lambda _, i: i % step == 0)
-    k = F.greatest(F.size(thin) - (PERMUTATION_ORDER - 1), F.lit(0))
-    part = [F.slice(thin, F.lit(i + 1), k) for i in range(3)]
-    # Three comparisons identify the stable sort pattern of a triple.
-    ab = F.zip_with(part[0], part[1], lambda a, b: F.when(a <= b, 1).otherwise(0))
-    bc = F.zip_with(part[1], part[2], lambda b, c: F.when(b <= c, 2).otherwise(0))
-    ac = F.zip_with(part[0], part[2], lambda a, c: F.when(a <= c, 4).otherwise(0))
-    code = F.zip_with(F.zip_with(ab, bc, lambda a, b: a + b), ac, lambda a, b: a + b)
-    bits = F.lit(0.0)
-    # A pattern with a<=b, b<=c or their opposites fixes a<=c, so codes 3 and 4 cannot occur.
-    for c in (0, 1, 2, 5, 6, 7):
-        p = _share(code, k, c)
-        bits = bits + F.when(p > 0, -p * F.log2(p)).otherwise(0.0)
-    return F.when(k > 1, bits / math.log2(math.factorial(PERMUTATION_ORDER))).otherwise(0.0)
-
-
-def _share(code: Column, k: Column, value: int) -> Column:
-    return F.size(F.filter(code, lambda v: v == value)) / F.nullif(k, F.lit(0))
+
+    def codes(x, k):
+        # Three comparisons identify the stable sort pattern of a triple.
+        part = [F.slice(x, F.lit(i + 1), k) for i in range(3)]
+        ab = F.zip_with(part[0], part[1], lambda a, b: F.when(a <= b, 1).otherwise(0))
+        bc = F.zip_with(part[1], part[2], lambda b, c: F.when(b <= c, 2).otherwise(0))
+        ac = F.zip_with(part[0], part[2], lambda a, c: F.when(a <= c, 4).otherwise(0))
+        return F.zip_with(F.zip_with(ab, bc, lambda a, b: a + b), ac, lambda a, b: a + b)
+
+    def bits(code, k):
+        # a <= b <= c fixes a <= c, and likewise downwards, so codes 3 and 4 cannot occur.
+        share = F.transform(F.array(*[F.lit(c) for c in (0, 1, 2, 5, 6, 7)]), lambda c: F.size(F.filter(code, lambda v: v == c)) / k)
+        total = F.aggregate(share, F.lit(0.0), lambda s, p: s + F.when(p > 0, -p * F.log2(p)).otherwise(0.0))
+        return total / math.log2(math.factorial(PERMUTATION_ORDER))
+
+    def entropy(x):
+        triples = F.greatest(F.size(x) - (PERMUTATION_ORDER - 1), F.lit(0))
+        return let(triples, lambda k: F.when(k > 1, let(codes(x, k), lambda code: bits(code, k))).otherwise(0.0))
+
+    return let(_thinned(xs, PERMUTATION_POINTS), entropy)
 
 
 def hjorth(xs: Column) -> Column:
     """Struct (activity, mobility, complexity); degenerate cases give 0."""
-    v0, v1, v2 = arrays.variance(xs), arrays.variance(arrays.diff(xs)), arrays.variance(arrays.diff(arrays.diff(xs)))
-    stats = F.array(F.struct(v0.alias("a"), F.coalesce(v1, F.lit(0.0)).alias("b"), F.coalesce(v2, F.lit(0.0)).alias("c")))
 
     def build(s):
         mobility = F.when((s["a"] > 0) & (s["b"] > 0), F.sqrt(s["b"] / F.nullif(s["a"], F.lit(0.0)))).otherwise(0.0)
         ratio = F.sqrt(s["c"] / F.nullif(s["b"], F.lit(0.0))) / F.nullif(mobility, F.lit(0.0))
         return F.struct(s["a"].alias("activity"), mobility.alias("mobility"), F.coalesce(F.when(s["c"] > 0, ratio), F.lit(0.0)).alias("complexity"))
 
-    return F.transform(stats, build)[0]
+    def spread(x, d):
+        zero = lambda v: F.coalesce(v, F.lit(0.0))
+        return F.struct(variance(x).alias("a"), zero(variance(d)).alias("b"), zero(variance(diff(d))).alias("c"))
+
+    return let(xs, lambda x: let(diff(x), lambda d: let(spread(x, d), build)))
 
 
 def shape(m: Column) -> tuple[Column, Column]:
@@ -165,29 +192,71 @@ def shape(m: Column) -> tuple[Column, Column]:
     return F.coalesce(F.when(n > 2, skew), F.lit(0.0)), F.coalesce(F.when(n > 3, kurt).otherwise(excess), F.lit(0.0))
 
 
-def export_features(df: DataFrame, signal: str, fs: float, *, prefix: str = "eeg", normalize: bool = False) -> DataFrame:
-    """All columns of ``df`` plus the 24 features; epochs without finite samples get nulls.
+NUMBERS = "psd array<double>, n int, mu double, m2 double, m3 double, m4 double, flips double, d1 double, d2 double, samp double, perm double"
+
+
+def _numbers(x: np.ndarray, fs: float) -> pd.DataFrame:
+    """The sums behind the features, for epochs of one length as rows."""
+    n = x.shape[1]
+    mu = x.mean(axis=1)
+    d = x - mu[:, None]
+    square = d * d
+    dx = np.diff(x, axis=1)
+    thin = x[:, :: -(-n // PERMUTATION_POINTS)]
+    a, b, c = (thin[:, i : max(thin.shape[1] - 2 + i, 0)] for i in range(3))
+    code = (a <= b) + 2 * (b <= c) + 4 * (a <= c)
+    share = np.stack([(code == v).mean(axis=1) for v in range(8)], axis=1) if code.shape[1] > 1 else np.ones((len(x), 1))
+    return pd.DataFrame({
+        "psd": list(_spectra(x, fs)), "n": n, "mu": mu, "m2": square.mean(axis=1), "m3": (square * d).mean(axis=1), "m4": (square * square).mean(axis=1),
+        "flips": ((x[:, 1:] < 0) != (x[:, :-1] < 0)).mean(axis=1) if n > 1 else 0.0, "d1": dx.var(axis=1) if n > 1 else 0.0,
+        "d2": np.diff(dx, axis=1).var(axis=1) if n > 2 else 0.0, "samp": [_sample_entropy(row) for row in x],
+        "perm": -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1) / math.log2(math.factorial(PERMUTATION_ORDER)),
+    })
+
+
+def epoch_numbers(signal: Column, fs: float, normalize: bool) -> Column:
+    """Struct of sums per epoch; n = 0 for an epoch without finite samples.
 
-    Steps are separate projections so each array is computed once per row.
+    Measured on 3000-sample epochs this Arrow pass is several times faster than the
+    array expressions above, which serve when only some features are wanted.
     """
-    xs = arrays.finite(F.col(signal))
-    work = df.withColumn("_x", F.nullif(xs, F.array().cast("array<double>")))
-    if normalize:
-        work = work.withColumn("_x", arrays.normalize(F.col("_x"), 0.0))
-    x = F.col("_x")
-    work = work.withColumns({"_psd": psd(x, fs), "_se": sample_entropy(x)})
-    work = work.withColumns({"_m": arrays.moments(x), "_h": hjorth(x), "_step": bin_width(F.size(x), fs)})
-    p, step, m = F.col("_psd"), F.col("_step"), F.col("_m")
-    work = work.withColumns({f"_p_{b}": band_power(p, step, lo, hi) for b, (lo, hi) in {**BANDS, "total": TOTAL_BAND}.items()})
+
+    @F.pandas_udf(NUMBERS)
+    def run(batch: pd.Series) -> pd.DataFrame:
+        rows = [np.zeros(0) if x is None else np.asarray(x, dtype=float) for x in batch]
+        rows = [x[np.isfinite(x)] for x in rows]
+        if normalize:
+            rows = [x if not len(x) else (x - x.mean()) / (x.std() if x.std() > 0 else 1.0) for x in rows]
+        sizes = pd.Series([len(x) for x in rows])
+        out = [pd.DataFrame({"n": 0}, index=sizes.index[sizes == 0])]
+        for _, same in sizes[sizes > 0].groupby(sizes[sizes > 0]):
+            for at in range(0, len(same), EPOCHS_PER_FFT):
+                where = same.index[at : at + EPOCHS_PER_FFT]
+                out.append(_numbers(np.stack([rows[i] for i in where]), fs).set_index(where))
+        names = [part.split()[0] for part in NUMBERS.split(", ")]
+        return pd.concat(out).sort_index().reindex(columns=names)
+
+    return run(signal)
+
+
+def export_features(df: DataFrame, signal: str, fs: float, *, prefix: str = "eeg", normalize: bool = False) -> DataFrame:
+    """All columns of ``df`` plus the 24 features; epochs without finite samples get nulls."""
+    work = df.withColumn("_s", epoch_numbers(F.col(signal), fs, normalize))
+    s = lambda c: F.col(f"_s.{c}")
+    work = work.withColumn("_step", bin_width(s("n"), fs))
+    work = work.withColumns({f"_p_{b}": band_power(s("psd"), F.col("_step"), lo, hi) for b, (lo, hi) in {**BANDS, "total": TOTAL_BAND}.items()})
+    m = F.struct(s("n").cast("double").alias("n"), s("mu").alias("mu"), s("m2").alias("m2"), s("m3").alias("m3"), s("m4").alias("m4"))
     skew, kurt = shape(m)
-    out = {"mean": m["mu"], "std": F.sqrt(m["m2"]), "var": m["m2"], "rms": F.sqrt(m["m2"] + m["mu"] * m["mu"]), "zero_crossing_rate": crossings(x)}
+    ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(0.0))
+    mobility = F.sqrt(ratio(s("d1"), s("m2")))
+    out = {"mean": s("mu"), "std": F.sqrt(s("m2")), "var": s("m2"), "rms": F.sqrt(s("m2") + s("mu") * s("mu")), "zero_crossing_rate": s("flips")}
     for b in BANDS:
         out[f"bandpower_{b}"] = F.col(f"_p_{b}")
-        out[f"rel_power_{b}"] = F.coalesce(F.col(f"_p_{b}") / F.nullif(F.col("_p_total"), F.lit(0.0)), F.lit(0.0))
-    out["theta_alpha_ratio"] = F.coalesce(F.col("_p_theta") / F.nullif(F.col("_p_alpha"), F.lit(0.0)), F.lit(0.0))
+        out[f"rel_power_{b}"] = ratio(F.col(f"_p_{b}"), F.col("_p_total"))
+    out["theta_alpha_ratio"] = ratio(F.col("_p_theta"), F.col("_p_alpha"))
     out.update({
-        "spectral_entropy": spectral_entropy(p), "sef50": spectral_edge(p, step, 0.50), "sef95": spectral_edge(p, step, 0.95),
-        "hjorth_activity": F.col("_h.activity"), "hjorth_mobility": F.col("_h.mobility"), "hjorth_complexity": F.col("_h.complexity"),
-        "sample_entropy": F.col("_se"), "permutation_entropy": permutation_entropy(x), "skewness": skew, "kurtosis": kurt,
+        "spectral_entropy": spectral_entropy(s("psd")), "sef50": spectral_edge(s("psd"), F.col("_step"), 0.50), "sef95": spectral_edge(s("psd"), F.col("_step"), 0.95),
+        "hjorth_activity": s("m2"), "hjorth_mobility": mobility, "hjorth_complexity": ratio(F.sqrt(ratio(s("d2"), s("d1"))), mobility),
+        "sample_entropy": s("samp"), "permutation_entropy": s("perm"), "skewness": skew, "kurtosis": kurt,
     })
-    return work.select(*df.columns, *[F.when(x.isNotNull(), c).alias(f"{prefix}_{n}") for n, c in out.items()])
+    return work.select(*df.columns, *[F.when(s("n") > 0, c).alias(f"{prefix}_{n}") for n, c in out.items()])

@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nocturne.functions.arrays import let
 from nocturne.session import cut_lineage
 
-CELL_POINTS = 4096
+CELL_POINTS = 512
 MAX_PIVOTS = 1024
 CHUNK = 512
 
@@ -38,14 +39,19 @@ def pick_pivots(points: DataFrame, key: str, vector: str, cell_points: int, seed
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    """Euclidean distances, one coordinate at a time so no three-dimensional array is made."""
+    total = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        step = a[:, j, None] - b[None, :, j]
+        total += step * step
+    return np.sqrt(total)
 
 
 def assign_cells(df: DataFrame, key: str, vector: str, pivots: dict[str, np.ndarray]) -> DataFrame:
     """Add ``cell`` and the distance ``reach`` to its pivot."""
 
     @F.pandas_udf("cell int, reach double")
-    def nearest(keys: pd.Series, vectors: pd.Series) -> pd.DataFrame:
+    def closest(keys: pd.Series, vectors: pd.Series) -> pd.DataFrame:
         cell, reach = np.zeros(len(keys), dtype=np.int32), np.zeros(len(keys))
         for name, at in keys.groupby(keys).indices.items():
             for lo in range(0, len(at), CHUNK):
@@ -54,55 +60,65 @@ def assign_cells(df: DataFrame, key: str, vector: str, pivots: dict[str, np.ndar
                 cell[rows], reach[rows] = d.argmin(axis=1), d.min(axis=1)
         return pd.DataFrame({"cell": cell, "reach": reach})
 
-    return df.withColumn("_c", nearest(F.col(key).cast("string"), F.col(vector))).select(*df.columns, "_c.cell", "_c.reach")
+    return df.withColumn("_c", closest(F.col(key).cast("string"), F.col(vector))).select(*df.columns, "_c.cell", "_c.reach")
 
 
-FOUND = "cls string, v array<double>, cell int, near array<struct<d:double, v:array<double>, times:bigint>>"
+FOUND = "cls string, v array<double>, cell int, d array<double>, times array<bigint>, vs array<double>"
 
 
 def _search(k: int):
-    """For each query of a cell the nearest points until their multiplicities reach k."""
+    """For each query of a cell its k + 1 nearest points; neighbour vectors are laid end to end."""
 
     def run(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or points.empty:
-            return pd.DataFrame({"cls": [], "v": [], "cell": [], "near": []})
+            return pd.DataFrame({c: [] for c in ("cls", "v", "cell", "d", "times", "vs")})
         base, times = np.stack(points["v"].to_numpy()).astype(float), points["times"].to_numpy()
-        near = []
         rows = np.stack(queries["v"].to_numpy()).astype(float)
-        chunk = max(1, 4_000_000 // (base.size + 1))
+        chunk, m = max(1, 2_000_000 // len(base)), min(k + 1, len(base))
+        d, at = [], []
         for lo in range(0, len(rows), chunk):
-            d = _distances(rows[lo : lo + chunk], base)
-            m = min(k + 1, len(base))
-            best = np.argpartition(d, m - 1, axis=1)[:, :m]
-            for i, cand in enumerate(best):
-                cand = cand[np.lexsort((cand, d[i, cand]))]
-                near.append([{"d": float(d[i, j]), "v": base[j], "times": int(times[j])} for j in cand])
-        return pd.DataFrame({"cls": queries["cls"], "v": queries["v"], "cell": queries["cell"], "near": near})
+            far = _distances(rows[lo : lo + chunk], base)
+            best = np.argpartition(far, m - 1, axis=1)[:, :m]
+            d.append(np.take_along_axis(far, best, axis=1))
+            at.append(best)
+        d, at = np.concatenate(d), np.concatenate(at)
+        return pd.DataFrame({
+            "cls": queries["cls"], "v": queries["v"], "cell": queries["cell"],
+            "d": list(d), "times": list(times[at]), "vs": list(base[at].reshape(len(at), -1)),
+        })
 
     return run
 
 
+def _unpacked():
+    """The laid-out neighbours as structs (d, v, times)."""
+    p = F.size("v")
+    return F.transform("d", lambda d, i: F.struct(d.alias("d"), F.slice("vs", i * p + 1, p).alias("v"), F.element_at("times", i + 1).alias("times")))
+
+
 def _probe(queries: DataFrame, points: DataFrame, k: int, rows_per_task: int) -> DataFrame:
     """Search the named cell for every query; crowded cells are split by query, their points repeated."""
     load = queries.groupBy("cls", "cell").count().withColumn("parts", F.ceil(F.col("count") / rows_per_task).cast("int")).drop("count")
     q = queries.join(load, ["cls", "cell"]).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
     p = points.join(load, ["cls", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     by = ["cls", "cell", "part"]
-    return q.select("cls", "v", "cell", "part").groupBy(*by).cogroup(p.select("cls", "v", "times", "cell", "part").groupBy(*by)).applyInPandas(_search(k), FOUND)
+    return q.select("cls", "v", "cell", "part").groupBy(*by).cogroup(p.select("cls", "v", "times", "cell", "part").groupBy(*by)).applyInPandas(_search(k), FOUND).select("cls", "v", "cell", _unpacked().alias("near"))
 
 
 def _trim(near, own, k: int):
-    """Sorted neighbours with the query's own occurrence taken out, cut once k are covered.
+    """The nearest structs (d, v, times, from) with the query's own occurrence taken out, cut once k are covered.
 
-    Returns structs (d, v, times, from), ``from`` being the rank of the first occurrence.
+    ``from`` is the rank of the first occurrence; each struct stands for at least
+    one point, so the first k always suffice.
     """
-    flat = F.array_sort(F.transform(near, lambda x: F.struct(x["d"].alias("d"), x["v"].alias("v"), F.when(x["v"] == own, x["times"] - 1).otherwise(x["times"]).alias("times"))))
-    flat = F.filter(flat, lambda x: x["times"] > 0)
-    ranked = F.transform(flat, lambda x, i: F.struct(
-        x["d"].alias("d"), x["v"].alias("v"), x["times"].alias("times"),
-        F.aggregate(F.slice(flat, F.lit(1), i), F.lit(0).cast("bigint"), lambda s, y: s + y["times"]).alias("from"),
-    ))
-    return F.filter(ranked, lambda x: x["from"] < k)
+    others = F.transform(near, lambda x: F.struct(x["d"].alias("d"), x["v"].alias("v"), F.when(x["v"] == own, x["times"] - 1).otherwise(x["times"]).alias("times")))
+    first = F.slice(F.array_sort(F.filter(others, lambda x: x["times"] > 0)), 1, k)
+
+    def ranked(xs):
+        before = lambda i: F.aggregate(F.slice(xs, F.lit(1), i), F.lit(0).cast("bigint"), lambda s, y: s + y["times"])
+        return F.transform(xs, lambda x, i: F.struct(x["d"].alias("d"), x["v"].alias("v"), x["times"].alias("times"), before(i).alias("from")))
+
+    return F.filter(let(first, ranked), lambda x: x["from"] < k)
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int, *, cell_points: int = CELL_POINTS, rows_per_task: int = 20_000, seed: int = 42) -> DataFrame:
@@ -121,9 +137,8 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, *, cell_points: int =
     radius = {(r["cls"], r["cell"]): r["r"] for r in spots.groupBy("cls", "cell").agg(F.max("reach").alias("r")).collect()}
     limits = {c: np.array([radius.get((c, i), -np.inf) for i in range(len(p))]) for c, p in pivots.items()}
     apart = {c: _distances(p, p) for c, p in pivots.items()}
-    mine = _trim(F.col("near"), F.col("v"), k)
-    covered = F.aggregate(mine, F.lit(0).cast("bigint"), lambda s, x: s + x["times"])
-    bound = F.when(covered >= k, F.element_at(mine, -1)["d"]).otherwise(float("inf"))
+    last = F.try_element_at("mine", F.lit(-1))
+    bound = F.when(last["from"] + last["times"] >= k, last["d"]).otherwise(float("inf"))
 
     @F.pandas_udf("array<int>")
     def others(keys: pd.Series, vectors: pd.Series, cells: pd.Series, bounds: pd.Series) -> pd.Series:
@@ -137,7 +152,8 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, *, cell_points: int =
             out.append(np.flatnonzero(hit).astype(np.int32))
         return pd.Series(out)
 
-    more = home.withColumn("cell", F.explode(others("cls", "v", "cell", bound))).select("cls", "v", "cell")
+    known = home.withColumn("mine", _trim(F.col("near"), F.col("v"), k)).select("cls", "v", "cell", bound.alias("far"))
+    more = known.withColumn("cell", F.explode(others("cls", "v", "cell", "far"))).select("cls", "v", "cell")
     found = home.unionByName(_probe(more, spots, k, rows_per_task))
     near = F.flatten(F.collect_list("near"))
     return found.groupBy("cls", "v").agg(near.alias("near")).select("cls", "v", _trim(F.col("near"), F.col("v"), k).alias("near"))

@@ -44,7 +44,7 @@ def experiment_summary(within: DataFrame, cross: DataFrame, metrics: list[str])
 
 
 def _three(col: Column) -> Column:
-    return F.coalesce(F.format_string("%.3f", col.cast("double")), F.lit("N/D"))
+    return F.coalesce(F.format_string("%.3f", F.bround(col.cast("double"), 3)), F.lit("N/D"))
 
 
 def metric_by_model(summary: DataFrame, models: list[str], rows: str = "metric") -> DataFrame:

@@ -70,9 +70,9 @@ def m5(spark, sf):
 
 
 @add("m6_mcnemar", f"""WITH {PREDS}, d AS (SELECT fold_id, count(*) FILTER (WHERE pred_a = y_true AND pred_b <> y_true) AS b, count(*) FILTER (WHERE pred_a <> y_true AND pred_b = y_true) AS c FROM v_preds GROUP BY 1),
- t AS (SELECT fold_id, b, c, unnest(range(least(b, c) + 1)) AS i FROM d) SELECT fold_id, b, c, round(pow(abs(b - c) - 1, 2) / (b + c), 6)::DOUBLE AS statistic, round(CASE WHEN b = c THEN 1 ELSE least(1, 2 * sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))) END, 6)::DOUBLE AS p_value FROM t GROUP BY fold_id, b, c""")
+ t AS (SELECT fold_id, b, c, unnest(range(least(b, c) + 1)) AS i FROM d) SELECT fold_id, b, c, round(pow(abs(b - c) - 1, 2) / (b + c), 6)::DOUBLE AS statistic, round(CASE WHEN b = c THEN 1 ELSE least(1, 2 * sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))) END + 1e-9, 6)::DOUBLE AS p_value FROM t GROUP BY fold_id, b, c""")
 def m6(spark, sf):
-    return metrics.mcnemar(views.preds(spark, sf), ["fold_id"], "y_true", "pred_a", "pred_b").withColumns({"statistic": r("statistic"), "p_value": r("p_value")})
+    return metrics.mcnemar(views.preds(spark, sf), ["fold_id"], "y_true", "pred_a", "pred_b").withColumns({"statistic": r("statistic"), "p_value": r(F.col("p_value") + 1e-9)})
 
 
 @add("m7_bootstrap_mean_ci")

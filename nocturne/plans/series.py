@@ -336,9 +336,12 @@ def t9(spark, sf):
     return timeseries.sequence_index(views.epochs(spark, sf).select("recording_id", "epoch_index"), "recording_id", ["epoch_index"], 5)
 
 
-@add("t10_resample_signal")
+@add("t10_resample_signal", f"""WITH {ARRAYS}, u AS (SELECT vec_id, generate_subscripts(signal, 1) - 1 AS i, CAST(unnest(signal) AS DOUBLE) AS v FROM v_arrays),
+ x AS (SELECT vec_id, f, sum(v * cos(2 * pi() * f * i / 64)) AS re, -sum(v * sin(2 * pi() * f * i / 64)) AS im FROM u, range(33) g(f) GROUP BY 1, 2),
+ y AS (SELECT vec_id, m, sum(CASE WHEN f IN (0, 32) THEN 1 ELSE 2 END * (re * cos(2 * pi() * f * m / 100) - im * sin(2 * pi() * f * m / 100))) / 64 AS v FROM x, range(100) h(m) GROUP BY 1, 2)
+ SELECT vec_id, list(round(v, 6) + 0.0 ORDER BY m) AS signal FROM y GROUP BY vec_id""")
 def t10(spark, sf):
-    return views.arrays(spark, sf).select("vec_id", arrays.resample(F.col("signal"), 64.0, 100.0).alias("signal"))
+    return views.arrays(spark, sf).select("vec_id", rounded(arrays.resample(F.col("signal"), 64.0, 100.0, "double"), 6).alias("signal"))
 
 
 @add("t11_recording_batches", f"WITH {EPOCHS} SELECT recording_id, epoch_index, epoch_index // 16 AS batch_id, epoch_index % 16 AS slot, epoch_index // 16 AS batch_order FROM v_epochs")
