@@ -73,7 +73,7 @@ def psd(signal: Column, fs: float) -> Column:
 
 def bin_width(n: Column, fs: float) -> Column:
     """Distance of two frequency bins for an epoch of ``n`` samples."""
-    return F.lit(fs) / F.least(F.lit(int(max(8, round(fs * 4.0)))), n)
+    return F.lit(fs) / F.nullif(F.least(F.lit(int(max(8, round(fs * 4.0)))), n), F.lit(0))
 
 
 def _total(xs: Column) -> Column:
@@ -228,13 +228,15 @@ def epoch_numbers(signal: Column, fs: float, normalize: bool) -> Column:
         if normalize:
             rows = [x if not len(x) else (x - x.mean()) / (x.std() if x.std() > 0 else 1.0) for x in rows]
         sizes = pd.Series([len(x) for x in rows])
-        out = [pd.DataFrame({"n": 0}, index=sizes.index[sizes == 0])]
+        out = [pd.DataFrame({"n": 0, "psd": None}, index=sizes.index[sizes == 0])]
         for _, same in sizes[sizes > 0].groupby(sizes[sizes > 0]):
             for at in range(0, len(same), EPOCHS_PER_FFT):
                 where = same.index[at : at + EPOCHS_PER_FFT]
                 out.append(_numbers(np.stack([rows[i] for i in where]), fs).set_index(where))
         names = [part.split()[0] for part in NUMBERS.split(", ")]
-        return pd.concat(out).sort_index().reindex(columns=names)
+        table = pd.concat(out).sort_index().reindex(columns=names)
+        table["psd"] = [p if isinstance(p, np.ndarray) else None for p in table["psd"]]
+        return table
 
     return run(signal)
 

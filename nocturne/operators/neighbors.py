@@ -66,12 +66,17 @@ def assign_cells(df: DataFrame, key: str, vector: str, pivots: dict[str, np.ndar
 FOUND = "cls string, v array<double>, cell int, d array<double>, times array<bigint>, vs array<double>"
 
 
+def _rows(*columns) -> pd.DataFrame:
+    names = ("cls", "v", "cell", "d", "times", "vs")
+    return pd.DataFrame({n: pd.Series(list(c), dtype="int32" if n == "cell" else object) for n, c in zip(names, columns)})
+
+
 def _search(k: int):
-    """For each query of a cell its k + 1 nearest points; neighbour vectors are laid end to end."""
+    """For each query of a cell its k + 1 nearest points within ``far``; neighbour vectors are laid end to end."""
 
     def run(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or points.empty:
-            return pd.DataFrame({c: [] for c in ("cls", "v", "cell", "d", "times", "vs")})
+            return _rows([], [], [], [], [], [])
         base, times = np.stack(points["v"].to_numpy()).astype(float), points["times"].to_numpy()
         rows = np.stack(queries["v"].to_numpy()).astype(float)
         chunk, m = max(1, 2_000_000 // len(base)), min(k + 1, len(base))
@@ -82,10 +87,11 @@ def _search(k: int):
             d.append(np.take_along_axis(far, best, axis=1))
             at.append(best)
         d, at = np.concatenate(d), np.concatenate(at)
-        return pd.DataFrame({
-            "cls": queries["cls"], "v": queries["v"], "cell": queries["cell"],
-            "d": list(d), "times": list(times[at]), "vs": list(base[at].reshape(len(at), -1)),
-        })
+        near = d <= queries["far"].to_numpy()[:, None]
+        some = np.flatnonzero(near.any(axis=1))
+        found = queries.iloc[some]
+        picks = [at[i, near[i]] for i in some]
+        return _rows(found["cls"], found["v"], found["cell"], [d[i, near[i]] for i in some], [times[j] for j in picks], [base[j].ravel() for j in picks])
 
     return run
 
@@ -102,7 +108,12 @@ def _probe(queries: DataFrame, points: DataFrame, k: int, rows_per_task: int) ->
     q = queries.join(load, ["cls", "cell"]).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
     p = points.join(load, ["cls", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     by = ["cls", "cell", "part"]
-    return q.select("cls", "v", "cell", "part").groupBy(*by).cogroup(p.select("cls", "v", "times", "cell", "part").groupBy(*by)).applyInPandas(_search(k), FOUND).select("cls", "v", "cell", _unpacked().alias("near"))
+    # Aliases give the query side new column identities: both sides may come from one table.
+    q = q.select(*[F.col(c).alias(c) for c in ("cls", "v", "cell", "far", "part")])
+    # A fixed partition count keeps small but compute-heavy groups spread over all tasks.
+    n = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q, p = q.repartition(n, *by), p.repartition(n, *by)
+    return q.groupBy(*by).cogroup(p.select("cls", "v", "times", "cell", "part").groupBy(*by)).applyInPandas(_search(k), FOUND).select("cls", "v", "cell", _unpacked().alias("near"))
 
 
 def _trim(near, own, k: int):
@@ -126,10 +137,11 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, *, cell_points: int =
 
     ``queries`` holds distinct (cls, v) that also occur in ``points`` (cls, v, times).
     """
+    points = cut_lineage(points)  # read for the sizes, the pivots and the cells
     pivots = pick_pivots(points, "cls", "v", cell_points, seed)
-    spots = assign_cells(points, "cls", "v", pivots)
-    asked = assign_cells(queries, "cls", "v", pivots)
-    home = _probe(asked.select("cls", "v", "cell"), spots, k, rows_per_task)
+    spots = cut_lineage(assign_cells(points, "cls", "v", pivots))
+    asked = queries.join(spots.select("cls", "v", "cell"), ["cls", "v"]).withColumn("far", F.lit(float("inf")))  # queries are points: their cells are known
+    home = _probe(asked, spots, k, rows_per_task)
     if max((len(p) for p in pivots.values()), default=1) == 1:
         return home.select("cls", "v", _trim(F.col("near"), F.col("v"), k).alias("near"))
 
@@ -153,7 +165,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, *, cell_points: int =
         return pd.Series(out)
 
     known = home.withColumn("mine", _trim(F.col("near"), F.col("v"), k)).select("cls", "v", "cell", bound.alias("far"))
-    more = known.withColumn("cell", F.explode(others("cls", "v", "cell", "far"))).select("cls", "v", "cell")
+    more = known.withColumn("cell", F.explode(others("cls", "v", "cell", "far"))).select("cls", "v", "cell", (F.col("far") * (1 + 1e-9)).alias("far"))
     found = home.unionByName(_probe(more, spots, k, rows_per_task))
     near = F.flatten(F.collect_list("near"))
     return found.groupBy("cls", "v").agg(near.alias("near")).select("cls", "v", _trim(F.col("near"), F.col("v"), k).alias("near"))

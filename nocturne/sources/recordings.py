@@ -15,6 +15,13 @@ SEGMENT_CHANNELS = ("C4-M1", "C3-M2", "F4-M1", "F3-M2", "O2-M1", "O1-M2", "E1-M2
 SEGMENT_FS = 200.0
 
 
+def _whole_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+    """One row per file; Spark does not list files of zero bytes, so those are neither used nor counted."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    reader = reader.option("pathGlobFilter", pattern) if pattern else reader
+    return reader.text(root, wholetext=True).select("_metadata", "value")
+
+
 def _lines(content):
     return F.filter(F.split(content, r"\r\n|\n|\r"), lambda x: F.trim(x) != "")
 
@@ -29,7 +36,7 @@ def segment_files(spark: SparkSession, root: str, preferred=SEGMENT_CHANNELS, pa
     One file is one short segment by format, so a file is one row.  ``usable``
     is false for empty files, names without a stage and files without numbers.
     """
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
+    raw = _whole_files(spark, root, pattern)
     base = re.escape(re.sub(r"^[a-z0-9]+:/+", "/", root.rstrip("/")) + "/")
     path = F.regexp_replace(F.col("_metadata.file_path"), f"^.*?{base}", "")
     rows = raw.select(path.alias("source_file"), _lines(F.col("value")).alias("lines"))
@@ -74,7 +81,7 @@ def _recording(suffix: str, by_folder: str | None):
 
 def scan_stage_text(spark: SparkSession, path: str, by_folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(recording_id, epoch_index, stage) of stage lists; a file with any bad line is skipped and counted."""
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    raw = _whole_files(spark, path)
     values = F.transform(_lines(F.col("value")), lambda x: F.trim(x).try_cast("int"))
     files = raw.select(_recording("_stage$", by_folder).alias("recording_id"), values.alias("stages"))
     good = (F.size("stages") > 0) & ~F.exists("stages", lambda x: x.isNull())
