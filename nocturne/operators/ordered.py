@@ -82,17 +82,19 @@ def running(
     maxes: dict[str, Column] | None = None,
     block_on: Column | None = None,
     limit: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Running sums and maxima along ``order`` within ``keys``, current row included.
 
     ``order`` must be a total order.  ``block_on`` is a double that never decreases
     along it; by default it is taken from the first order column (a name).
+    ``at_most`` is a known bound on the rows of any group; within the limit it
+    spares the measurement.
     """
     sums, maxes, limit = sums or {}, maxes or {}, limit or GROUP_LIMIT
     fns = {**{n: F.sum for n in sums}, **{n: F.max for n in maxes}}
     data = df.select("*", *[c.alias(f"_in_{n}") for n, c in {**sums, **maxes}.items()])
-    peak, total = group_peak(df, keys)
-    inputs = [f"_in_{n}" for n in fns]
+    peak, total = (at_most, at_most) if at_most is not None and at_most <= limit else group_peak(df, keys)
 
     def over(by):
         return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -118,7 +120,6 @@ def running(
         else F.greatest(f"_in_{n}", f"_carry_{n}").alias(n)
         for n in fns
     ]
-    assert inputs
     return both.select(*df.columns, *merged)
 
 
@@ -167,54 +168,41 @@ def shifted(
     return spread.select(*df.columns, "_home", "_piece", *pick(w)).filter("_home = _piece").drop("_home", "_piece")
 
 
-def exact_quantiles(
+def value_counts(df: DataFrame, columns: list[str], as_type: str = "double") -> DataFrame:
+    """Long (name, value, cnt) table of non-null values; the shuffle carries partial counts."""
+    pairs = [F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast(as_type).alias("value")) for c in columns]
+    long = df.select(F.explode(F.array(*pairs)).alias("kv")).select("kv.*")
+    return long.filter(F.col("value").isNotNull()).groupBy("name", "value").agg(F.count("*").alias("cnt"))
+
+
+def quantiles_and_modes(
     df: DataFrame, columns: list[str], probs: list[float], *, limit: int | None = None
-) -> dict[str, list[float | None]]:
-    """Exact linear-interpolated quantiles per column, fetched as a small dict.
+) -> tuple[dict[str, list[float | None]], dict[str, float | None]]:
+    """Exact linear-interpolated quantiles, and the most frequent value (smallest on ties), per column.
 
-    Up to the limit the built-in exact percentile is used.  Beyond it values are
-    counted, counts are accumulated along the sorted values, and the two values
-    around each rank are read off, so nothing holds a whole column.
+    Values are counted, counts are accumulated along the sorted values, and the
+    values around each rank are read off, so nothing holds a whole column.
     """
-    limit = limit or GROUP_LIMIT
     if not columns:
-        return {}
-    n = df.count()
-    if n <= limit:
-        probe = [F.percentile(F.col(f"`{c}`").cast("double"), F.array(*map(F.lit, probs))).alias(f"q{i}") for i, c in enumerate(columns)]
-        row = df.agg(*probe).first()
-        return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(columns)}
-
-    long = df.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns])
-        ).alias("kv")
-    ).select("kv.*")
-    counts = long.filter(F.col("value").isNotNull()).groupBy("name", "value").agg(F.count("*").alias("cnt"))
-    cum = running(counts, ["name"], ["value"], sums={"cum": F.col("cnt")}, limit=limit)
-    sizes = {r["name"]: r["n"] for r in counts.groupBy("name").agg(F.sum("cnt").alias("n")).collect()}
-    size_of = F.coalesce(*[F.when(F.col("name") == c, F.lit(k)) for c, k in sizes.items()]) if sizes else F.lit(0)
-    marks = []
+        return {}, {}
+    sizes = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    last = {c: n - 1 for c, n in zip(columns, sizes)}
+    cum = running(value_counts(df, columns), ["name"], ["value"], sums={"cum": F.col("cnt")}, limit=limit, at_most=max(sizes))
+    at = lambda rank: F.coalesce(*[F.when(F.col("name") == c, F.lit(rank(m))) for c, m in last.items()])
+    marks = [F.min(F.struct(-F.col("cnt"), "value")).alias("mode")]
     for i, q in enumerate(probs):
-        rank = (size_of - 1) * F.lit(q)
-        marks.append(F.min(F.when(F.col("cum") > F.floor(rank), F.col("value"))).alias(f"lo{i}"))
-        marks.append(F.min(F.when(F.col("cum") > F.ceil(rank), F.col("value"))).alias(f"hi{i}"))
+        marks.append(F.min(F.when(F.col("cum") > at(lambda m, q=q: math.floor(m * q)), F.col("value"))).alias(f"lo{i}"))
+        marks.append(F.min(F.when(F.col("cum") > at(lambda m, q=q: math.ceil(m * q)), F.col("value"))).alias(f"hi{i}"))
     found = {r["name"]: r for r in cum.groupBy("name").agg(*marks).collect()}
-    out: dict[str, list[float | None]] = {}
+    quantiles: dict[str, list[float | None]] = {}
     for c in columns:
-        if c not in found:
-            out[c] = [None] * len(probs)
-            continue
-        r, m = found[c], sizes[c] - 1
-        out[c] = [r[f"lo{i}"] + (r[f"hi{i}"] - r[f"lo{i}"]) * (m * q - math.floor(m * q)) for i, q in enumerate(probs)]
-    return out
+        r, m = found.get(c), last[c]
+        quantiles[c] = [None if r is None else r[f"lo{i}"] + (r[f"hi{i}"] - r[f"lo{i}"]) * (m * q - math.floor(m * q)) for i, q in enumerate(probs)]
+    return quantiles, {c: found[c]["mode"]["value"] if c in found else None for c in columns}
 
 
-def value_counts(df: DataFrame, columns: list[str], as_type: str = "double") -> DataFrame:
-    """Long (name, value, cnt) table of non-null values; the shuffle carries partial counts."""
-    pairs = [F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast(as_type).alias("value")) for c in columns]
-    long = df.select(F.explode(F.array(*pairs)).alias("kv")).select("kv.*")
-    return long.filter(F.col("value").isNotNull()).groupBy("name", "value").agg(F.count("*").alias("cnt"))
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], *, limit: int | None = None) -> dict[str, list[float | None]]:
+    return quantiles_and_modes(df, columns, probs, limit=limit)[0]
 
 
 def exact_modes(df: DataFrame, columns: list[str], as_type: str = "double") -> dict:

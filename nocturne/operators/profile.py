@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nocturne.operators.ordered import exact_modes, exact_quantiles, running
+from nocturne.operators.ordered import exact_quantiles, quantiles_and_modes, running
 from nocturne.operators.schema import numeric_columns, q
 
 PAIRS_PER_JOB = 60
@@ -74,8 +74,7 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None, limit: int
             F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"), F.var_samp(x).alias(f"var{i}"),
             F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), F.skewness(x).alias(f"skew{i}"), F.kurtosis(x).alias(f"kurt{i}"),
         ]
-    quart = exact_quantiles(df, names, [0.25, 0.5, 0.75], limit=limit)
-    modes = exact_modes(df, names)
+    quart, modes = quantiles_and_modes(df, names, [0.25, 0.5, 0.75], limit=limit)
     cells = []
     for i, c in enumerate(names):
         lo, mid, hi = quart[c]
@@ -118,21 +117,21 @@ def correlation_pearson(df: DataFrame, columns: list[str] | None = None) -> Data
     return out
 
 
-def average_ranks(counts: DataFrame, value: str, cnt: str, out: str, limit: int | None = None) -> DataFrame:
+def average_ranks(counts: DataFrame, value: str, cnt: str, out: str, limit: int | None = None, at_most: int | None = None) -> DataFrame:
     """Average rank of each distinct value, from value counts accumulated in value order."""
-    cum = running(counts, [], [value], sums={"_cum": F.col(cnt)}, limit=limit)
+    cum = running(counts, [], [value], sums={"_cum": F.col(cnt)}, limit=limit, at_most=at_most)
     return cum.select(value, (F.col("_cum") - F.col(cnt) + (F.col(cnt) + 1) / 2).alias(out))
 
 
 def correlation_spearman(df: DataFrame, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """Pearson on average ranks, ranks taken on the rows complete for the pair."""
     names = columns or numeric_columns(df)
-    out = None
+    out, n_rows = None, df.count()  # no column has more distinct values than this
     for a, b in combinations(names, 2):
         rows = df.select(q(a).cast("double").alias("x"), q(b).cast("double").alias("y")).dropna()
         cells = rows.groupBy("x", "y").agg(F.count("*").alias("n"))
-        rx = average_ranks(rows.groupBy("x").agg(F.count("*").alias("c")), "x", "c", "rx", limit)
-        ry = average_ranks(rows.groupBy("y").agg(F.count("*").alias("c")), "y", "c", "ry", limit)
+        rx = average_ranks(rows.groupBy("x").agg(F.count("*").alias("c")), "x", "c", "rx", limit, n_rows)
+        ry = average_ranks(rows.groupBy("y").agg(F.count("*").alias("c")), "y", "c", "ry", limit, n_rows)
         n = F.sum("n").cast("double")
         mid = (F.sum(F.col("n")) + 1) / 2
         sums = cells.join(rx, "x").join(ry, "y").agg(

@@ -150,7 +150,7 @@ def bootstrap_auc_diff(df: DataFrame, y_true: str, score_a: str, score_b: str, n
     b = _replicate_aucs(cells, "sb", n_boot, seed, block_rows, "b")
     ci = a.join(b, "replicate").agg(F.percentile(F.col("a") - F.col("b"), F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
     base_a, base_b = auc_roc(rows, [], "y", "sa", "a", limit), auc_roc(rows, [], "y", "sb", "b", limit)
-    # Each of the three tables is a single row.
-    one = [t.withColumn("_k", F.lit(1)) for t in (base_a, base_b, ci)]
-    return one[0].join(one[1], "_k").join(one[2], "_k").select((F.col("a") - F.col("b")).alias("auc_diff"), F.get("p", F.lit(0)).alias("lo"), F.get("p", F.lit(1)).alias("hi"))
-
+    # Three tables of one row each become one row by a union, not a join.
+    rows = base_a.unionByName(base_b, allowMissingColumns=True).unionByName(ci, allowMissingColumns=True)
+    one = rows.agg(F.max("a").alias("a"), F.max("b").alias("b"), F.max("p").alias("p"))
+    return one.select((F.col("a") - F.col("b")).alias("auc_diff"), F.get("p", F.lit(0)).alias("lo"), F.get("p", F.lit(1)).alias("hi"))
