@@ -20,15 +20,17 @@ from pyspark.sql import types as T
 
 GROUP_LIMIT = 5_000_000
 MAX_BLOCKS = 16384
+CUT_ROWS = 2_000  # sampled rows per block when cut points are chosen
 
 
-def group_peak(df: DataFrame, keys: list[str]) -> tuple[int, int]:
-    """Rows in the largest group and rows in total (one partially aggregated job)."""
+def group_peak(df: DataFrame, keys: list[str]) -> tuple[int, int, bool]:
+    """Rows in the largest group, rows in total, and whether a key is null (one partially aggregated job)."""
     if not keys:
         n = df.count()
-        return n, n
-    row = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
-    return int(row[0] or 0), int(row[1] or 0)
+        return n, n, False
+    holed = reduce(lambda a, b: a | b, [F.col(f"`{k}`").isNull() for k in keys])
+    row = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count"), F.bool_or(holed)).first()
+    return int(row[0] or 0), int(row[1] or 0), bool(row[2])
 
 
 def sort_number(df: DataFrame, name: str) -> Column:
@@ -57,16 +59,23 @@ def with_blocks(df: DataFrame, number: Column, total: int, limit: int) -> DataFr
     n_blocks = max(2, min(MAX_BLOCKS, math.ceil(2 * total / limit)))
     keyed = df.withColumn("_num", number)
     probs = [i / n_blocks for i in range(1, n_blocks)]
-    finite = keyed.filter(F.col("_num") > float("-inf"))
-    cuts = finite.approxQuantile("_num", probs, 1.0 / (4 * n_blocks))
+    # Any cuts give the same result, so a sample decides where they fall.
+    some = keyed.select("_num").filter(F.col("_num") > float("-inf")).sample(min(1.0, CUT_ROWS * n_blocks / total), 7)
+    cuts = some.approxQuantile("_num", probs, 1.0 / (4 * n_blocks))
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     if len(splits) < 3:
-        return keyed.withColumn("_block", F.lit(0.0)).drop("_num")
-    return Bucketizer(splits=splits, inputCol="_num", outputCol="_block").transform(keyed).drop("_num")
+        return keyed.withColumn("_block", F.lit(0)).drop("_num")
+    cut = Bucketizer(splits=splits, inputCol="_num", outputCol="_block").transform(keyed)
+    return cut.withColumn("_block", F.col("_block").cast("int")).drop("_num")
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Equi-join on keys that treats nulls as equal and keeps the left key columns."""
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", nulls: bool = True) -> DataFrame:
+    """Equi-join on keys that treats nulls as equal and keeps the left key columns.
+
+    Where no key is null the plain join is the better one: it can use the partitioning both sides already have.
+    """
+    if not nulls:
+        return left.join(right, keys, how)
     renamed = right.select(*[F.col(f"`{c}`").alias(f"_r_{c}") if c in keys else F.col(f"`{c}`") for c in right.columns])
     cond = reduce(lambda a, b: a & b, [left[f"`{k}`"].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
     joined = left.join(renamed, cond, how)
@@ -94,7 +103,7 @@ def running(
     sums, maxes, limit = sums or {}, maxes or {}, limit or GROUP_LIMIT
     fns = {**{n: F.sum for n in sums}, **{n: F.max for n in maxes}}
     data = df.select("*", *[c.alias(f"_in_{n}") for n, c in {**sums, **maxes}.items()])
-    peak, total = (at_most, at_most) if at_most is not None and at_most <= limit else group_peak(df, keys)
+    peak, total, nulls = (at_most, at_most, True) if at_most is not None and at_most <= limit else group_peak(df, keys)
 
     def over(by):
         return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -113,7 +122,7 @@ def running(
         .agg(*[f(f"_in_{n}").alias(f"_tot_{n}") for n, f in fns.items()])
         .select(*by, *[f(f"_tot_{n}").over(before).alias(f"_carry_{n}") for n, f in fns.items()])
     )
-    both = join_on(local, carry, by)
+    both = join_on(local, carry, by, nulls=nulls)
     merged = [
         F.coalesce(F.col(f"_in_{n}") + F.col(f"_carry_{n}"), f"_in_{n}", f"_carry_{n}").alias(n)
         if n in sums
