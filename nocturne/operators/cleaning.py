@@ -1,7 +1,7 @@
 """Fitted cleaning steps and the whole cleaning sequence with its log."""
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from nocturne.functions.text import normalize_category, parse_number
 from nocturne.operators.filters import deduplicate
 from nocturne.operators.ordered import exact_modes, exact_quantiles
-from nocturne.operators.schema import drop_high_missing, nan_to_null, numeric_columns, q, rename_snake, string_columns
+from nocturne.operators.schema import drop_high_missing, nan_to_null, numeric_columns, q, rename_snake, snake_name, string_columns
 from nocturne.session import cut_lineage
 
 
@@ -111,6 +111,8 @@ def tukey_apply(df: DataFrame, fits: list[dict]) -> DataFrame:
 
 @dataclass
 class CleaningOptions:
+    """Column names may be given raw or in snake case."""
+
     target: str | None = None
     dedupe_subset: list[str] | None = None
     order: list[str] = field(default_factory=list)
@@ -132,6 +134,9 @@ LOG = T.StructType([
 def clean(df: DataFrame, options: CleaningOptions | None = None) -> tuple[DataFrame, DataFrame]:
     """All steps in their fixed order; returns the table and a (metric, value, detail) log."""
     o = options or CleaningOptions()
+    names = lambda xs: None if xs is None else [snake_name(x) for x in xs]
+    o = replace(o, target=snake_name(o.target) if o.target else None, dedupe_subset=names(o.dedupe_subset), order=names(o.order),
+                outlier_columns=names(o.outlier_columns), outlier_exclude=names(o.outlier_exclude))
     data = nan_to_null(rename_snake(df))
     if o.target and o.target not in data.columns:
         raise ValueError(f"target {o.target!r} is not a column")
@@ -155,6 +160,9 @@ def clean(df: DataFrame, options: CleaningOptions | None = None) -> tuple[DataFr
     data, normal = normalize_strings(data, o.max_cardinality)
     log += [("string_normalized", 1, c) for c in normal]
 
+    lost = [c for c in o.dedupe_subset or [] if c not in data.columns]
+    if lost:
+        raise ValueError(f"key columns not found: {lost}")
     left = size["n"] - gone["t"] - gone["e"]
     data = cut_lineage(deduplicate(data, o.dedupe_subset, o.order))
     rows = data.count()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from nocturne.functions.labels import STAGE_NAMES, encode_binary, ordinal_code
 from nocturne.operators.ordered import exact_quantiles
-from nocturne.operators.schema import q
+from nocturne.operators.schema import q, snake_name
 
 MAX_CATEGORIES = 1000
 
@@ -69,6 +69,7 @@ def decode_one_hot(df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:
 
     Only 0/1-valued columns count; for ``sleep_stage`` scaled ones with a known stage suffix also do.
     """
+    target = snake_name(target)
     if target in df.columns:
         return df, []
     prefix = f"{target}_"
@@ -82,18 +83,10 @@ def decode_one_hot(df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:
         row = df.agg(*probe).first()
         used = [c for i, c in enumerate(near) if row[f"n{i}"] and not row[f"o{i}"]]
     if not used and target == "sleep_stage":
-        used = [c for c in near if _snake(c[len(prefix):]) in STAGE_NAMES]
+        used = [c for c in near if snake_name(c[len(prefix):]) in STAGE_NAMES]
     if not used:
         raise ValueError(f"neither {target!r} nor indicator columns {prefix}* found")
     values = F.array(*[F.coalesce(q(c).cast("string").try_cast("double"), F.lit(0.0)) for c in used])
     names = F.array(*[F.lit(c[len(prefix):]) for c in used])
     best = F.element_at(names, F.array_position(values, F.array_max(values)).cast("int"))
     return df.withColumn(target, F.when(F.array_max(values) <= 0, "<UNASSIGNED>").otherwise(best)), used
-
-
-def _snake(s: str) -> str:
-    import re
-
-    return re.sub(r"[^a-z0-9]+", "_", s.strip().lower()).strip("_")
-
-

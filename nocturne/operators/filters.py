@@ -134,4 +134,7 @@ def sequence_metadata(df: DataFrame, target: str, subject: str, recording: str,
     out = out.dropna(subset=[target, subject, recording, order, *extra])
     if labels:
         out = label_subset(out, target, labels)
-    return subject_fraction(out, subject, fraction, seed)
+    out = subject_fraction(out, subject, fraction, seed)
+    if out.isEmpty():
+        raise ValueError("no row is left for sequence windows")
+    return out

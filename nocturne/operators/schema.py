@@ -1,13 +1,16 @@
 """Schema operators: renames, feature choice, subjects, channels, label masks."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nocturne.functions import labels, text
 
-# Subject columns in order of preference, and the shared multi-task schema.
+# Subject columns in order of preference, the dataset with integer stages, and the shared multi-task schema.
+CODED_DATASET = "st_vincent_apnea"
 SUBJECT_COLUMNS = ("subject_unit_id", "subject_id", "record_id", "recording_id")
 MULTITASK_SCHEMA = {
     "dataset_id": "string",
@@ -46,11 +49,13 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nanvl(q(c), F.lit(None)) for c in float_columns(df)}) if float_columns(df) else df
 
 
+def snake_name(name: str) -> str:
+    return re.sub(r"[^a-z0-9]+", "_", name.strip().lower()).strip("_")
+
+
 def rename_snake(df: DataFrame) -> DataFrame:
     """Column names to snake case; two names meeting is an error."""
-    import re
-
-    names = [re.sub(r"[^a-z0-9]+", "_", c.strip().lower()).strip("_") for c in df.columns]
+    names = [snake_name(c) for c in df.columns]
     clash = sorted({n for n in names if names.count(n) > 1})
     if clash:
         raise ValueError(f"column names collide after renaming: {clash}")
@@ -155,7 +160,7 @@ def project_multitask(df: DataFrame, **values) -> DataFrame:
     return df.select(*cols)
 
 
-def label_masks(df: DataFrame, stage: str = "sleep_stage", apnea: str = "apnea_binary", coded_dataset: str = "st_vincent_apnea") -> DataFrame:
+def label_masks(df: DataFrame, stage: str = "sleep_stage", apnea: str = "apnea_binary", coded_dataset: str = CODED_DATASET) -> DataFrame:
     """Multi-task rows: typed columns, normalised labels, masks, and only rows with a label."""
     absent = [c for c in ("dataset_id", "subject_unit_id", "recording_id", "epoch_index", "epoch_start_sec", "epoch_end_sec") if c not in df.columns]
     if absent:
@@ -170,6 +175,8 @@ def label_masks(df: DataFrame, stage: str = "sleep_stage", apnea: str = "apnea_b
         "label_mask_stage": q(stage).isNotNull().cast("int"),
     })
     out = out.filter((F.col("label_mask_apnea") > 0) | (F.col("label_mask_stage") > 0))
+    if out.isEmpty():
+        raise ValueError("no row has a label of either task")
     out = out.dropna(subset=["dataset_id", "subject_unit_id", "recording_id", "epoch_start_sec", "epoch_end_sec"])
     number = {c: q(c).cast("string").try_cast("double") for c in (apnea, "epoch_start_sec", "epoch_end_sec")}
     return out.withColumns({

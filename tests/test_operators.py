@@ -44,6 +44,14 @@ def test_clean_sparse_column_and_null_target(spark):
         clean(df, CleaningOptions(target="absent"))
 
 
+def test_clean_takes_raw_names(spark):
+    df = frame(spark, [("a", 1, 5), ("a", 2, 6), ("b", 3, 7)], "`Subject Id` string, `Row No` int, Value int")
+    out, _ = clean(df, CleaningOptions(target="Value", dedupe_subset=["Subject Id"], order=["Row No"]))
+    assert sorted(column(out, "value")) == [5, 7]
+    with pytest.raises(ValueError):
+        clean(df, CleaningOptions(dedupe_subset=["other"], order=["Row No"]))
+
+
 def test_rename_collision(spark):
     with pytest.raises(ValueError):
         schema.rename_snake(frame(spark, [(1, 2)], "`A b` int, `a_b` int"))
