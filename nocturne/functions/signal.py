@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nocturne.functions import arrays
 from nocturne.functions.arrays import diff, let, variance
 
 # Frequency bands in Hz.

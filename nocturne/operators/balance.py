@@ -167,4 +167,4 @@ def balance_report(before: DataFrame, after: DataFrame, target: str, method: str
     n_after = after.count()
     warn = "smallest class has no more than 5 rows" if method == "smote" and small[0] <= 5 else ""
     return both.select("label", F.coalesce("cnt", F.lit(0)).alias("cnt_before"), F.coalesce("cnt_after", F.lit(0)).alias("cnt_after"), "weight",
-                       F.lit(small[1]).alias("rows_before"), F.lit(n_after).alias("rows_after"), F.lit(warn).alias("warning"))
+                       F.lit(small[1]).cast("bigint").alias("rows_before"), F.lit(n_after).cast("bigint").alias("rows_after"), F.lit(warn).alias("warning"))

@@ -84,6 +84,6 @@ def before_after_compare(raw: DataFrame, processed: DataFrame, target_raw: str,
     both = both.select("label", F.coalesce("raw_count", F.lit(0)).alias("raw_count"), F.coalesce("prep_count", F.lit(0)).alias("prep_count"))
     total = both.agg(F.sum("raw_count").alias("r"), F.sum("prep_count").alias("p"), F.bool_or(F.col("raw_count") != F.col("prep_count")).alias("d")).first()
     return both.select(
-        "label", "raw_count", "prep_count", F.lit(total["r"] or 0).alias("raw_rows"), F.lit(len(raw.columns)).alias("raw_cols"),
-        F.lit(total["p"] or 0).alias("prep_rows"), F.lit(len(processed.columns)).alias("prep_cols"), F.lit(bool(total["d"])).alias("balance_changed"),
+        "label", "raw_count", "prep_count", F.lit(total["r"] or 0).cast("bigint").alias("raw_rows"), F.lit(len(raw.columns)).alias("raw_cols"),
+        F.lit(total["p"] or 0).cast("bigint").alias("prep_rows"), F.lit(len(processed.columns)).alias("prep_cols"), F.lit(bool(total["d"])).alias("balance_changed"),
     )

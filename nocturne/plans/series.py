@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from nocturne.functions import arrays, labels, text
 from nocturne.operators import filters, joins, schema, timeseries
-from nocturne.operators.ordered import positions
 from nocturne.plans import views
 from nocturne.plans.views import ANNOTATIONS, ARRAYS, DIRTY, EPOCHS, INTERVALS, Catalog, r, table
 

@@ -3,10 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nocturne.functions import arrays, signal, text
+from nocturne.functions import arrays, signal
 from nocturne.plans import views
 from nocturne.plans.series import long_samples, rounded
-from nocturne.plans.views import ARRAYS, EPOCHS, INTERVALS, Catalog, r, table
+from nocturne.plans.views import ARRAYS, EPOCHS, Catalog, r, table
 from nocturne.session import shared_dir
 from nocturne.sources import epoch_store, recordings, tables
 
