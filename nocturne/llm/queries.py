@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nocturne.llm import substring_dedup
+from nocturne.llm import decontamination, substring_dedup
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,5 +17,11 @@ def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup}
+def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """What every document shares with the benchmark items."""
+    judged = decontamination.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op4_decontamination": op4_decontamination}
 SQL: dict[str, str] = {}
