@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nocturne.llm.common import ALNUM, Words, binary, materialize, pick
+from nocturne.llm.common import ALNUM, Words, binary, materialize, pick, slices
 
 WORD = re.compile(rb"[^ ]+")
 
@@ -171,7 +171,7 @@ def _scan(shared, carry: list[str], coverage: float, last: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = binary(batch.column("text"))
             words = Words(texts, ALNUM)
             known = np.fromiter((automaton.vocabulary.get(w[:-1], -1) for w in words.dictionary.to_pylist()), np.int64, len(words.dictionary))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nocturne.llm import decontamination, substring_dedup
+from nocturne.llm import decontamination, minhash, substring_dedup
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,5 +23,14 @@ def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op4_decontamination": op4_decontamination}
+def op5_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes of documents that share 85 per cent of their shingles, through links."""
+    return minhash.near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op4_decontamination": op4_decontamination,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
+}
 SQL: dict[str, str] = {}
