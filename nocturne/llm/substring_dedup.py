@@ -1,12 +1,12 @@
 """Removal of passages that another document already has (windows of consecutive words).
 
-Super-k-mer partitioning: every window of ``width`` words has a minimiser, the smallest hash among its runs of three
+Super-k-mer partitioning: every window of ``width`` words has a minimiser, the smallest hash among its runs of two
 words.  Consecutive windows with one minimiser travel as one string of words to the bucket of that minimiser, so that
 equal windows meet, and a window costs about three words of shuffle instead of ``width``.  A bucket sorts its windows
 and compares neighbours word by word, so equal hashes alone decide nothing.
 
-Copies inside one Arrow batch are settled before the shuffle: only a batch's first document of a window is sent on.
-A passage that stands in a third of all documents therefore reaches its bucket once a batch, not once a document.
+Copies inside one slice of a few MB are settled before the shuffle: only a slice's first document of a window is sent on.
+A passage that stands in a third of all documents therefore reaches its bucket once a slice, not once a document.
 """
 from __future__ import annotations
 
@@ -19,9 +19,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nocturne.llm.common import U64, Words, binary, mix, pick, ranges, rolled, shuffle_width, sliding_min, total_bytes, window_starts
+from nocturne.llm.common import U64, Words, binary, mix, pick, rolled, shuffle_width, slices, sliding_min, total_bytes, window_starts
 
-SEED = 3  # words of a minimiser
+SEED = 2  # words of a minimiser
 RANGES = "doc_id long, version long, first int, last int"
 
 
@@ -63,7 +63,7 @@ def _spans(at: np.ndarray, text: np.ndarray, flagged: np.ndarray, width: int) ->
 
 def _pack(doc: np.ndarray, version: np.ndarray, first: np.ndarray, last: np.ndarray, body: bytes) -> bytes:
     head = np.array([len(doc)], "<i8").tobytes() + b"".join(a.astype(t).tobytes() for a, t in ((doc, "<i8"), (version, "<u4"), (first, "<i4"), (last, "<i4")))
-    return zstandard.ZstdCompressor(level=1).compress(head + body)
+    return zstandard.ZstdCompressor(level=3).compress(head + body)
 
 
 def _unpack(blob: bytes):
@@ -79,7 +79,7 @@ def _cut(width: int, buckets: int):
     """Batches of documents to packed super-k-mers (settled false) and spans that are settled already (settled true)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             doc = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             rows = np.argsort(doc, kind="stable")
             doc, texts = doc[rows], binary(batch.column("text").take(pa.array(rows)))
