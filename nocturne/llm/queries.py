@@ -1,10 +1,11 @@
 """The numbered queries and their SQL."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nocturne.llm import decontamination, minhash, substring_dedup
+from nocturne.llm import decontamination, minhash, packing, quality, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -28,9 +29,29 @@ def op5_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Posterior quality of every document: its text, its source and the language within the source."""
+    return quality.score(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("version")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Where every piece of every document goes, in sequences of 2048 tokens."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(table(spark, sf, "documents"), path).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Expected severity of every document."""
+    docs = table(spark, sf, "documents")
+    return toxicity.grade(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+
+
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_toxicity": op10_toxicity,
 }
 SQL: dict[str, str] = {}
