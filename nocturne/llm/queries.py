@@ -5,7 +5,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nocturne.llm import decontamination, minhash, packing, quality, substring_dedup, toxicity
+from nocturne.llm import chat, decontamination, minhash, neighbors, packing, quality, substring_dedup, toxicity, url_filters
+from nocturne.llm.sql import SQL
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,6 +19,15 @@ def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+#: The policy of op3.
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op3_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """The rule and verdict of every page."""
+    return url_filters.judge(table(spark, sf, "pages"), RULES).drop("by_link")
+
+
 def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """What every document shares with the benchmark items."""
     judged = decontamination.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -29,11 +39,27 @@ def op5_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    """Preference pairs: of two conversations with ids 2n and 2n + 1 the first is chosen."""
+    turns = table(spark, sf, "conversations")
+    pairs = turns.filter("conv_id is not null").select(F.expr("conv_id div 2").alias("pair_id")).distinct()
+    pairs = pairs.select("pair_id", (2 * F.col("pair_id")).alias("chosen_id"), (2 * F.col("pair_id") + 1).alias("rejected_id"))
+    made = chat.format_preferences(turns, pairs)
+    learned = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda n, x: n + x["last"] - x["first"])
+    return made.withColumn("chosen_learned", learned("chosen_spans")).withColumn("rejected_learned", learned("rejected_spans")).drop("chosen_spans", "rejected_spans")
+
+
 def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     """Posterior quality of every document: its text, its source and the language within the source."""
     return quality.score(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("version")
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 nearest vectors of every fiftieth."""
+    vectors = table(spark, sf, "embeddings")
+    return neighbors.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Where every piece of every document goes, in sequences of 2048 tokens."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,12 +72,9 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.grade(docs, toxicity.fit(docs, table(spark, sf, "labels")))
 
 
-QUERIES = {
-    "op2_substring_dedup": op2_substring_dedup,
-    "op4_decontamination": op4_decontamination,
-    "op5_minhash_near_dedup": op5_minhash_near_dedup,
-    "op7_quality_classifier": op7_quality_classifier,
-    "op9_best_fit_packing": op9_best_fit_packing,
-    "op10_toxicity": op10_toxicity,
-}
-SQL: dict[str, str] = {}
+_ALL = [
+    op2_substring_dedup, op3_url_filters, op4_decontamination, op5_minhash_near_dedup, op6_chat_formatting, op7_quality_classifier,
+    op8_nearest_neighbours, op9_best_fit_packing, op10_toxicity,
+]
+QUERIES = {f.__name__: f for f in _ALL}
+__all__ = ["QUERIES", "SQL"]
