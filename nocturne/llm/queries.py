@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nocturne.llm import chat, decontamination, minhash, neighbors, packing, quality, substring_dedup, toxicity, url_filters
+from nocturne.llm import chat, decontamination, line_dedup, minhash, neighbors, packing, quality, substring_dedup, toxicity, url_filters
 from nocturne.llm.sql import SQL
 
 
@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that stand earlier in the corpus, equal or with one edit, by document."""
+    return line_dedup.dedup_lines(table(spark, sf, "documents")).drop("text")
+
+
 def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Words of documents left after removal of passages (13 words and more) of documents with a smaller doc_id."""
     left = substring_dedup.remove_repeats(table(spark, sf, "documents"))
@@ -73,7 +78,7 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ALL = [
-    op2_substring_dedup, op3_url_filters, op4_decontamination, op5_minhash_near_dedup, op6_chat_formatting, op7_quality_classifier,
+    op1_line_dedup, op2_substring_dedup, op3_url_filters, op4_decontamination, op5_minhash_near_dedup, op6_chat_formatting, op7_quality_classifier,
     op8_nearest_neighbours, op9_best_fit_packing, op10_toxicity,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
