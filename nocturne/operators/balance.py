@@ -77,14 +77,14 @@ def _by_class(target: str, table: dict[str, int]):
     return F.coalesce(*[F.when(q(target).cast("string") == c, F.lit(n)) for c, n in table.items()], F.lit(0))
 
 
-def random_under(df: DataFrame, target: str, order: list[str], strategy="auto", seed: int = 42, limit: int | None = None) -> DataFrame:
+def random_under(df: DataFrame, target: str, order: list[str], strategy="auto", seed: int = 42) -> DataFrame:
     """Each class cut to its target by hash order; ``order`` names columns that identify a row."""
     goal = targets(counts_of(df, target), True, strategy)
-    placed = positions(_draw_order(df, seed, order), [target], ["_draw", *order], "_pos", limit=limit)
+    placed = positions(_draw_order(df, seed, order), [target], ["_draw", *order], "_pos")
     return placed.filter(F.col("_pos") < _by_class(target, goal)).drop("_draw", "_pos")
 
 
-def drawn_rows(df: DataFrame, target: str, order: list[str], counts: dict[str, int], extra: dict[str, int], seed: int, limit: int | None = None) -> DataFrame:
+def drawn_rows(df: DataFrame, target: str, order: list[str], counts: dict[str, int], extra: dict[str, int], seed: int) -> DataFrame:
     """Rows drawn with replacement: ``extra`` draws per class, each with its number ``_i``.
 
     Draws are hashed row numbers; the join key (class, row number) is spread evenly.
@@ -96,19 +96,19 @@ def drawn_rows(df: DataFrame, target: str, order: list[str], counts: dict[str, i
     ]
     if not drawn:
         return df.limit(0).withColumn("_i", F.lit(0).cast("bigint"))
-    placed = positions(_draw_order(df, seed, order), [target], ["_draw", *order], "_pos", limit=limit).drop("_draw")
+    placed = positions(_draw_order(df, seed, order), [target], ["_draw", *order], "_pos").drop("_draw")
     placed = placed.withColumn("_cls", q(target).cast("string")).filter(F.col("_cls").isin(*extra))
     return placed.join(reduce(DataFrame.unionByName, drawn), ["_cls", "_pos"]).select(*df.columns, "_i")
 
 
-def random_over(df: DataFrame, target: str, order: list[str], strategy="auto", seed: int = 42, limit: int | None = None) -> DataFrame:
+def random_over(df: DataFrame, target: str, order: list[str], strategy="auto", seed: int = 42) -> DataFrame:
     """All rows, plus rows drawn with replacement until each class has its target."""
     counts = counts_of(df, target)
     goal = targets(counts, False, strategy)
-    return df.unionByName(drawn_rows(df, target, order, counts, {c: goal[c] - n for c, n in counts.items()}, seed, limit).drop("_i"))
+    return df.unionByName(drawn_rows(df, target, order, counts, {c: goal[c] - n for c, n in counts.items()}, seed).drop("_i"))
 
 
-def smote(df: DataFrame, target: str, features: list[str] | None = None, strategy="auto", k: int = 5, seed: int = 42, limit: int | None = None, **search) -> DataFrame:
+def smote(df: DataFrame, target: str, features: list[str] | None = None, strategy="auto", k: int = 5, seed: int = 42, **search) -> DataFrame:
     """All rows, plus synthetic ones between a drawn row and one of its k nearest class mates.
 
     Every column but the target must be a numeric feature without nulls.
@@ -128,7 +128,7 @@ def smote(df: DataFrame, target: str, features: list[str] | None = None, strateg
     if not extra:
         return df
     vector = F.array(*[q(c).cast("double") for c in cols])
-    base = drawn_rows(df, target, cols, counts, extra, seed, limit).select(q(target).cast("string").alias("cls"), vector.alias("v"), "_i")
+    base = drawn_rows(df, target, cols, counts, extra, seed).select(q(target).cast("string").alias("cls"), vector.alias("v"), "_i")
     pool = df.filter(q(target).cast("string").isin(*extra)).select(q(target).cast("string").alias("cls"), vector.alias("v"))
     near = neighbors.nearest(base.select("cls", "v").distinct(), neighbors.merged_points(pool, "cls", "v"), k, seed=seed, **search)
     u = (F.pmod(F.xxhash64(F.lit(seed + 2), "cls", "_i"), F.lit(1 << 52)) + 0.5) / float(1 << 52)

@@ -11,7 +11,7 @@ from nocturne.functions.text import normalize_category, parse_number
 from nocturne.operators.filters import deduplicate
 from nocturne.operators.ordered import exact_modes, exact_quantiles
 from nocturne.operators.schema import drop_high_missing, nan_to_null, numeric_columns, q, rename_snake, snake_name, string_columns
-from nocturne.session import cut_lineage
+from nocturne.session import keep
 
 
 def missing_counts(df: DataFrame) -> DataFrame:
@@ -59,12 +59,12 @@ def normalize_strings(df: DataFrame, max_cardinality: int = 50) -> tuple[DataFra
     return df.withColumns({c: normalize_category(q(c)) for c in chosen}) if chosen else df, chosen
 
 
-def impute_fit(df: DataFrame, limit: int | None = None) -> dict[str, object]:
+def impute_fit(df: DataFrame) -> dict[str, object]:
     """Medians of numeric columns and modes of the others; only columns with nulls need a value."""
     null_row = df.agg(*[F.count_if(q(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]).first()
     holed = [c for i, c in enumerate(df.columns) if null_row[i]]
     numeric = [c for c in numeric_columns(df) if c in holed]
-    medians = {c: v[0] for c, v in exact_quantiles(df, numeric, [0.5], limit=limit).items()}
+    medians = {c: v[0] for c, v in exact_quantiles(df, numeric, [0.5]).items()}
     return {**medians, **exact_modes(df, [c for c in holed if c not in numeric], "string")}
 
 
@@ -79,11 +79,11 @@ def impute_apply(df: DataFrame, values: dict[str, object]) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def tukey_fit(df: DataFrame, columns: list[str] | None = None, exclude=(), k: float = 1.5, limit: int | None = None) -> list[dict]:
+def tukey_fit(df: DataFrame, columns: list[str] | None = None, exclude=(), k: float = 1.5) -> list[dict]:
     """Quartiles, fences and the number of values outside them per numeric column."""
     numeric = numeric_columns(df)
     chosen = [c for c in (columns if columns is not None else numeric) if c in numeric and c not in set(exclude)]
-    quart = exact_quantiles(df, chosen, [0.25, 0.75], limit=limit)
+    quart = exact_quantiles(df, chosen, [0.25, 0.75])
     fits = []
     for c in chosen:
         q1, q3 = quart[c]
@@ -164,7 +164,7 @@ def clean(df: DataFrame, options: CleaningOptions | None = None) -> tuple[DataFr
     if lost:
         raise ValueError(f"key columns not found: {lost}")
     left = size["n"] - gone["t"] - gone["e"]
-    data = cut_lineage(deduplicate(data, o.dedupe_subset, o.order))
+    data = keep(deduplicate(data, o.dedupe_subset, o.order))
     rows = data.count()
     log.append(("removed_duplicates", left - rows, ",".join(o.dedupe_subset or [])))
     data = impute_apply(data, impute_fit(data))

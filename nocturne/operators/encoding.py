@@ -31,12 +31,12 @@ def one_hot(df: DataFrame, columns: list[str], drop_first: bool = False, cap: in
     return df.select(*keep, *[col.alias(name) for name, col in added]), [name for name, _ in added]
 
 
-def ordinal(df: DataFrame, column: str, order: list[str], unknown: str = "null", limit: int | None = None) -> DataFrame:
+def ordinal(df: DataFrame, column: str, order: list[str], unknown: str = "null") -> DataFrame:
     """Codes 0..n-1, unknown and missing values filled with the median code (0 when there is none)."""
     coded = df.withColumn(column, ordinal_code(q(column), order, unknown))
     if coded.filter(q(column).isNull()).isEmpty():
         return coded
-    mid = exact_quantiles(coded, [column], [0.5], limit=limit)[column][0]
+    mid = exact_quantiles(coded, [column], [0.5])[column][0]
     return coded.withColumn(column, F.coalesce(q(column), F.lit(0.0 if mid is None else mid)))
 
 

@@ -85,10 +85,10 @@ def unseen_labels(train: DataFrame, test: DataFrame, target: str) -> DataFrame:
     return test.select(q(target).cast("string").alias("label")).distinct().join(known, "label", "left_anti").filter("label is not null")
 
 
-def wake_trim(df: DataFrame, recording: str, order: list[str], stage: str = "sleep_stage", minutes: int = 30, epoch_sec: float = 30.0, limit: int | None = None) -> DataFrame:
+def wake_trim(df: DataFrame, recording: str, order: list[str], stage: str = "sleep_stage", minutes: int = 30, epoch_sec: float = 30.0) -> DataFrame:
     """Keep each recording from a margin before its first non-wake epoch to a margin after its last."""
     margin = int(minutes * 60 / epoch_sec)
-    placed = positions(df, [recording], order, "_pos", limit=limit)
+    placed = positions(df, [recording], order, "_pos")
     awake = F.when(~q(stage).eqNullSafe("W"), F.col("_pos"))
     span = placed.groupBy(recording).agg(F.min(awake).alias("_a"), F.max(awake).alias("_b"), F.count("*").alias("_n"))
     span = span.withColumns({"_lo": F.greatest(F.col("_a") - margin, F.lit(0)), "_hi": F.least(F.col("_b") + margin, F.col("_n") - 1)})
@@ -109,22 +109,22 @@ def task_rows(df: DataFrame, mask: str) -> DataFrame:
     return out
 
 
-def kept_subjects(df: DataFrame, subject: str, keep, seed: int = 42, limit: int | None = None) -> DataFrame:
+def kept_subjects(df: DataFrame, subject: str, keep, seed: int = 42) -> DataFrame:
     """Subjects in hash order whose position passes ``keep(position, n_subjects)``."""
     ids = df.select(q(subject).cast("string").alias("_subject")).filter("_subject is not null").distinct()
     ids = ids.withColumn("_hash", F.xxhash64(F.lit(seed), F.col("_subject")))
     n = ids.count()
-    placed = positions(ids, [], ["_hash", "_subject"], "_rank", limit=limit)
+    placed = positions(ids, [], ["_hash", "_subject"], "_rank")
     return placed.filter(keep(F.col("_rank"), n)).select("_subject")
 
 
-def subject_fraction(df: DataFrame, subject: str, fraction: float, seed: int = 42, limit: int | None = None) -> DataFrame:
+def subject_fraction(df: DataFrame, subject: str, fraction: float, seed: int = 42) -> DataFrame:
     """A seeded share of whole subjects, at least one."""
     if not 0 < fraction <= 1:
         raise ValueError("the fraction must lie in (0, 1]")
     if fraction == 1:
         return df
-    chosen = kept_subjects(df, subject, lambda rank, n: rank < max(1, math.floor(n * fraction)), seed, limit)
+    chosen = kept_subjects(df, subject, lambda rank, n: rank < max(1, math.floor(n * fraction)), seed)
     return df.join(chosen, q(subject).cast("string") == F.col("_subject"), "left_semi")
 
 

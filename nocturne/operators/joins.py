@@ -16,7 +16,7 @@ def flag_by_key(df: DataFrame, events: DataFrame, keys: list[str], out: str = "f
     return df.join(seen, keys, "left").select(*[df[f"`{c}`"] if c not in keys else q(c) for c in df.columns], F.coalesce("_seen", F.lit(0)).alias(out))
 
 
-def flag_by_overlap(epochs: DataFrame, events: DataFrame, recording: str, start: str, end: str, event_start: str, event_end: str, out: str = "flag", limit: int | None = None) -> DataFrame:
+def flag_by_overlap(epochs: DataFrame, events: DataFrame, recording: str, start: str, end: str, event_start: str, event_end: str, out: str = "flag") -> DataFrame:
     """1 where some event of the recording has ``event_start < end and event_end > start``.
 
     Epochs (at their end) and events (at their start) are merged in time order;
@@ -27,7 +27,7 @@ def flag_by_overlap(epochs: DataFrame, events: DataFrame, recording: str, start:
     a = epochs.select("*", q(end).cast("double").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("double").alias("_stop"))
     b = events.select(q(recording), q(event_start).cast("double").alias("_t"), F.lit(1).alias("_kind"), q(event_end).cast("double").alias("_stop"))
     merged = a.unionByName(b.filter(F.col("_t").isNotNull() & F.col("_stop").isNotNull()), allowMissingColumns=True)
-    seen = running(merged, [recording], ["_t", "_kind"], maxes={"_reach": F.col("_stop")}, limit=limit)
+    seen = running(merged, [recording], ["_t", "_kind"], maxes={"_reach": F.col("_stop")})
     hit = F.coalesce(F.col("_reach") > q(start), F.lit(False))
     return seen.filter("_kind = 0").select(*epochs.columns, hit.cast("int").alias(out))
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nocturne.operators.ordered import join_on, running
+from nocturne.operators.ordered import Desc, join_on, running
 from nocturne.operators.schema import q
 
 MAX_LABELS = 1000
@@ -53,22 +53,22 @@ def multiclass_metrics(df: DataFrame, keys: list[str], y_true: str = "y_true", y
 
 
 def score_counts(df: DataFrame, keys: list[str], y_true: str, score: str) -> DataFrame:
-    """Positives and negatives per distinct score."""
+    """Positives and negatives per distinct score. A NaN score is a missing one."""
     y = q(y_true).cast("string").try_cast("double")
-    rows = df.filter(q(score).isNotNull() & y.isNotNull())
+    rows = df.filter(q(score).isNotNull() & ~F.isnan(q(score).cast("double")) & y.isNotNull())
     return rows.groupBy(*keys, q(score).cast("double").alias("score")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y != 1).alias("neg"))
 
 
-def auc_roc(df: DataFrame, keys: list[str], y_true: str = "y_true", score: str = "y_score", out: str = "auc_roc", limit: int | None = None) -> DataFrame:
+def auc_roc(df: DataFrame, keys: list[str], y_true: str = "y_true", score: str = "y_score", out: str = "auc_roc") -> DataFrame:
     """Rank-sum area with ties averaged; null when only one class is present."""
     data, by, made = _keyed(df, keys)
-    cum = running(score_counts(data, by, y_true, score), by, ["score"], sums={"_below": F.col("neg")}, limit=limit)
+    cum = running(score_counts(data, by, y_true, score), by, ["score"], sums={"_below": F.col("neg")})
     p, n = F.sum("pos").cast("double"), F.sum("neg").cast("double")
     won = F.sum(F.col("pos") * (F.col("_below") - F.col("neg") / 2))
     return cum.groupBy(*by).agg((won / F.nullif(p * n, F.lit(0.0))).alias(out)).drop(*made)
 
 
-def binary_metrics(df: DataFrame, keys: list[str], y_true: str = "y_true", y_pred: str = "y_pred", score: str | None = None, limit: int | None = None) -> DataFrame:
+def binary_metrics(df: DataFrame, keys: list[str], y_true: str = "y_true", y_pred: str = "y_pred", score: str | None = None) -> DataFrame:
     """Accuracy, size, sensitivity, specificity, the four cells and the area under the curve."""
     data, by, made = _keyed(df, keys)
     t, p = q(y_true).cast("string").try_cast("double"), q(y_pred).cast("string").try_cast("double")
@@ -78,7 +78,7 @@ def binary_metrics(df: DataFrame, keys: list[str], y_true: str = "y_true", y_pre
     base = base.select(*by, (F.col("_ok") / F.col("n_samples")).alias("accuracy"), "n_samples", share("tp", "fn").alias("sensitivity"), share("tn", "fp").alias("specificity"), "tn", "fp", "fn", "tp")
     if score is None:
         return base.withColumn("auc_roc", F.lit(None).cast("double")).drop(*made)
-    return join_on(base, auc_roc(data, by, y_true, score, limit=limit), by).drop(*made)
+    return join_on(base, auc_roc(data, by, y_true, score), by).drop(*made)
 
 
 def confusion_matrix(df: DataFrame, keys: list[str], y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
@@ -94,12 +94,12 @@ def confusion_matrix(df: DataFrame, keys: list[str], y_true: str = "y_true", y_p
     return join_on(grid, cells, [*by, "label_true", "label_pred"]).withColumn("cnt", F.coalesce("cnt", F.lit(0))).drop(*made)
 
 
-def roc_points(df: DataFrame, keys: list[str], y_true: str = "y_true", score: str = "y_score", limit: int | None = None) -> DataFrame:
+def roc_points(df: DataFrame, keys: list[str], y_true: str = "y_true", score: str = "y_score") -> DataFrame:
     """(threshold, fpr, tpr) per distinct score downwards, from (0, 0); nothing for a single class."""
     data, by, made = _keyed(df, keys)
     per = score_counts(data, by, y_true, score)
     total = per.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n")).filter("_p > 0 and _n > 0")
-    cum = running(per, by, [F.desc("score")], sums={"_tp": F.col("pos"), "_fp": F.col("neg")}, block_on=-F.col("score"), limit=limit)
+    cum = running(per, by, [Desc("score")], sums={"_tp": F.col("pos"), "_fp": F.col("neg")})
     points = join_on(cum, total, by, "inner").select(*by, F.col("score").alias("threshold"), (F.col("_fp") / F.col("_n")).alias("fpr"), (F.col("_tp") / F.col("_p")).alias("tpr"))
     origin = total.select(*by, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return origin.unionByName(points).drop(*made)
@@ -140,11 +140,11 @@ def mcnemar(df: DataFrame, keys: list[str], y_true: str, pred_a: str, pred_b: st
     return counts.select(*by, "b", "c", stat.alias("statistic"), _binomial_two_sided("b", "c").alias("p_value")).drop(*made)
 
 
-def masked_multitask_metrics(df: DataFrame, keys: list[str], apnea: tuple = ("apnea_true", "apnea_pred", "apnea_score", "label_mask_apnea"), stage: tuple = ("stage_true", "stage_pred", "label_mask_stage"), limit: int | None = None) -> DataFrame:
+def masked_multitask_metrics(df: DataFrame, keys: list[str], apnea: tuple = ("apnea_true", "apnea_pred", "apnea_score", "label_mask_apnea"), stage: tuple = ("stage_true", "stage_pred", "label_mask_stage")) -> DataFrame:
     """Both tasks on their masked rows; a task without labels has null metrics and 0 samples."""
     data, by, made = _keyed(df, keys)
     t, p, s, m = apnea
-    bin_ = binary_metrics(data.filter(q(m).cast("int") > 0), by, t, p, s, limit)
+    bin_ = binary_metrics(data.filter(q(m).cast("int") > 0), by, t, p, s)
     st, sp, sm = stage
     multi = multiclass_metrics(data.filter(q(sm).cast("int") > 0), by, st, sp)
     groups = data.select(*by).distinct()

@@ -29,7 +29,7 @@ from nocturne.operators.joins import assign_fold
 from nocturne.operators.reporting import best_params_summary, fold_metrics_summary
 from nocturne.operators.scaling import apply_impute_scale, fit_impute_scale
 from nocturne.operators.schema import q, resolve_features_cross
-from nocturne.session import cut_lineage
+from nocturne.session import keep
 
 # Default hyperparameters and the scorings each task may use.
 DEFAULTS = {
@@ -178,7 +178,7 @@ def fold_predictions(fitted: Fitted, test: DataFrame, target: str, subject: str,
 def with_folds(df: DataFrame, subject: str, target: str, k: int, seed: int, stratify: bool = True) -> DataFrame:
     """Rows with a fold, written once: every fit of the run reads the same files."""
     dealt = fold_ops.stratified_group_folds(df, subject, target, k, seed) if stratify else fold_ops.group_folds(df, subject, k)
-    return cut_lineage(assign_fold(df, dealt.select(subject, "fold"), subject))
+    return keep(assign_fold(df, dealt.select(subject, "fold"), subject))
 
 
 def grid(space: dict[str, list]) -> list[dict]:
@@ -306,7 +306,7 @@ def _task_search(search: Search | None, task: str) -> Search | None:
 
 def run_multitarget_cv(df: DataFrame, subject: str, features: list[str], models: dict[str, dict], *, stage: str = "sleep_stage", apnea: str = "apnea_binary", k: int = 5, seed: int = 42, search: Search | None = None, refit: bool = False) -> tuple[dict[str, CvRun], DataFrame]:
     """Both tasks on one shared fold table; returns the runs and one joined metric row per model and fold."""
-    folded = cut_lineage(fold_ops.with_shared_folds(df, subject, k, stage=stage, apnea=apnea, seed=seed))
+    folded = keep(fold_ops.with_shared_folds(df, subject, k, stage=stage, apnea=apnea, seed=seed))
     runs = {}
     for name, (task, mask) in TASKS.items():
         target = stage if name == "stage" else apnea

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nocturne.functions.arrays import let
-from nocturne.session import cut_lineage
+from nocturne.session import keep
 
 CELL_POINTS = 512
 MAX_PIVOTS = 1024
@@ -137,15 +137,15 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, *, cell_points: int =
 
     ``queries`` holds distinct (cls, v) that also occur in ``points`` (cls, v, times).
     """
-    points = cut_lineage(points)  # read for the sizes, the pivots and the cells
+    points = keep(points)  # read for the sizes, the pivots and the cells
     pivots = pick_pivots(points, "cls", "v", cell_points, seed)
-    spots = cut_lineage(assign_cells(points, "cls", "v", pivots))
+    spots = keep(assign_cells(points, "cls", "v", pivots))
     asked = queries.join(spots.select("cls", "v", "cell"), ["cls", "v"]).withColumn("far", F.lit(float("inf")))  # queries are points: their cells are known
     home = _probe(asked, spots, k, rows_per_task)
     if max((len(p) for p in pivots.values()), default=1) == 1:
         return home.select("cls", "v", _trim(F.col("near"), F.col("v"), k).alias("near"))
 
-    home = cut_lineage(home)  # read twice below
+    home = keep(home)  # read twice below
     radius = {(r["cls"], r["cell"]): r["r"] for r in spots.groupBy("cls", "cell").agg(F.max("reach").alias("r")).collect()}
     limits = {c: np.array([radius.get((c, i), -np.inf) for i in range(len(p))]) for c, p in pivots.items()}
     apart = {c: _distances(p, p) for c, p in pivots.items()}

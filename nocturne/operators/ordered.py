@@ -1,81 +1,97 @@
-"""Ordered calculations inside groups, safe when one group holds most of the rows.
-
-A window partitioned by the group key runs each group in one task.  The functions
-here use that plan only after measuring that the largest group is within
-``GROUP_LIMIT`` rows.  Beyond it, every group is cut along its own order into
-blocks of similar size (cut points are approximate quantiles of the order), the
-window runs per (group, block), and a small table carries totals between blocks.
-Both plans give the same rows.
+"""Ordered calculations inside groups, by one plan for every size.
+
+A window partitioned by the group key alone would run each group in one task.  Here the rows are cut into ranges of
+(keys, order): a random sample of bounded size gives the cut points, and a row's range is found by comparing it with
+them.  The window runs per (keys, range), and a table of at most one row per cut point carries the totals of a
+group's earlier ranges.  A group that holds most rows is spread over most ranges, and so is one order value that many
+rows share if a later order column tells them apart.  Any cut points give the same result.
+
+Order columns may be of any type Spark can sort.  Nulls come first (last when descending) and NaN is the largest
+number, as in Spark's own sorting; quantiles and modes take NaN for null.
 """
 from __future__ import annotations
 
 import math
-import os
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GROUP_LIMIT = 5_000_000
-MAX_BLOCKS = 16384
-CUT_ROWS = 2_000  # sampled rows per block when cut points are chosen
-
-
-def group_peak(df: DataFrame, keys: list[str]) -> tuple[int, int, bool]:
-    """Rows in the largest group, rows in total, and whether a key is null (one partially aggregated job)."""
-    if not keys:
-        n = df.count()
-        return n, n, False
-    holed = reduce(lambda a, b: a | b, [F.col(f"`{k}`").isNull() for k in keys])
-    row = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count"), F.bool_or(holed)).first()
-    return int(row[0] or 0), int(row[1] or 0), bool(row[2])
-
-
-def sort_number(df: DataFrame, name: str) -> Column:
-    """A double that never decreases along the ascending order of the column."""
-    kind = df.schema[name].dataType
-    col = F.col(f"`{name}`")
-    if isinstance(kind, T.StringType):
-        lo, hi = df.agg(F.min(col), F.max(col)).first()
-        shared = os.path.commonprefix([(lo or "").encode(), (hi or "").encode()])
-        piece = F.hex(F.substring(F.encode(col, "UTF-8"), len(shared) + 1, 6))
-        number = F.conv(F.rpad(piece, 12, "0"), 16, 10).cast("double")
-    elif isinstance(kind, T.TimestampNTZType):
-        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        number = F.timestamp_diff("MICROSECOND", epoch, col).cast("double")
-    elif isinstance(kind, T.TimestampType):
-        number = F.unix_micros(col).cast("double")
-    elif isinstance(kind, T.DateType):
-        number = F.unix_date(col).cast("double")
-    else:
-        number = col.cast("double")
-    return F.coalesce(number, F.lit(float("-inf")))
+SAMPLE_PER_RANGE = 24  # sampled rows for each cut point
+MOST_RANGES = 2_000  # ranges have no size limit: a window streams through a sorted range
+PIECE_ROWS = 65_536  # rows between two borders when values are shifted
 
 
-def with_blocks(df: DataFrame, number: Column, total: int, limit: int) -> DataFrame:
-    """Add ``_block``: quantile ranges of ``number``, each holding about half of ``limit`` rows."""
-    n_blocks = max(2, min(MAX_BLOCKS, math.ceil(2 * total / limit)))
-    keyed = df.withColumn("_num", number)
-    probs = [i / n_blocks for i in range(1, n_blocks)]
-    # Any cuts give the same result, so a sample decides where they fall.
-    some = keyed.select("_num").filter(F.col("_num") > float("-inf")).sample(min(1.0, CUT_ROWS * n_blocks / total), 7)
-    cuts = some.approxQuantile("_num", probs, 1.0 / (4 * n_blocks))
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    if len(splits) < 3:
-        return keyed.withColumn("_block", F.lit(0)).drop("_num")
-    cut = Bucketizer(splits=splits, inputCol="_num", outputCol="_block").transform(keyed)
-    return cut.withColumn("_block", F.col("_block").cast("int")).drop("_num")
+@dataclass(frozen=True)
+class Desc:
+    """A descending order column."""
 
+    name: str
 
-def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", nulls: bool = True) -> DataFrame:
-    """Equi-join on keys that treats nulls as equal and keeps the left key columns.
 
-    Where no key is null the plain join is the better one: it can use the partitioning both sides already have.
-    """
-    if not nulls:
-        return left.join(right, keys, how)
+def _name(entry: str | Desc) -> str:
+    return entry.name if isinstance(entry, Desc) else entry
+
+
+def _sort(entry: str | Desc) -> Column:
+    return F.desc(f"`{entry.name}`") if isinstance(entry, Desc) else F.asc(f"`{entry}`")
+
+
+def _literal(value, kind: T.DataType) -> Column:
+    """A constant of the given type."""
+    if value is None:
+        return F.lit(None).cast(kind)
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return F.array(*[_literal(v, kind.elementType) for v in value]).cast(kind)
+    return F.lit(value).cast(kind)
+
+
+def _before(entry: str | Desc, bound: Column) -> tuple[Column, Column]:
+    """Whether a row's value sorts before the bound, and whether it equals it."""
+    col = F.col(f"`{_name(entry)}`")
+    if isinstance(entry, Desc):
+        less = F.when(col.isNull(), False).when(bound.isNull(), True).otherwise(col > bound)
+    else:
+        less = F.when(bound.isNull(), False).when(col.isNull(), True).otherwise(col < bound)
+    return less, col.eqNullSafe(bound)
+
+
+def range_of(df: DataFrame, by: list[str | Desc], ranges: int | None = None) -> Column:
+    """The number of the range a row falls into, along ``by``; cut points come from one job over a random sample."""
+    wanted = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(1, min(wanted, MOST_RANGES))
+    names = [_name(e) for e in by]
+    sample = df.select(*[F.col(f"`{n}`") for n in names]).orderBy(F.rand(7)).limit(SAMPLE_PER_RANGE * wanted)
+    rows = sample.orderBy(*[_sort(e) for e in by]).collect()
+    step = max(1, -(-len(rows) // wanted))
+    cuts = []
+    for row in rows[step::step]:
+        if not cuts or tuple(row) != tuple(cuts[-1]):
+            cuts.append(row)
+    kinds = [df.schema[n].dataType for n in names]
+
+    def below(row) -> Column:
+        out = F.lit(False)
+        for entry, value, kind in reversed(list(zip(by, row, kinds))):
+            less, equal = _before(entry, _literal(value, kind))
+            out = less | (equal & out)
+        return out
+
+    def find(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(below(cuts[mid]), find(lo, mid)).otherwise(find(mid + 1, hi))
+
+    return find(0, len(cuts))
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Equi-join on keys that treats nulls as equal and keeps the left key columns."""
     renamed = right.select(*[F.col(f"`{c}`").alias(f"_r_{c}") if c in keys else F.col(f"`{c}`") for c in right.columns])
     cond = reduce(lambda a, b: a & b, [left[f"`{k}`"].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
     joined = left.join(renamed, cond, how)
@@ -83,141 +99,122 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left
 
 
 def running(
-    df: DataFrame,
-    keys: list[str],
-    order: list,
-    *,
-    sums: dict[str, Column] | None = None,
-    maxes: dict[str, Column] | None = None,
-    block_on: Column | None = None,
-    limit: int | None = None,
-    at_most: int | None = None,
+    df: DataFrame, keys: list[str], order: list[str | Desc], *, sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None, ranges: int | None = None
 ) -> DataFrame:
-    """Running sums and maxima along ``order`` within ``keys``, current row included.
-
-    ``order`` must be a total order.  ``block_on`` is a double that never decreases
-    along it; by default it is taken from the first order column (a name).
-    ``at_most`` is a known bound on the rows of any group; within the limit it
-    spares the measurement.
-    """
-    sums, maxes, limit = sums or {}, maxes or {}, limit or GROUP_LIMIT
+    """Running sums and maxima along ``order`` within ``keys``, current row included. Rows that ``order`` ties come in any order."""
+    sums, maxes = sums or {}, maxes or {}
     fns = {**{n: F.sum for n in sums}, **{n: F.max for n in maxes}}
     data = df.select("*", *[c.alias(f"_in_{n}") for n, c in {**sums, **maxes}.items()])
-    peak, total, nulls = (at_most, at_most, True) if at_most is not None and at_most <= limit else group_peak(df, keys)
-
-    def over(by):
-        return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-
-    if peak <= limit:
-        w = over(keys)
-        return data.select(*df.columns, *[f(f"_in_{n}").over(w).alias(n) for n, f in fns.items()])
-
-    number = block_on if block_on is not None else sort_number(df, order[0])
-    cut = with_blocks(data, number, total, limit)
-    by = [*keys, "_block"]
-    local = cut.select(*df.columns, "_block", *[f(f"_in_{n}").over(over(by)).alias(f"_in_{n}") for n, f in fns.items()])
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        cut.groupBy(*by)
-        .agg(*[f(f"_in_{n}").alias(f"_tot_{n}") for n, f in fns.items()])
-        .select(*by, *[f(f"_tot_{n}").over(before).alias(f"_carry_{n}") for n, f in fns.items()])
-    )
-    both = join_on(local, carry, by, nulls=nulls)
+    cut = data.withColumn("_range", range_of(df, [*keys, *order], ranges))
+    by = [*[f"`{k}`" for k in keys], "_range"]
+    along = Window.partitionBy(*by).orderBy(*[_sort(e) for e in order]).rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.select(*[f"`{c}`" for c in df.columns], "_range", *[f(f"_in_{n}").over(along).alias(f"_in_{n}") for n, f in fns.items()])
+    before = Window.partitionBy(*by[:-1]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*by).agg(*[f(f"_in_{n}").alias(f"_tot_{n}") for n, f in fns.items()])
+    carry = totals.select(*by, F.count("*").over(before).alias("_earlier"), *[f(f"_tot_{n}").over(before).alias(f"_carry_{n}") for n, f in fns.items()])
+    carry = carry.filter("_earlier > 0").drop("_earlier")  # a group in two ranges has a cut point inside, so there are at most as many rows as cuts
+    both = join_on(local, F.broadcast(carry), [*keys, "_range"])
     merged = [
-        F.coalesce(F.col(f"_in_{n}") + F.col(f"_carry_{n}"), f"_in_{n}", f"_carry_{n}").alias(n)
-        if n in sums
-        else F.greatest(f"_in_{n}", f"_carry_{n}").alias(n)
+        F.coalesce(F.col(f"_in_{n}") + F.col(f"_carry_{n}"), f"_in_{n}", f"_carry_{n}").alias(n) if n in sums else F.greatest(f"_in_{n}", f"_carry_{n}").alias(n)
         for n in fns
     ]
-    return both.select(*df.columns, *merged)
+    return both.select(*[f"`{c}`" for c in df.columns], *merged)
 
 
-def positions(df: DataFrame, keys: list[str], order: list, name: str = "pos", **kw) -> DataFrame:
+def positions(df: DataFrame, keys: list[str], order: list[str | Desc], name: str = "pos", ranges: int | None = None) -> DataFrame:
     """Zero-based position of each row within its group."""
-    return running(df, keys, order, sums={name: F.lit(1).cast("bigint")}, **kw).withColumn(name, F.col(name) - 1)
+    return running(df, keys, order, sums={name: F.lit(1).cast("bigint")}, ranges=ranges).withColumn(name, F.col(name) - 1)
 
 
-def shifted(
-    df: DataFrame,
-    keys: list[str],
-    order: list,
-    wanted: dict[str, tuple[str, int]],
-    *,
-    block_on: Column | None = None,
-    limit: int | None = None,
-) -> DataFrame:
+def shifted(df: DataFrame, keys: list[str], order: list[str | Desc], wanted: dict[str, tuple[str, int]], *, ranges: int | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Add ``name = column at offset`` (negative: earlier rows) without leaving the group.
 
-    Beyond the limit, each group is cut at fixed positions and every piece also
-    receives the few rows next to its edges, so no piece needs the whole group.
+    Each group is cut at fixed positions and every piece also receives the few rows next to its borders, so no piece needs the whole group.
     """
-    limit = limit or GROUP_LIMIT
-
-    def pick(w):
-        return [
-            (F.lag(f"`{c}`", -k) if k < 0 else F.lead(f"`{c}`", k)).over(w).alias(n) for n, (c, k) in wanted.items()
-        ]
-
-    if group_peak(df, keys)[0] <= limit:
-        return df.select("*", *pick(Window.partitionBy(*keys).orderBy(*order)))
-
     reach = max(abs(k) for _, k in wanted.values())
-    width = max(limit // 2, reach + 1)
-    placed = positions(df, keys, order, "_pos", block_on=block_on, limit=limit)
+    width = max(piece_rows, reach + 1)
+    placed = positions(df, keys, order, "_pos", ranges)
     home, offset = F.floor(F.col("_pos") / width), F.col("_pos") % width
-    copies = F.array_compact(
-        F.array(
-            home,
-            F.when(offset < reach, home - 1),
-            F.when(offset >= width - reach, home + 1),
-        )
-    )
+    copies = F.array_compact(F.array(home, F.when((offset < reach) & (home > 0), home - 1), F.when(offset >= width - reach, home + 1)))
     spread = placed.withColumn("_home", home).withColumn("_piece", F.explode(copies))
-    w = Window.partitionBy(*keys, "_piece").orderBy("_pos")
-    return spread.select(*df.columns, "_home", "_piece", *pick(w)).filter("_home = _piece").drop("_home", "_piece")
+    w = Window.partitionBy(*[f"`{k}`" for k in keys], "_piece").orderBy("_pos")
+    picked = [(F.lag(f"`{c}`", -k) if k < 0 else F.lead(f"`{c}`", k)).over(w).alias(n) for n, (c, k) in wanted.items()]
+    return spread.select(*[f"`{c}`" for c in df.columns], "_home", "_piece", *picked).filter("_home = _piece").drop("_home", "_piece")
 
 
-def value_counts(df: DataFrame, columns: list[str], as_type: str = "double") -> DataFrame:
-    """Long (name, value, cnt) table of non-null values; the shuffle carries partial counts."""
-    pairs = [F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast(as_type).alias("value")) for c in columns]
-    long = df.select(F.explode(F.array(*pairs)).alias("kv")).select("kv.*")
-    return long.filter(F.col("value").isNotNull()).groupBy("name", "value").agg(F.count("*").alias("cnt"))
+# Quantiles and modes
 
 
-def quantiles_and_modes(
-    df: DataFrame, columns: list[str], probs: list[float], *, limit: int | None = None
-) -> tuple[dict[str, list[float | None]], dict[str, float | None]]:
-    """Exact linear-interpolated quantiles, and the most frequent value (smallest on ties), per column.
+def _family(kind: T.DataType) -> str:
+    """The type in which values of a column are counted, without loss."""
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return "bigint"
+    if isinstance(kind, T.DecimalType):
+        return kind.simpleString()
+    return "double" if isinstance(kind, (T.FloatType, T.DoubleType, T.BooleanType)) else "string"
 
-    Values are counted, counts are accumulated along the sorted values, and the
-    values around each rank are read off, so nothing holds a whole column.
-    """
-    if not columns:
-        return {}, {}
-    sizes = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    last = {c: n - 1 for c, n in zip(columns, sizes)}
-    cum = running(value_counts(df, columns), ["name"], ["value"], sums={"cum": F.col("cnt")}, limit=limit, at_most=max(sizes))
-    at = lambda rank: F.coalesce(*[F.when(F.col("name") == c, F.lit(rank(m))) for c, m in last.items()])
-    marks = [F.min(F.struct(-F.col("cnt"), "value")).alias("mode")]
-    for i, q in enumerate(probs):
-        marks.append(F.min(F.when(F.col("cum") > at(lambda m, q=q: math.floor(m * q)), F.col("value"))).alias(f"lo{i}"))
-        marks.append(F.min(F.when(F.col("cum") > at(lambda m, q=q: math.ceil(m * q)), F.col("value"))).alias(f"hi{i}"))
-    found = {r["name"]: r for r in cum.groupBy("name").agg(*marks).collect()}
-    quantiles: dict[str, list[float | None]] = {}
+
+def _by_family(df: DataFrame, columns: list[str], as_type: str | None) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
     for c in columns:
-        r, m = found.get(c), last[c]
-        quantiles[c] = [None if r is None else r[f"lo{i}"] + (r[f"hi{i}"] - r[f"lo{i}"]) * (m * q - math.floor(m * q)) for i, q in enumerate(probs)]
-    return quantiles, {c: found[c]["mode"]["value"] if c in found else None for c in columns}
+        out.setdefault(as_type or _family(df.schema[c].dataType), []).append(c)
+    return out
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], *, limit: int | None = None) -> dict[str, list[float | None]]:
-    return quantiles_and_modes(df, columns, probs, limit=limit)[0]
+def value_counts(df: DataFrame, columns: list[str], as_type: str = "double") -> DataFrame:
+    """Long (name, value, cnt) table of values that are neither null nor NaN; the shuffle carries partial counts."""
 
+    def clean(c: str) -> Column:
+        x = F.col(f"`{c}`")
+        return F.when(~F.isnan(x), x).cast(as_type) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else x.cast(as_type)
 
-def exact_modes(df: DataFrame, columns: list[str], as_type: str = "double") -> dict:
-    """Most frequent value per column, the smallest on ties."""
-    if not columns:
-        return {}
-    best = value_counts(df, columns, as_type).groupBy("name").agg(F.min(F.struct(-F.col("cnt"), "value")).alias("b"))
-    found = {r["name"]: r["v"] for r in best.select("name", F.col("b.value").alias("v")).collect()}
-    return {c: found.get(c) for c in columns}
+    pairs = [F.struct(F.lit(c).alias("name"), clean(c).alias("value")) for c in columns]
+    long = df.select(F.explode(F.array(*pairs)).alias("kv")).select("kv.*")
+    return long.filter(F.col("value").isNotNull()).groupBy("name", "value").agg(F.count("*").alias("cnt"))
+
+
+def _between(lo, hi, share: float):
+    """Linear interpolation; whole numbers stay exact where both ends agree."""
+    if lo == hi:
+        return float(lo)
+    lo, hi = float(lo), float(hi)
+    return lo + (hi - lo) * share
+
+
+def quantiles_and_modes(df: DataFrame, columns: list[str], probs: list[float], *, ranges: int | None = None) -> tuple[dict[str, list[float | None]], dict]:
+    """Exact linear-interpolated quantiles, and the most frequent value (smallest on ties), per numeric column.
+
+    Values are counted in their own type, counts are accumulated along the sorted values, and the values around each rank are
+    read off, so nothing holds a whole column.
+    """
+    quantiles: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    modes: dict = {c: None for c in columns}
+    for family, names in _by_family(df, columns, None).items():
+        counts = value_counts(df, names, family)
+        last = {r["name"]: r["n"] - 1 for r in counts.groupBy("name").agg(F.sum("cnt").alias("n")).collect()}
+        if not last:
+            continue
+        cum = running(counts, ["name"], ["value"], sums={"cum": F.col("cnt")}, ranges=ranges)
+        at = lambda rank, last=last: F.coalesce(*[F.when(F.col("name") == c, F.lit(rank(m))) for c, m in last.items()])
+        marks = [F.min(F.struct(-F.col("cnt"), "value")).alias("mode")]
+        for i, p in enumerate(probs):
+            marks.append(F.min(F.when(F.col("cum") > at(lambda m, p=p: math.floor(m * p)), F.col("value"))).alias(f"lo{i}"))
+            marks.append(F.min(F.when(F.col("cum") > at(lambda m, p=p: math.ceil(m * p)), F.col("value"))).alias(f"hi{i}"))
+        for r in cum.groupBy("name").agg(*marks).collect():
+            c, m = r["name"], last[r["name"]]
+            quantiles[c] = [_between(r[f"lo{i}"], r[f"hi{i}"], m * p - math.floor(m * p)) for i, p in enumerate(probs)]
+            modes[c] = r["mode"]["value"]
+    return quantiles, modes
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], *, ranges: int | None = None) -> dict[str, list[float | None]]:
+    return quantiles_and_modes(df, columns, probs, ranges=ranges)[0]
+
+
+def exact_modes(df: DataFrame, columns: list[str], as_type: str | None = None) -> dict:
+    """Most frequent value per column, the smallest on ties, counted in the column's own type unless one is given."""
+    found: dict = {c: None for c in columns}
+    for family, names in _by_family(df, columns, as_type).items():
+        best = value_counts(df, names, family).groupBy("name").agg(F.min(F.struct(-F.col("cnt"), "value")).alias("b"))
+        found |= {r["name"]: r["v"] for r in best.select("name", F.col("b.value").alias("v")).collect()}
+    return found

@@ -64,7 +64,7 @@ def corrected_kurtosis(n, biased):
     return F.when(n >= 4, (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * biased + 6))
 
 
-def describe_numeric(df: DataFrame, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
+def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """count, mean, median, mode, spread, range, iqr and corrected shape per numeric column."""
     names = columns or numeric_columns(df)
     aggs = []
@@ -74,7 +74,7 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None, limit: int
             F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"), F.var_samp(x).alias(f"var{i}"),
             F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), F.skewness(x).alias(f"skew{i}"), F.kurtosis(x).alias(f"kurt{i}"),
         ]
-    quart, modes = quantiles_and_modes(df, names, [0.25, 0.5, 0.75], limit=limit)
+    quart, modes = quantiles_and_modes(df, names, [0.25, 0.5, 0.75])
     cells = []
     for i, c in enumerate(names):
         lo, mid, hi = quart[c]
@@ -117,21 +117,21 @@ def correlation_pearson(df: DataFrame, columns: list[str] | None = None) -> Data
     return out
 
 
-def average_ranks(counts: DataFrame, value: str, cnt: str, out: str, limit: int | None = None, at_most: int | None = None) -> DataFrame:
+def average_ranks(counts: DataFrame, value: str, cnt: str, out: str) -> DataFrame:
     """Average rank of each distinct value, from value counts accumulated in value order."""
-    cum = running(counts, [], [value], sums={"_cum": F.col(cnt)}, limit=limit, at_most=at_most)
+    cum = running(counts, [], [value], sums={"_cum": F.col(cnt)})
     return cum.select(value, (F.col("_cum") - F.col(cnt) + (F.col(cnt) + 1) / 2).alias(out))
 
 
-def correlation_spearman(df: DataFrame, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
+def correlation_spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson on average ranks, ranks taken on the rows complete for the pair."""
     names = columns or numeric_columns(df)
-    out, n_rows = None, df.count()  # no column has more distinct values than this
+    out = None
     for a, b in combinations(names, 2):
         rows = df.select(q(a).cast("double").alias("x"), q(b).cast("double").alias("y")).dropna()
         cells = rows.groupBy("x", "y").agg(F.count("*").alias("n"))
-        rx = average_ranks(rows.groupBy("x").agg(F.count("*").alias("c")), "x", "c", "rx", limit, n_rows)
-        ry = average_ranks(rows.groupBy("y").agg(F.count("*").alias("c")), "y", "c", "ry", limit, n_rows)
+        rx = average_ranks(rows.groupBy("x").agg(F.count("*").alias("c")), "x", "c", "rx")
+        ry = average_ranks(rows.groupBy("y").agg(F.count("*").alias("c")), "y", "c", "ry")
         n = F.sum("n").cast("double")
         mid = (F.sum(F.col("n")) + 1) / 2
         sums = cells.join(rx, "x").join(ry, "y").agg(
@@ -170,9 +170,9 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     )
 
 
-def box_stats(df: DataFrame, columns: list[str], limit: int | None = None) -> DataFrame:
+def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Quartiles, whisker ends at 1.5 iqr and the number of points beyond them."""
-    quart = exact_quantiles(df, columns, [0.25, 0.5, 0.75], limit=limit)
+    quart = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     usable = [c for c in columns if quart[c][0] is not None]
     aggs, cells = [], []
     for i, c in enumerate(usable):

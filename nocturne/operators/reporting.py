@@ -59,13 +59,13 @@ def direction_table(df: DataFrame, metrics: list[str], keys=("direction", "model
     return df.select(*keys, *[_three(q(m)).alias(m) for m in metrics])
 
 
-def bootstrap_mean_ci(df: DataFrame, keys: list[str], value: str, order: list[str], n_boot: int = 5000, seed: int = 42, limit: int | None = None) -> DataFrame:
+def bootstrap_mean_ci(df: DataFrame, keys: list[str], value: str, order: list[str], n_boot: int = 5000, seed: int = 42) -> DataFrame:
     """Mean and percentile interval of resampled means; one value gives a point.
 
     Draws are hashed positions, joined to the values by position, averaged per resample.
     """
     vals = df.filter(q(value).isNotNull())
-    placed = positions(vals.select(*keys, q(value).cast("double").alias("_v"), *[q(c) for c in order if c not in keys]), keys, order, "_pos", limit=limit)
+    placed = positions(vals.select(*keys, q(value).cast("double").alias("_v"), *[q(c) for c in order if c not in keys]), keys, order, "_pos")
     sizes = vals.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(q(value).cast("double")).alias("mean"))
     rep = sizes.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     # The draws of one resample are made in rows of at most 10 000, then spread.
@@ -135,7 +135,7 @@ def _replicate_aucs(cells: DataFrame, score: str, n_boot: int, seed: int, block_
     return pairs.groupBy("replicate").agg((F.sum("won") / F.nullif(total, F.lit(0.0))).alias(out))
 
 
-def bootstrap_auc_diff(df: DataFrame, y_true: str, score_a: str, score_b: str, n_boot: int = 5000, seed: int = 42, block_rows: int = BLOCK_ROWS, limit: int | None = None) -> DataFrame:
+def bootstrap_auc_diff(df: DataFrame, y_true: str, score_a: str, score_b: str, n_boot: int = 5000, seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Area difference of two models on the same rows with a percentile interval of paired resamples.
 
     Equal (truth, score, score) rows form one cell whose Poisson resample weight
@@ -149,7 +149,7 @@ def bootstrap_auc_diff(df: DataFrame, y_true: str, score_a: str, score_b: str, n
     a = _replicate_aucs(cells, "sa", n_boot, seed, block_rows, "a")
     b = _replicate_aucs(cells, "sb", n_boot, seed, block_rows, "b")
     ci = a.join(b, "replicate").agg(F.percentile(F.col("a") - F.col("b"), F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
-    base_a, base_b = auc_roc(rows, [], "y", "sa", "a", limit), auc_roc(rows, [], "y", "sb", "b", limit)
+    base_a, base_b = auc_roc(rows, [], "y", "sa", "a"), auc_roc(rows, [], "y", "sb", "b")
     # Three tables of one row each become one row by a union, not a join.
     rows = base_a.unionByName(base_b, allowMissingColumns=True).unionByName(ci, allowMissingColumns=True)
     one = rows.agg(F.max("a").alias("a"), F.max("b").alias("b"), F.max("p").alias("p"))

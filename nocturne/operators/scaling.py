@@ -40,9 +40,9 @@ def scale_apply(df: DataFrame, fit: dict[str, tuple[float, float]]) -> DataFrame
     return df.withColumns(out) if out else df
 
 
-def fit_impute_scale(train: DataFrame, features: list[str], scale: bool = True, limit: int | None = None) -> dict:
+def fit_impute_scale(train: DataFrame, features: list[str], scale: bool = True) -> dict:
     """Medians and, on the imputed rows, means and deviations of the training rows only."""
-    medians = {c: v[0] for c, v in exact_quantiles(train, features, [0.5], limit=limit).items()}
+    medians = {c: v[0] for c, v in exact_quantiles(train, features, [0.5]).items()}
     fit = {"medians": medians, "scale": {}}
     if scale:
         fit["scale"] = scale_fit(apply_impute_scale(train, fit), features)

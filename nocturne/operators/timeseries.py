@@ -1,15 +1,14 @@
 """Epoching, windows and context."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nocturne.operators import ordered
 from nocturne.operators.ordered import join_on, positions, running, shifted
 from nocturne.operators.schema import q
 
 
-def expand_intervals(df: DataFrame, recording: str, order: list[str], *, onset: str = "onset", duration: str = "duration", label: Column, fs: Column, signal_len: Column, epoch_sec: float = 30.0, limit: int | None = None) -> DataFrame:
+def expand_intervals(df: DataFrame, recording: str, order: list[str], *, onset: str = "onset", duration: str = "duration", label: Column, fs: Column, signal_len: Column, epoch_sec: float = 30.0) -> DataFrame:
     """Annotations to whole epochs; unmapped labels and epochs past the signal end are left out of the numbering."""
     n = F.floor(q(duration) / epoch_sec).cast("int")
     rows = df.withColumn("_label", label).filter(F.col("_label").isNotNull() & (n > 0))
@@ -22,13 +21,13 @@ def expand_intervals(df: DataFrame, recording: str, order: list[str], *, onset:
         "epoch_end_sample": F.bround((start + epoch_sec) * fs).cast("bigint"),
         "_len": signal_len,
     }).filter((F.col("epoch_end_sample") <= F.col("_len")) & (F.col("epoch_start_sample") < F.col("epoch_end_sample")))
-    placed = positions(rows, [recording], [*order, "_i"], "epoch_index", limit=limit)
+    placed = positions(rows, [recording], [*order, "_i"], "epoch_index")
     return placed.select(recording, "epoch_index", "epoch_start_sample", "epoch_end_sample", "epoch_start_sec", "epoch_end_sec", F.col("_label").alias("sleep_stage"))
 
 
-def segments_to_next(df: DataFrame, recording: str, order: list[str], sample: str, signal_len: Column, fs: Column, limit: int | None = None) -> DataFrame:
+def segments_to_next(df: DataFrame, recording: str, order: list[str], sample: str, signal_len: Column, fs: Column) -> DataFrame:
     """Each annotation lasts until the next one of its recording, the last until the record end."""
-    out = shifted(df, [recording], order, {"_next": (sample, 1)}, limit=limit)
+    out = shifted(df, [recording], order, {"_next": (sample, 1)})
     end = F.coalesce(F.col("_next"), signal_len).cast("bigint")
     return out.select(
         *df.columns, q(sample).alias("epoch_start_sample"), end.alias("epoch_end_sample"),
@@ -80,42 +79,33 @@ def slice_channel_stats(samples: DataFrame, epochs: DataFrame, channels: dict[st
     return epochs.join(hits.groupBy(*keys, epoch_key).agg(*aggs), [*keys, epoch_key], "left")
 
 
-def temporal_context(df: DataFrame, recording: str, order: str, features: list[str], lags=(1, 2), leads=(1, 2), limit: int | None = None) -> DataFrame:
+def temporal_context(df: DataFrame, recording: str, order: str, features: list[str], lags=(1, 2), leads=(1, 2)) -> DataFrame:
     """Earlier and later values of each feature; at the edges the recording's first or last non-null value."""
     steps = [("lag", -k) for k in sorted(set(lags)) if k > 0] + [("lead", k) for k in sorted(set(leads)) if k > 0]
     wanted = {f"{c}_{way}{abs(k)}": (c, k) for way, k in steps for c in features}
-    peak = ordered.group_peak(df, [recording])[0]
-    if peak <= (limit or ordered.GROUP_LIMIT):
-        w = Window.partitionBy(recording).orderBy(order)
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        cols = []
-        for name, (c, k) in wanted.items():
-            edge = (F.first if k < 0 else F.last)(q(c), ignorenulls=True).over(whole)
-            cols.append(F.coalesce((F.lag(q(c), -k) if k < 0 else F.lead(q(c), k)).over(w), edge).alias(name))
-        return df.select("*", *cols)
     edges = []
     for c in features:
         at = F.when(q(c).isNotNull(), q(order))
         edges += [F.min_by(q(c), at).alias(f"_f_{c}"), F.max_by(q(c), at).alias(f"_l_{c}")]
-    moved = join_on(shifted(df, [recording], [order], wanted, limit=limit), df.groupBy(recording).agg(*edges), [recording])
+    moved = join_on(shifted(df, [recording], [order], wanted), df.groupBy(recording).agg(*edges), [recording])
     fill = [F.coalesce(q(n), q(f"_f_{c}" if k < 0 else f"_l_{c}")).alias(n) for n, (c, k) in wanted.items()]
     return moved.select(*df.columns, *fill)
 
 
-def sequence_index(df: DataFrame, recording: str, order: list[str], length: int, limit: int | None = None) -> DataFrame:
+def sequence_index(df: DataFrame, recording: str, order: list[str], length: int) -> DataFrame:
     """Per epoch its row number in (recording, order) and a centred window of row numbers clamped to the recording."""
     if length <= 0 or length % 2 == 0:
         raise ValueError("the window length must be positive and odd")
     half = length // 2
     sizes = df.groupBy(recording).agg(F.count("*").alias("_n"))
-    base = running(sizes, [], [recording], sums={"_end": F.col("_n")}, limit=limit)
-    placed = join_on(positions(df, [recording], order, "_pos", limit=limit), base, [recording])
+    base = running(sizes, [], [recording], sums={"_end": F.col("_n")})
+    placed = join_on(positions(df, [recording], order, "_pos"), base, [recording])
     first = F.col("_end") - F.col("_n")
     window = F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda d: first + F.least(F.greatest(F.col("_pos") + d, F.lit(0)), F.col("_n") - 1))
     return placed.select(*df.columns, (first + F.col("_pos")).alias("row_index"), window.alias("window"))
 
 
-def recording_batches(df: DataFrame, recording: str, order: list[str], batch_size: int, *, drop_last: bool = False, shuffle: bool = True, seed: int = 42, limit: int | None = None) -> DataFrame:
+def recording_batches(df: DataFrame, recording: str, order: list[str], batch_size: int, *, drop_last: bool = False, shuffle: bool = True, seed: int = 42) -> DataFrame:
     """Batches that never mix recordings; shuffling draws the order inside and between them from hashes."""
     if batch_size <= 0:
         raise ValueError("the batch size must be positive")
@@ -123,7 +113,7 @@ def recording_batches(df: DataFrame, recording: str, order: list[str], batch_siz
     if shuffle:
         data = df.withColumn("_draw", F.xxhash64(F.lit(seed), q(recording), *[q(c) for c in order]))
         by = ["_draw", *order]
-    placed = positions(data, [recording], by, "_pos", limit=limit).withColumn("batch_id", F.floor(F.col("_pos") / batch_size))
+    placed = positions(data, [recording], by, "_pos").withColumn("batch_id", F.floor(F.col("_pos") / batch_size))
     if drop_last:
         sizes = df.groupBy(recording).agg(F.count("*").alias("_n"))
         placed = join_on(placed, sizes, [recording]).filter((F.col("batch_id") + 1) * batch_size <= F.col("_n"))

@@ -7,7 +7,7 @@ from nocturne.functions.signal import export_features
 from nocturne.operators import models, schema
 from nocturne.plans import views
 from nocturne.plans.views import ARRAYS, EPOCHS, Catalog
-from nocturne.session import cut_lineage, shared_dir
+from nocturne.session import keep, shared_dir
 
 catalog = Catalog()
 add = catalog.add
@@ -22,7 +22,7 @@ def features(spark, sf):
     stage = F.coalesce(*[F.when(F.col("stage_code") == i, s) for i, s in STAGES.items()])
     f = export_features(a, "signal", 64.0).select(
         F.col("recording_id").alias("subject"), "vec_id", stage.alias("sleep_stage"), "apnea_binary", *FEATURES)
-    return cut_lineage(schema.label_masks_strict(f))
+    return keep(schema.label_masks_strict(f))
 
 
 def _fit(spark, sf, name, target, task):

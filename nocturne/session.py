@@ -1,27 +1,53 @@
-"""Session helpers."""
+"""Session helpers: folders that driver and executors share, and frames that are read more than once."""
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+
+_folders: list[tuple[SparkSession, str]] = []
+_kept: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the checkpoint folder the cluster names.
+    """A new folder under the checkpoint folder that the cluster names, else under the session's warehouse.
 
-    A local folder is made only where no checkpoint folder is set (tests).
+    A path on a local disk is an error on a cluster, whose executors would each write to their own. ``release()`` deletes the folders.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df):
-    """Write a frame to the shared folder and read it back: later plans start from files."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/work-{uuid.uuid4().hex}")
+    full = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if full.startswith("file:") and not sc.master.startswith("local"):
+        raise ValueError(f"{full} is on a local disk: set spark.checkpoint.dir to a folder that driver and executors share")
+    _folders.append((spark, full))
+    return full
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Hold a frame that is read more than once. Its lineage stays, so what a lost executor held is computed again."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _kept.append(df)
+    return df
+
+
+def release() -> None:
+    """Drop what ``keep`` holds and delete the folders of ``shared_dir``; frames that need them can't be used afterwards."""
+    while _kept:
+        try:
+            _kept.pop().unpersist()
+        except Exception:  # the session has ended
+            _kept.clear()
+    while _folders:
+        spark, full = _folders.pop()
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(full)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:
+            _folders.clear()
+
+
+atexit.register(release)

@@ -29,10 +29,10 @@ def epochs_from_samples(samples: DataFrame, epochs: DataFrame, keys: list[str],
     return epochs.join(got, [*keys, "epoch_index"], "left")
 
 
-def store_rows(df: DataFrame, *, sample_hz: float, epoch_seconds: float = 30.0, channel: str = "eeg_channel_standardized", signal: str = "signal", limit: int | None = None) -> DataFrame:
+def store_rows(df: DataFrame, *, sample_hz: float, epoch_seconds: float = 30.0, channel: str = "eeg_channel_standardized", signal: str = "signal") -> DataFrame:
     """Epochs with manifest columns and samples cut or padded to the epoch length."""
     n = round(sample_hz * epoch_seconds)
-    placed = positions(df, ["dataset_id", "recording_id"], ["epoch_index"], "epoch_store_row", limit=limit)
+    placed = positions(df, ["dataset_id", "recording_id"], ["epoch_index"], "epoch_store_row")
     name = F.trim(F.col(channel)) if channel in df.columns else F.lit("")
     xs = F.coalesce(F.col(signal).cast("array<float>"), F.array().cast("array<float>"))
     return placed.withColumns({

@@ -56,12 +56,12 @@ def segment_files(spark: SparkSession, root: str, preferred=SEGMENT_CHANNELS, pa
     )
 
 
-def scan_segment_files(spark: SparkSession, root: str, *, fs: float = SEGMENT_FS, max_files: int | None = None, preferred=SEGMENT_CHANNELS, pattern: str = "*.csv", limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+def scan_segment_files(spark: SparkSession, root: str, *, fs: float = SEGMENT_FS, max_files: int | None = None, preferred=SEGMENT_CHANNELS, pattern: str = "*.csv") -> tuple[DataFrame, DataFrame]:
     """Usable segments in path order up to ``max_files``, and the used and skipped file counts."""
     files = segment_files(spark, root, preferred, pattern)
     hit = F.col("usable").cast("bigint")
     if max_files is not None:
-        files = running(files, [], ["source_file"], sums={"_used": hit}, limit=limit).filter(F.col("_used") - hit < max_files).drop("_used")
+        files = running(files, [], ["source_file"], sums={"_used": hit}).filter(F.col("_used") - hit < max_files).drop("_used")
     report = files.agg(F.count_if("usable").alias("n_files_used"), F.count_if(~F.col("usable")).alias("n_files_skipped"))
     if not report.first()["n_files_used"]:
         raise ValueError(f"no usable segment file under {root}")

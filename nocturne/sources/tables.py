@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nocturne.operators.ordered import positions
-from nocturne.operators.schema import nan_to_null
+from nocturne.operators.schema import nan_to_null, q
 
 
 def _suffix(path: str) -> str:
@@ -47,10 +47,10 @@ def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None
     df.write.mode(mode).partitionBy("model", "fold_id").parquet(path)
 
 
-def read_predictions(spark: SparkSession, path: str, order: list[str], limit: int | None = None) -> DataFrame:
+def read_predictions(spark: SparkSession, path: str, order: list[str]) -> DataFrame:
     """Predictions with ``row_id``, the position within model and fold along ``order``."""
     df = spark.read.parquet(path)
-    return positions(df, ["model", "fold_id"], order, "row_id", limit=limit)
+    return positions(df, ["model", "fold_id"], order, "row_id")
 
 
 def two_table_export(df: DataFrame, staging: Column, events: Column, staging_path: str, events_path: str, order: list[str], max_staging: int | None = None, max_events: int | None = None) -> None:
@@ -60,7 +60,7 @@ def two_table_export(df: DataFrame, staging: Column, events: Column, staging_pat
     """
     for rows, path, cap in ((df.filter(staging), staging_path, max_staging), (df.filter(events), events_path, max_events)):
         if cap is not None:
-            rows = positions(rows, [], order, "_pos").filter(F.col("_pos") < cap).drop("_pos")
+            rows = rows.orderBy(*[q(c) for c in order]).limit(cap)
         write_table(rows, path)
 
 

@@ -312,3 +312,16 @@ def test_table_suffix(spark, tmp_path):
         tables.read_table(spark, "x.json")
     tables.write_table(frame(spark, [(1, float("nan"))], "a int, b double"), str(tmp_path / "deep/er/t.parquet"))
     assert tuple(tables.read_table(spark, str(tmp_path / "deep/er/t.parquet")).first()) == (1, None)
+
+
+def test_shared_folders_are_not_local_on_a_cluster(spark, monkeypatch):
+    from nocturne import session
+
+    path = session.shared_dir(spark)
+    spark.range(3).write.parquet(path)
+    session.release()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(spark)

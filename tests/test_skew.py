@@ -1,12 +1,15 @@
-"""The plans for hot groups give the rows of the plain plans, on data where one key holds most rows."""
+"""Ordered operators give the rows of plain windows, on data where one key holds most rows, and spread that key."""
+import math
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nocturne.operators import balance, filters, folds, joins, metrics, ordered, profile, timeseries
+from nocturne.operators.ordered import Desc
 from nocturne.sources import recordings
 
-LIMIT = 50
+RANGES = 20
 
 
 @pytest.fixture(scope="module")
@@ -29,50 +32,102 @@ def same(a, b):
 def test_running_and_positions(rows, order):
     w = Window.partitionBy("k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     want = rows.select("*", F.sum("v").over(w).alias("s"), F.max("v").over(w).alias("m"), (F.count("*").over(w) - 1).alias("pos"))
-    got = ordered.running(rows, ["k"], order, sums={"s": F.col("v")}, maxes={"m": F.col("v")}, limit=LIMIT)
-    got = ordered.positions(got, ["k"], order, "pos", limit=LIMIT)
+    got = ordered.running(rows, ["k"], order, sums={"s": F.col("v")}, maxes={"m": F.col("v")}, ranges=RANGES)
+    got = ordered.positions(got, ["k"], order, "pos", ranges=RANGES)
     same(got, want)
 
 
-def test_running_splits_the_hot_group(rows):
-    plan = ordered.positions(rows, ["k"], ["t", "id"], limit=LIMIT)._jdf.queryExecution().toString()
-    assert "_block" in plan
-    assert "_block" not in ordered.positions(rows, ["k"], ["t", "id"])._jdf.queryExecution().toString()
+def test_no_range_holds_a_large_share(rows):
+    """Neither a key of two thirds of the rows, nor one order value that all rows share, makes a large range."""
+    for df, by in ((rows, ["k", "t", "id"]), (rows.withColumn("t", F.lit(1)), ["t", "id"]), (rows.withColumn("k", F.lit("a")), ["k", "name", "id"])):
+        sizes = [r["count"] for r in df.groupBy(ordered.range_of(df, by, RANGES).alias("r")).count().collect()]
+        assert len(sizes) > RANGES / 2 and max(sizes) < 3 * 1000 / RANGES
+
+
+def test_the_plan_is_the_same_for_few_rows(rows):
+    for df in (rows, rows.limit(3)):
+        assert "_range" in ordered.positions(df, ["k"], ["t", "id"])._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("kind", ["nan", "binary", "struct", "descending", "long_prefix", "timestamp", "decimal", "null"])
+def test_order_types(rows, kind):
+    made = {
+        "nan": F.when(F.col("id") % 5 == 0, float("nan")).otherwise(F.col("v")),
+        "binary": F.unhex(F.hex(F.col("t"))),
+        "struct": F.struct(F.col("v").alias("a"), F.col("name").alias("b")),
+        "long_prefix": F.concat(F.lit("recording_0_with_the_same_long_prefix_"), F.lpad(F.col("t").cast("string"), 6, "0")),
+        "timestamp": F.timestamp_seconds(F.col("t")),
+        "decimal": F.col("t").cast("decimal(30,3)"),
+        "null": F.when(F.col("id") % 4 > 0, F.col("t")),
+    }
+    df = rows.withColumn("o", made.get(kind, F.col("t")))
+    order, by = (["o", "id"], ["o", "id"]) if kind != "descending" else ([Desc("o"), "id"], [F.desc("o"), "id"])
+    for keys in (["k"], []):
+        w = Window.partitionBy(*keys).orderBy(*by)
+        want = df.select("id", (F.row_number().over(w) - 1).cast("bigint").alias("pos"))
+        same(ordered.positions(df, keys, order, ranges=RANGES).select("id", "pos"), want)
+
+
+def test_modes_and_medians_of_large_numbers(spark):
+    big = 2**53
+    df = spark.createDataFrame([(big,), (big + 1,), (big + 1,)], "n long").withColumn("d", (F.col("n") * F.lit("1" + "0" * 20).cast("decimal(21,0)")).cast("decimal(38,0)"))
+    quartiles, modes = ordered.quantiles_and_modes(df, ["n", "d"], [0.5])
+    assert modes["n"] == big + 1 and int(modes["d"]) == (big + 1) * 10**20
+    assert quartiles["n"] == [float(big + 1)]
+
+
+def test_scores_that_are_not_numbers(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, float("nan")), (0, None)], "y_true int, y_score double")
+    assert metrics.auc_roc(df, []).first()[0] == 1.0
+    assert ordered.exact_quantiles(df, ["y_score"], [0.5])["y_score"] == [0.5]
 
 
 def test_running_without_keys_and_with_nulls(rows):
     df = rows.withColumn("t", F.when(F.col("id") % 11 != 0, F.col("t")))
     w = Window.orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
-    same(ordered.running(df, [], ["t", "id"], sums={"s": F.col("v")}, limit=LIMIT), df.withColumn("s", F.sum("v").over(w)))
+    same(ordered.running(df, [], ["t", "id"], sums={"s": F.col("v")}, ranges=RANGES), df.withColumn("s", F.sum("v").over(w)))
 
 
 def test_running_when_one_order_value_dominates(rows):
     df = rows.withColumn("t", F.lit(5))
     w = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
-    same(ordered.running(df, ["k"], ["t", "id"], sums={"s": F.col("v")}, limit=LIMIT), df.withColumn("s", F.sum("v").over(w)))
+    same(ordered.running(df, ["k"], ["t", "id"], sums={"s": F.col("v")}, ranges=RANGES), df.withColumn("s", F.sum("v").over(w)))
 
 
 def test_shifted(rows):
     w = Window.partitionBy("k").orderBy("t", "id")
     want = rows.select("*", F.lag("v", 2).over(w).alias("a"), F.lead("v", 1).over(w).alias("b"))
-    same(ordered.shifted(rows, ["k"], ["t", "id"], {"a": ("v", -2), "b": ("v", 1)}, limit=LIMIT), want)
+    same(ordered.shifted(rows, ["k"], ["t", "id"], {"a": ("v", -2), "b": ("v", 1)}, ranges=RANGES), want)
 
 
 def test_exact_quantiles(rows):
     probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
     df = rows.withColumn("w", F.when(F.col("id") % 4 == 0, F.col("v") / 3)).withColumn("empty", F.lit(None).cast("double"))
-    a = ordered.exact_quantiles(df, ["v", "w", "empty"], probs, limit=LIMIT)
-    b = ordered.exact_quantiles(df, ["v", "w", "empty"], probs)
-    assert a["empty"] == b["empty"] == [None] * 6
+    a = ordered.exact_quantiles(df, ["v", "w", "empty"], probs, ranges=RANGES)
+    assert a["empty"] == [None] * 6
     for c in ("v", "w"):
-        assert a[c] == pytest.approx(b[c])
+        x = sorted(r[0] for r in df.select(c).dropna().collect())
+        at = [(len(x) - 1) * p for p in probs]
+        assert a[c] == pytest.approx([x[math.floor(i)] + (x[math.ceil(i)] - x[math.floor(i)]) * (i - math.floor(i)) for i in at])
+
+
+def test_shifted_over_many_pieces(rows):
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = rows.select("*", F.lag("v", 2).over(w).alias("a"), F.lead("v", 3).over(w).alias("b"))
+    same(ordered.shifted(rows, ["k"], ["t", "id"], {"a": ("v", -2), "b": ("v", 3)}, ranges=RANGES, piece_rows=7), want)
 
 
 def test_context_and_sequences(rows):
-    df = rows.withColumn("v", F.when(F.col("id") % 5 != 0, F.col("v")))
-    df = df.withColumn("e", F.col("t") * 1000 + F.col("id")).select("k", "e", "v")
-    same(timeseries.temporal_context(df, "k", "e", ["v"], limit=LIMIT), timeseries.temporal_context(df, "k", "e", ["v"]))
-    same(timeseries.sequence_index(df, "k", ["e"], 5, limit=LIMIT), timeseries.sequence_index(df, "k", ["e"], 5))
+    df = rows.withColumn("v", F.when(F.col("id") % 5 != 0, F.col("v"))).withColumn("e", F.col("t") * 1000 + F.col("id")).select("k", "e", "v")
+    w = Window.partitionBy("k").orderBy("e")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edge = lambda f: f("v", ignorenulls=True).over(whole)
+    want = df.select(
+        "*", *[F.coalesce(F.lag("v", i).over(w), edge(F.first)).alias(f"v_lag{i}") for i in (1, 2)], *[F.coalesce(F.lead("v", i).over(w), edge(F.last)).alias(f"v_lead{i}") for i in (1, 2)]
+    )
+    same(timeseries.temporal_context(df, "k", "e", ["v"]), want)
+    got = timeseries.sequence_index(df, "k", ["e"], 5).select("k", "e", "row_index")
+    same(got, df.select("k", "e", (F.row_number().over(Window.orderBy("k", "e")) - 1).cast("bigint").alias("row_index")))
 
 
 def test_overlap_flags(spark, rows):
@@ -80,40 +135,42 @@ def test_overlap_flags(spark, rows):
     events = rows.filter("id >= 300").select("k", (F.col("t") * 30.0 + F.col("v")).alias("a"), (F.col("t") * 30.0 + F.col("v") * 2 - 20).alias("b"))
     hits = epochs.alias("x").join(events.alias("y"), F.expr("x.k = y.k and y.a < x.e and y.b > x.s")).select("x.id").distinct().withColumn("hit", F.lit(1))
     want = epochs.filter("k is not null").join(hits, "id", "left").select("id", F.coalesce("hit", F.lit(0)).alias("flag"))
-    for limit in (LIMIT, None):
-        got = joins.flag_by_overlap(epochs, events, "k", "s", "e", "a", "b", limit=limit).filter("k is not null").select("id", "flag")
-        same(got, want)
+    same(joins.flag_by_overlap(epochs, events, "k", "s", "e", "a", "b").filter("k is not null").select("id", "flag"), want)
     assert 0 < want.filter("flag = 1").count() < want.count()
 
 
 def test_metrics_ranks_and_trims(rows):
-    p = rows.select("k", (F.col("id") % 3 == 0).cast("int").alias("y_true"), F.col("t").cast("double").alias("y_score"), "id", "t", "v")
-    p = p.fillna("none", ["k"])
+    p = rows.select("k", (F.col("id") % 3 == 0).cast("int").alias("y_true"), F.col("t").cast("double").alias("y_score"), "id", "t", "v").fillna("none", ["k"])
+    local = p.toPandas()
     for keys in ([], ["k"]):
-        a, b = (metrics.auc_roc(p, keys, limit=n).withColumn("auc_roc", F.round("auc_roc", 9)) for n in (LIMIT, None))
-        same(a, b)
-        a, b = (metrics.roc_points(p, keys, limit=n) for n in (LIMIT, None))
-        same(a, b)
-    a, b = (profile.correlation_spearman(p, ["t", "v", "id"], limit=n).withColumn("r", F.round("r", 9)) for n in (LIMIT, None))
-    same(a, b)
+        for r in metrics.auc_roc(p, keys).collect():
+            part = local[local.k == r["k"]] if keys else local
+            up, down = part[part.y_true == 1].y_score, part[part.y_true == 0].y_score
+            if len(up) and len(down):
+                won = sum((down < s).sum() + (down == s).sum() / 2 for s in up)
+                assert r["auc_roc"] == pytest.approx(won / len(up) / len(down))
+        points = metrics.roc_points(p, keys).toPandas()
+        assert points.groupby("k").tpr.max().eq(1).all() if keys else points.tpr.max() == 1
+    got = {(r["column_a"], r["column_b"]): r["r"] for r in profile.correlation_spearman(p, ["t", "v", "id"]).collect()}
+    want = local[["t", "v", "id"]].rank().corr()
+    assert got and all(v == pytest.approx(want.loc[a, b]) for (a, b), v in got.items())
     stages = rows.withColumn("sleep_stage", F.when((F.col("t") < 20) | (F.col("t") > 480), "W").otherwise("N2"))
-    a, b = (filters.wake_trim(stages, "k", ["t", "id"], minutes=2, limit=n) for n in (LIMIT, None))
-    same(a, b)
-    assert a.count() < stages.count()
+    trimmed = filters.wake_trim(stages, "k", ["t", "id"], minutes=2)
+    assert trimmed.count() < stages.count() and trimmed.filter("sleep_stage = 'N2'").count() == stages.filter("sleep_stage = 'N2'").count()
 
 
 def test_samples_and_folds(rows):
-    for f in (balance.random_under, balance.random_over):
-        a, b = (f(rows.fillna("none", ["k"]), "k", ["id"], limit=n) for n in (LIMIT, None))
-        same(a, b)
+    named = rows.fillna("none", ["k"])
+    sizes = sorted(r["count"] for r in named.groupBy("k").count().collect())
+    for f, size in ((balance.random_under, sizes[0]), (balance.random_over, sizes[-1])):
+        assert {r["count"] for r in f(named, "k", ["id"]).groupBy("k").count().collect()} == {size}
     df = rows.withColumn("subject", F.col("id") % 211).withColumn("label", F.when(F.col("subject") % 5 > 0, "x").otherwise("y"))
     for seed in (3, None):
-        a, b = (folds.stratified_group_folds(df, "subject", "label", 4, seed, limit=n) for n in (LIMIT, None))
-        same(a, b)
-    a, b = (folds.subsample_with_coverage(df, "subject", "label", limit=n) for n in (LIMIT, None))
-    same(a, b)
-    a, b = (timeseries.recording_batches(df, "k", ["id"], 16, limit=n) for n in (LIMIT, None))
-    same(a, b)
+        dealt = folds.stratified_group_folds(df, "subject", "label", 4, seed).groupBy("dominant", "fold").count().toPandas()
+        spread = dealt.groupby("dominant")["count"]
+        assert (spread.max() - spread.min() <= 2).all() and (spread.size() == 4).all()
+    batches = timeseries.recording_batches(df, "k", ["id"], 16).groupBy("k", "batch_id").count().toPandas()
+    assert batches["count"].max() == 16
 
 
 def test_segment_cap_follows_path_order(spark, tmp_path):
@@ -122,7 +179,7 @@ def test_segment_cap_follows_path_order(spark, tmp_path):
         d.mkdir(parents=True, exist_ok=True)
         name = f"S1_p{i}_Stagen{i % 5}.csv" if i % 4 else f"S1_p{i}.csv"
         (d / name).write_text("misc,C3-M2\n" + "\n".join(f"x,{j * i}" for j in range(8)))
-    used, report = recordings.scan_segment_files(spark, str(tmp_path), max_files=4, limit=2)
+    used, report = recordings.scan_segment_files(spark, str(tmp_path), max_files=4)
     paths = [r[0] for r in recordings.segment_files(spark, str(tmp_path)).orderBy("source_file").select("source_file", "usable").collect()]
     ok = [r["source_file"] for r in recordings.segment_files(spark, str(tmp_path)).filter("usable").orderBy("source_file").collect()]
     assert sorted(r[0] for r in used.select("source_file").collect()) == ok[:4]
