@@ -322,6 +322,6 @@ def test_shared_folders_are_not_local_on_a_cluster(spark, monkeypatch):
     session.release()
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
-    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(spark)
