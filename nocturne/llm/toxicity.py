@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nocturne.llm.common import ALNUM, U64, Words, binary, pick, slices
+from nocturne.llm.common import ALNUM, U64, Words, binary, materialize, pick, slices
 
 
 PREFIXES = (4, 5, 6)  # bytes of a word's beginnings that are features beside the word
@@ -60,32 +60,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def telling(row: np.ndarray, column: np.ndarray, toxic: np.ndarray, size: int, support: int = 3, least: float = 15.0) -> np.ndarray:
-    """Features that stand in ``support`` toxic texts or more, in more of them than others by a likelihood ratio (G) of at least ``least``."""
-    once = np.unique(row * size + column)
-    bad = toxic[once // size].astype(bool)
-    a, b = (np.bincount(once[k] % size, minlength=size) for k in (bad, ~bad))
-    n_bad = max(int(toxic.sum()), 1)
-    share = n_bad / max(len(toxic), 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (a * np.log(a / ((a + b) * share)) + np.where(b > 0, b * np.log(b / ((a + b) * (1 - share))), 0.0))
-    return np.flatnonzero((a >= support) & (a > (a + b) * share) & (g >= least))
-
-
 def fit_ordinal(row: np.ndarray, column: np.ndarray, grade: np.ndarray, features: np.ndarray, *, ridge: float = 0.03, steps: int = 100) -> OrdinalModel:
-    """Maximum likelihood with a ridge, by L-BFGS, on the telling features.
+    """Maximum likelihood with a ridge, by L-BFGS.
 
     ``row``, ``column``: the text and the feature number of each entry. Thresholds stay in order: the first is free and the gaps are exponentials.
     """
     top, n = max(int(grade.max(initial=0)), 1), len(grade)
-    kept = telling(row, column, grade > 0, max(len(features), 1))
-    place = np.full(len(features), -1, np.int32)
-    place[kept] = np.arange(len(kept))
-    column = place[column]
-    row, column = row[column >= 0], column[column >= 0]
     cut = np.array([np.log((n + 1) / (np.sum(grade > k) + 0.5) - 1) for k in range(top)])
-    x = np.concatenate((np.zeros(len(kept)), cut[:1], np.log(np.maximum(np.diff(cut), 1e-3))))
-    i, m = np.arange(n), len(kept)
+    x = np.concatenate((np.zeros(len(features)), cut[:1], np.log(np.maximum(np.diff(cut), 1e-3))))
+    i, m = np.arange(n), len(features)
 
     def cuts(x: np.ndarray) -> np.ndarray:
         return x[m] + np.concatenate(([0.0], np.cumsum(np.exp(x[m + 1 :]))))
@@ -126,14 +109,12 @@ def fit_ordinal(row: np.ndarray, column: np.ndarray, grade: np.ndarray, features
         x, value, g = x + s, new, g_new
         if done:
             break
-    return OrdinalModel(features[kept], x[:m], cuts(x))
+    return OrdinalModel(features, x[:m], cuts(x))
 
 
-def grade_by_count(row: np.ndarray, column: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+def grade_by_count(row: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Grades 0, 1 and 2 where labels say only toxic or not: toxic texts with more telling features than the toxic median are 2."""
-    told = np.zeros(size, bool)
-    told[telling(row, column, toxic, size)] = True
-    count = np.bincount(row, told[column], minlength=len(toxic))
+    count = np.bincount(row, minlength=len(toxic))
     middle = np.median(count[toxic]) if toxic.any() else 0.0
     return toxic.astype(np.int64) + (toxic & (count > middle))
 
@@ -146,34 +127,78 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns, pa.binary())], ["doc_id", "columns"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_rows: int = 6_000, graded: bool | None = None) -> OrdinalModel:
-    """The model of at most ``sample_rows`` labelled documents, those whose ids hash lowest, on the driver.
+def _count(shared):
+    """How many toxic and other texts of a batch have each feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic: set[int] = shared.value
+        for batch in slices(batches, "columns"):
+            sides: tuple[list, list] = ([], [])
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("columns").to_pylist()):
+                sides[doc in toxic].append(np.unique(np.frombuffer(raw, "<u8")))
+            for bad, side in enumerate(sides):
+                feature, n = np.unique(np.concatenate(side), return_counts=True) if side else (np.zeros(0, U64), np.zeros(0, np.int64))
+                other = np.zeros(len(n), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(feature.astype(np.int64)), pa.array(n if bad else other), pa.array(other if bad else n)], ["feature", "bad", "good"])
+
+    return run
+
+
+def telling(counts: DataFrame, n_bad: int, n_good: int, support: int = 3, least: float = 15.0) -> np.ndarray:
+    """Features that ``support`` toxic texts or more have, and more of them than of others by a likelihood ratio (G) of at least ``least``; sorted."""
+    total, share = F.col("bad") + F.col("good"), n_bad / max(n_bad + n_good, 1)
+    g = 2 * (F.col("bad") * F.log(F.col("bad") / (total * share)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (total * (1 - share)))).otherwise(0.0))
+    kept = counts.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter((F.col("bad") >= support) & (F.col("bad") > total * share) & (g >= least))
+    return np.sort(np.array([r["feature"] for r in kept.select("feature").collect()], np.int64).astype(U64))
+
+
+def _chosen(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features: np.ndarray = shared.value
+        for batch in batches:
+            out = []
+            for raw in batch.column("columns").to_pylist():
+                x = np.frombuffer(raw, "<u8")
+                at = np.minimum(np.searchsorted(features, x), max(len(features) - 1, 0))
+                out.append((at[features[at] == x] if len(features) else at[:0]).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "columns"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_rows: int = 8_000, graded: bool | None = None) -> OrdinalModel:
+    """The model of at most ``sample_rows`` labelled documents, those whose ids hash lowest.
 
+    Their features are counted on the executors; the driver gets the telling ones only and fits the weights.
     ``graded``: the labels are severity grades 0, 1, 2 ...; if false they only tell toxic from not, and ``grade_by_count`` grades them. By default,
-    labels beyond 1 are grades. Null labels and texts don't count. Without labels all weights are zero.
+    labels beyond 1 are grades. Null labels and texts don't count. Without labels, or telling features, no word has a weight.
     """
+    sc = docs.sparkSession.sparkContext
     picked = pick(labels, "doc_id", label).toDF("doc_id", "grade").filter("doc_id is not null and grade is not null")
-    picked = picked.groupBy("doc_id").agg(F.max("grade").cast("long").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    known = [(r["doc_id"], r["grade"]) for r in picked.collect()]
-    grades = dict(known)
-    shared = docs.sparkSession.sparkContext.broadcast(np.array(sorted(grades), np.int64))
+    picked = picked.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("grade").cast("long").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    grades = {r["doc_id"]: r["grade"] for r in picked.collect()}
+    wanted = sc.broadcast(np.array(sorted(grades), np.int64))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(np.isin(ids, shared.value)))
+            yield batch.filter(pa.array(np.isin(batch.column("doc_id").to_numpy(zero_copy_only=False), wanted.value)))
 
     plain = pick(docs, "doc_id", "text").filter("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    sample = plain.mapInArrow(some, "doc_id long, text string").mapInArrow(_features, "doc_id long, columns binary")
-    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "columns").limit(sample_rows).collect()
-    columns = [np.frombuffer(r["columns"], "<u8") for r in rows]
+    sample = materialize(plain.mapInArrow(some, "doc_id long, text string").mapInArrow(_features, "doc_id long, columns binary"))
+    toxic = sc.broadcast({d for d, g in grades.items() if g > 0})
+    counts = sample.mapInArrow(_count(toxic), "feature long, bad long, good long")
+    found = [r["doc_id"] for r in sample.select("doc_id").collect()]
+    n_bad = sum(d in toxic.value for d in found)
+    features = telling(counts, n_bad, len(found) - n_bad)
+    rows = sample.mapInArrow(_chosen(sc.broadcast(features)), "doc_id long, columns binary").orderBy(F.xxhash64("doc_id"), "doc_id", "columns").collect()
+    columns = [np.frombuffer(r["columns"], "<i4") for r in rows]
     grade = np.array([grades[r["doc_id"]] for r in rows], np.int64)
     row = np.repeat(np.arange(len(rows)), [len(c) for c in columns]).astype(np.int64)
-    features, column = np.unique(np.concatenate(columns) if columns else np.zeros(0, U64), return_inverse=True)
+    column = np.concatenate(columns) if columns else np.zeros(0, np.int32)
     if graded is None:
         graded = bool(len(grade)) and grade.max() > 1
     if not graded:
-        grade = grade_by_count(row, column, grade > 0, max(len(features), 1))
+        grade = grade_by_count(row, grade > 0)
     return fit_ordinal(row, column, grade, features)
 
 
