@@ -58,9 +58,10 @@ def map_stage_codes(label: Column, dataset: Column, coded_dataset: str) -> Colum
 
 
 def encode_binary(col: Column) -> Column:
-    """yes/no-like value to 1.0/0.0; null stays null; anything else fails the query."""
+    """yes/no-like value to 1.0/0.0; null stays null; anything else fails the query. Only numeric columns are read as numbers."""
     text = F.lower(F.trim(col.cast("string")))
-    number = text.try_cast("double")
+    numeric = F.typeof(col).rlike("^(tinyint|smallint|int|bigint|float|double|decimal.*)$")
+    number = F.when(numeric, text.try_cast("double"))
     return (
         F.when(col.isNull(), F.lit(None).cast("double"))
         .when(text.isin(*YES) | (number == 1.0), 1.0)

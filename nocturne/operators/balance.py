@@ -10,32 +10,31 @@ from nocturne.operators import neighbors
 from nocturne.operators.ordered import positions
 from nocturne.operators.schema import numeric_columns, q
 
-MAX_CLASSES = 10_000
-
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:
-    return df.groupBy(q(target).cast("string").alias("label")).agg(F.count("*").alias("cnt"))
+    """Rows of each class; rows without one don't count."""
+    return df.filter(q(target).isNotNull()).groupBy(q(target).cast("string").alias("label")).agg(F.count("*").alias("cnt"))
 
 
-def counts_of(df: DataFrame, target: str) -> dict[str, int]:
-    rows = class_counts(df, target).filter("label is not null").limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{target!r} has more than {MAX_CLASSES} classes")
+def counts_of(df: DataFrame, target: str, max_classes: int | None = None) -> dict[str, int]:
+    """Class counts on the driver; more than ``max_classes``, if given, are an error."""
+    counts = class_counts(df, target)
+    rows = (counts if max_classes is None else counts.limit(max_classes + 1)).collect()
+    if max_classes is not None and len(rows) > max_classes:
+        raise ValueError(f"{target!r} has more than {max_classes} classes")
     return {r["label"]: r["cnt"] for r in rows}
 
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
-    """(label, weight) with weight = rows / (classes * class rows)."""
-    counts = class_counts(df, target).filter("label is not null")
-    total = counts.agg(F.sum("cnt").alias("n"), F.count("*").alias("k")).first()
-    return counts.select("label", (F.lit(total["n"]) / (F.lit(total["k"]) * F.col("cnt"))).alias("weight"))
+    """(label, weight) with weight = rows / (classes * class rows); rows without a class count among the rows."""
+    counts = class_counts(df, target)
+    return counts.select("label", (F.lit(df.count()) / (F.lit(counts.count()) * F.col("cnt"))).alias("weight"))
 
 
 def with_class_weight(df: DataFrame, target: str, out: str = "weight") -> DataFrame:
-    """Balanced weight on every row; the few class weights become one expression."""
-    counts = counts_of(df, target)
-    n, k = sum(counts.values()), len(counts)
-    return df.withColumn(out, F.coalesce(*[F.when(q(target).cast("string") == c, F.lit(n / (k * m))) for c, m in counts.items()]))
+    """Balanced weight on every row, null where the class is."""
+    weights = class_weights(df, target).select(F.col("label").alias("_label"), F.col("weight").alias("_weight"))
+    return df.join(weights, q(target).cast("string") == F.col("_label"), "left").select(*[q(c) for c in df.columns], F.col("_weight").alias(out))
 
 
 def targets(counts: dict[str, int], under: bool, strategy="auto") -> dict[str, int]:

@@ -10,18 +10,18 @@ from nocturne.functions.labels import STAGE_NAMES, encode_binary, ordinal_code
 from nocturne.operators.ordered import exact_quantiles
 from nocturne.operators.schema import q, snake_name
 
-MAX_CATEGORIES = 1000
 
 
-def categories(df: DataFrame, column: str, cap: int = MAX_CATEGORIES) -> list:
-    """Sorted distinct non-null values; more than ``cap`` is an error, not a cut."""
-    found = [r[0] for r in df.select(q(column)).dropna().distinct().limit(cap + 1).collect()]
-    if len(found) > cap:
+def categories(df: DataFrame, column: str, cap: int | None = None) -> list:
+    """Sorted distinct non-null values; more than ``cap``, if given, are an error, not a cut."""
+    values = df.select(q(column)).dropna().distinct()
+    found = [r[0] for r in (values if cap is None else values.limit(cap + 1)).collect()]
+    if cap is not None and len(found) > cap:
         raise ValueError(f"{column!r} has more than {cap} categories")
     return sorted(found)
 
 
-def one_hot(df: DataFrame, columns: list[str], drop_first: bool = False, cap: int = MAX_CATEGORIES) -> tuple[DataFrame, list[str]]:
+def one_hot(df: DataFrame, columns: list[str], drop_first: bool = False, cap: int | None = None) -> tuple[DataFrame, list[str]]:
     """``col_value`` double columns in value order; null gives zeros; the original column goes."""
     added = []
     for c in columns:

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from nocturne.operators.ordered import Desc, join_on, running
 from nocturne.operators.schema import q
 
-MAX_LABELS = 1000
-
 
 def _keyed(df: DataFrame, keys: list[str]):
     """A constant key stands in when there is none, so every step is a grouped one."""
@@ -81,13 +79,13 @@ def binary_metrics(df: DataFrame, keys: list[str], y_true: str = "y_true", y_pre
     return join_on(base, auc_roc(data, by, y_true, score), by).drop(*made)
 
 
-def confusion_matrix(df: DataFrame, keys: list[str], y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
-    """Every label against every label, zeros included; more than MAX_LABELS labels for a key are an error."""
+def confusion_matrix(df: DataFrame, keys: list[str], y_true: str = "y_true", y_pred: str = "y_pred", max_labels: int | None = None) -> DataFrame:
+    """Every label against every label, zeros included; more than ``max_labels`` for a key, if given, are an error."""
     data, by, made = _keyed(df, keys)
     cells = data.groupBy(*by, q(y_true).cast("string").alias("label_true"), q(y_pred).cast("string").alias("label_pred")).agg(F.count("*").alias("cnt"))
     names = cells.select(*by, F.explode(F.array("label_true", "label_pred")).alias("l")).distinct()
-    most = names.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if most > MAX_LABELS:
+    most = max_labels is not None and names.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if max_labels is not None and most > max_labels:
         raise ValueError(f"a key has {most} labels")
     sets = names.groupBy(*by).agg(F.collect_set("l").alias("ls"))
     grid = sets.select(*by, "ls", F.explode("ls").alias("label_true")).select(*by, "label_true", F.explode("ls").alias("label_pred"))

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,13 +12,12 @@ from pyspark.sql import types as T
 from nocturne.operators.ordered import exact_quantiles, quantiles_and_modes, running
 from nocturne.operators.schema import numeric_columns, q
 
-PAIRS_PER_JOB = 60
 
 
 def _family(kind: T.DataType) -> str:
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
         return "bigint"
-    return "double" if isinstance(kind, T.NumericType) else "string"
+    return "double" if isinstance(kind, (T.FloatType, T.DoubleType)) else "string"
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -98,23 +99,41 @@ def describe_categorical(df: DataFrame, columns: list[str] | None = None) -> Dat
     return counts.withColumn("proportion_pct", F.round(F.col("frequency") / max(n, 1) * 100, 4))
 
 
+def _pair_sums(names: list[str], shift: list[float]):
+    """Sums over the rows complete for each pair of columns: one matrix product per Arrow batch, one row per pair and partition."""
+    p = len(names)
+
+    def run(batches):
+        total = np.zeros((6, p, p))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) if batch.num_rows else np.zeros((0, p))
+            there = ~np.isnan(x)
+            x, here = np.where(there, x - shift, 0.0), there.astype(float)
+            sums, squares = x.T @ here, (x * x).T @ here
+            total += np.stack([here.T @ here, sums, sums.T, squares, squares.T, x.T @ x])
+        i, j = np.indices((p, p)).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *(pa.array(t.ravel()) for t in total)], ["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    return run
+
+
 def correlation_pearson(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pairwise-complete Pearson matrix in long form; a constant column gives null."""
+    """Pairwise-complete Pearson matrix in long form, from one scan; a constant column gives null. NaN is null."""
     names = columns or numeric_columns(df)
-    pairs = list(combinations(names, 2)) + [(c, c) for c in names]
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        chunk = pairs[start : start + PAIRS_PER_JOB]
-        aggs, cells = [], []
-        for i, (a, b) in enumerate(chunk):
-            x, y = q(a).cast("double"), q(b).cast("double")
-            x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-            aggs += [F.covar_pop(x, y).alias(f"c{i}"), F.var_pop(x).alias(f"x{i}"), F.var_pop(y).alias(f"y{i}")]
-            r = F.col(f"c{i}") / F.nullif(F.sqrt(F.col(f"x{i}")) * F.sqrt(F.col(f"y{i}")), F.lit(0.0))
-            cells += [F.struct(F.lit(u).alias("column_a"), F.lit(v).alias("column_b"), r.alias("r")) for u, v in {(a, b), (b, a)}]
-        part = df.agg(*aggs).select(F.explode(F.array(*cells)).alias("p")).select("p.*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    if not names:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, r double")
+    clean = df.select(*[F.nanvl(q(c).cast("double"), F.lit(None).cast("double")).alias(f"x{i}") for i, c in enumerate(names)])
+    least = clean.agg(*[F.min(f"x{i}").alias(f"x{i}") for i in range(len(names))]).first()  # what is subtracted: a constant column becomes zeros
+    parts = clean.mapInArrow(_pair_sums(names, [0.0 if v is None else float(v) for v in least]), "i long, j long, n double, x double, y double, xx double, yy double, xy double")
+    s = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+
+    def spread(square, total):
+        v = F.col(square) - F.col(total) * F.col(total) / F.col("n")
+        return F.when(v > 1e-12 * F.col(square), v)  # less is rounding
+
+    r = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.sqrt(spread("xx", "x")) * F.sqrt(spread("yy", "y")))
+    label = F.array(*[F.lit(c) for c in names])
+    return s.select(F.get(label, F.col("i").cast("int")).alias("column_a"), F.get(label, F.col("j").cast("int")).alias("column_b"), F.when(F.col("n") > 0, r).alias("r"))
 
 
 def average_ranks(counts: DataFrame, value: str, cnt: str, out: str) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from nocturne.operators.schema import numeric_columns, q
 
-MAX_CLASSES = 1000
 PAIRS_PER_JOB = 200
 
 
@@ -86,16 +85,16 @@ def is_class_target(df: DataFrame, target: str) -> bool:
     return distinct <= (min(25, max(2, n // 2)) if isinstance(kind, (T.DoubleType, T.FloatType)) else 50)
 
 
-def lda(df: DataFrame, target: str, n: int | None = None, exclude=()) -> DataFrame:
-    """Discriminant scores ``lda_i`` with unit within-class covariance."""
+def lda(df: DataFrame, target: str, n: int | None = None, exclude=(), max_classes: int | None = None) -> DataFrame:
+    """Discriminant scores ``lda_i`` with unit within-class covariance; more than ``max_classes``, if given, are an error."""
     if not is_class_target(df, target):
         raise ValueError("the target is not discrete")
     cols = feature_matrix(df, target, exclude)
     labelled = df.filter(q(target).isNotNull())
     stats = labelled.groupBy(q(target)).agg(F.count("*").alias("n"), *[F.avg(q(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)])
-    rows = stats.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
+    rows = (stats if max_classes is None else stats.limit(max_classes + 1)).collect()
+    if max_classes is not None and len(rows) > max_classes:
+        raise ValueError(f"more than {max_classes} classes")
     if len(rows) < 2:
         raise ValueError("at least two classes are needed")
     sizes = np.array([r["n"] for r in rows], dtype=float)

@@ -101,6 +101,26 @@ def _blocks(cells: DataFrame, score: str, block_rows: int) -> DataFrame:
 BLOCK_SUMS = "block double, tied boolean, replicate int, pos double, neg double, won double"
 
 
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers as evenly spread ones."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def _poisson_weights(cells: np.ndarray, times: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
+    """A Poisson draw with mean ``times`` per cell and replicate: hashed uniform numbers, looked up in the distribution's table."""
+    base = _scrambled(cells ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+    u = (_scrambled(base[:, None] + replicates[None, :].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) * 2.0**-53
+    out = np.empty(u.shape)
+    for mean in np.unique(times):
+        rows = times == mean
+        most = int(mean + 12 * mean**0.5 + 20)
+        logs = np.arange(most) * np.log(mean) - mean - np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, most)))))
+        out[rows] = np.searchsorted(np.cumsum(np.exp(logs)), u[rows], "right")
+    return out
+
+
 def _block_sums(score: str, n_boot: int, seed: int):
     """Per resample: weighted positives, negatives and won pairs inside one block."""
 
@@ -108,13 +128,11 @@ def _block_sums(score: str, n_boot: int, seed: int):
         pdf = pdf.sort_values([score, "cell"])
         y, s = pdf["y"].to_numpy() == 1, pdf[score].to_numpy()
         starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        cells, times = pdf["cell"].to_numpy().astype(np.uint64), pdf["times"].to_numpy()
         out = []
         for lo in range(0, n_boot, REPLICATES_PER_CHUNK):
             k = min(REPLICATES_PER_CHUNK, n_boot - lo)
-            w = np.stack([
-                np.random.Generator(np.random.Philox(key=[c & (2**64 - 1), seed * 1_000_003 + lo])).poisson(times, k)
-                for c, times in zip(pdf["cell"].tolist(), pdf["times"].tolist())
-            ]).astype(float)
+            w = _poisson_weights(cells, times, np.arange(lo, lo + k), seed)
             pos, neg = np.add.reduceat(w * y[:, None], starts), np.add.reduceat(w * ~y[:, None], starts)
             won = (pos * (np.cumsum(neg, axis=0) - neg / 2)).sum(axis=0)
             out.append(pd.DataFrame({"replicate": np.arange(lo, lo + k), "pos": pos.sum(axis=0), "neg": neg.sum(axis=0), "won": won}))

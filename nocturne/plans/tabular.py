@@ -126,9 +126,9 @@ def _describe_sql(c):
   round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 4) AS iqr, round(skewness({c}), 5) + 0.0 AS skewness, round(kurtosis({c}), 5) + 0.0 AS kurtosis FROM lineitem"""
 
 
-@add("a3_describe_numeric", " UNION ALL ".join(_describe_sql(c) for c in FEATURES))
+@add("a3_describe_numeric", " UNION ALL ".join(_describe_sql(c) for c in LINE_NUMERIC))
 def a3(spark, sf):
-    d = profile.describe_numeric(table(spark, sf, "lineitem"), FEATURES)
+    d = profile.describe_numeric(table(spark, sf, "lineitem"))
     digits = {"var": 3, "skewness": 5, "kurtosis": 5}
     return d.select("column", "count", *[r(c, digits.get(c, 4)).alias(c) for c in DESCRIBE])
 
@@ -143,9 +143,9 @@ def _pairs_sql(cols, fn, source="lineitem", same=True):
     return " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round({fn(a, b)}, 6) + 0.0 AS r FROM {source}" for a, b in rows)
 
 
-@add("a5_correlation_pearson", _pairs_sql(FEATURES, lambda a, b: f"corr({a}, {b})"))
+@add("a5_correlation_pearson", _pairs_sql(LINE_NUMERIC, lambda a, b: f"corr({a}, {b})"))
 def a5(spark, sf):
-    return profile.correlation_pearson(table(spark, sf, "lineitem"), FEATURES).withColumn("r", r("r"))
+    return profile.correlation_pearson(table(spark, sf, "lineitem")).withColumn("r", r("r"))
 
 
 @add("a5_correlation_pairwise_nulls", f"WITH {CLEAN_DIRTY} SELECT 'acct_bal' AS column_a, 'mostly_missing' AS column_b, round(corr(acct_bal, mostly_missing), 6) AS r FROM v_dirty UNION ALL SELECT 'acct_bal', 'c_custkey', round(corr(acct_bal, c_custkey), 6) FROM v_dirty UNION ALL SELECT 'mostly_missing', 'c_custkey', round(corr(mostly_missing, c_custkey), 6) FROM v_dirty")
@@ -186,7 +186,7 @@ def a8(spark, sf):
     return profile.histogram(table(spark, sf, "lineitem"), "l_extendedprice").withColumns({"left": r("left"), "right": r("right")})
 
 
-BOX = ["l_extendedprice", "l_quantity", "l_partkey"]
+BOX = LINE_NUMERIC
 
 
 def _box_sql(c):

@@ -4,7 +4,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from nocturne.functions import labels, text
-from nocturne.operators import balance, chain, cleaning, encoding, filters, folds, joins, reduction, scaling, schema, timeseries
+from nocturne.operators import balance, chain, cleaning, encoding, filters, folds, joins, profile, reduction, scaling, schema, timeseries
 from nocturne.operators.cleaning import CleaningOptions, clean
 from nocturne.sources import epoch_store, recordings, tables
 
@@ -325,3 +325,42 @@ def test_shared_folders_are_not_local_on_a_cluster(spark, monkeypatch):
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(spark)
+
+
+def test_weights_count_rows_without_a_class(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,), (None,)], "y string")
+    assert {r["label"]: r["weight"] for r in balance.class_weights(df, "y").collect()} == {"a": 1.25, "b": 2.5}
+    assert {r["label"]: r["cnt"] for r in balance.class_counts(df, "y").collect()} == {"a": 2, "b": 1}
+    assert sorted((r["y"] or "", r["weight"] or 0) for r in balance.with_class_weight(df, "y").collect()) == [("", 0), ("", 0), ("a", 1.25), ("a", 1.25), ("b", 2.5)]
+
+
+def test_texts_are_not_read_as_numbers_in_binary_columns(spark):
+    numbers = spark.createDataFrame([(1.0, 1), (0.0, 0), (None, None)], "x double, n int")
+    assert [tuple(r) for r in numbers.select(labels.encode_binary(F.col("x")), labels.encode_binary(F.col("n"))).collect()] == [(1.0, 1.0), (0.0, 0.0), (None, None)]
+    for text in ("1.0", "1d"):
+        with pytest.raises(PySparkException, match="not a binary value"):
+            spark.createDataFrame([(text,)], "x string").select(labels.encode_binary(F.col("x"))).collect()
+
+
+def test_many_categories_need_no_cap(spark):
+    df = spark.range(1500).select(F.concat(F.lit("c"), "id").alias("c"))
+    assert len(encoding.categories(df, "c")) == 1500
+    with pytest.raises(ValueError, match="more than 10"):
+        encoding.categories(df, "c", cap=10)
+
+
+def test_distinct_decimals_stay_apart(spark):
+    df = spark.sql("select cast('12345678901234567890123456789012345678' as decimal(38,0)) as d union all select cast('12345678901234567890123456789012345679' as decimal(38,0))")
+    assert profile.dataset_profile(df).first()["n_unique"] == 2
+
+
+def test_wide_correlations_take_two_jobs(spark):
+    cols = [F.sin(F.col("id") * (i + 1)).alias(f"f{i}") for i in range(98)]
+    df = spark.range(400).select(*cols, F.lit(0.1).alias("flat"), F.when(F.col("id") % 3 > 0, F.cos("id")).alias("holes"))
+    spark.sparkContext.setJobGroup("wide", "wide")
+    rows = {(r["column_a"], r["column_b"]): r["r"] for r in profile.correlation_pearson(df).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("wide"))
+    spark.sparkContext._jsc.clearJobGroup()
+    want = df.toPandas().corr()
+    assert len(rows) == 100 * 100 and rows["flat", "f1"] is None and jobs <= 6
+    assert all(rows[a, b] == pytest.approx(want.loc[a, b], abs=1e-9) for a in ("f0", "f50", "holes") for b in ("f3", "f97", "holes"))
