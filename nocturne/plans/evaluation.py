@@ -219,3 +219,17 @@ def j8(spark, sf):
     have = t.filter("fold < 2").select("model", "fold", F.lit(0.5).alias("stage_accuracy")).distinct()
     out = metrics.recover_metrics(have, stage, apnea)
     return out.withColumns({c: r(c) for c in out.columns if c not in ("model", "fold", "apnea_n_samples")})
+
+
+@add("m7_bootstrap_mean_checks", FOLD_SQL + " SELECT model, count(*) AS n, round(avg(accuracy), 6) + 0.0 AS mean, true AS mean_inside, true AS inside_range FROM fm GROUP BY model")
+def m7b(spark, sf):
+    folds = fold_table(spark, sf)
+    span = folds.groupBy("model").agg(F.min("accuracy").alias("least"), F.max("accuracy").alias("most"))
+    ci = reporting.bootstrap_mean_ci(folds, ["model"], "accuracy", ["fold"]).join(span, "model")
+    return ci.select("model", "n", r("mean").alias("mean"), F.col("mean").between(F.col("lo"), F.col("hi")).alias("mean_inside"), ((F.col("lo") >= F.col("least")) & (F.col("hi") <= F.col("most"))).alias("inside_range"))
+
+
+@add("m8_bootstrap_auc_checks", f"WITH {PREDS}, a AS ({_auc_sql('v_preds', [], 'score_a', 'x')}), b AS ({_auc_sql('v_preds', [], 'score_b', 'y')}) SELECT round(x - y, 6) + 0.0 AS auc_diff, true AS inside, true AS has_width FROM a, b")
+def m8c(spark, sf):
+    ci = reporting.bootstrap_auc_diff(views.preds(spark, sf), "y_true", "score_a", "score_b")
+    return ci.select(r("auc_diff").alias("auc_diff"), F.col("auc_diff").between(F.col("lo"), F.col("hi")).alias("inside"), (F.col("hi") > F.col("lo")).alias("has_width"))

@@ -364,3 +364,14 @@ def t11c(spark, sf):
 def t12(spark, sf):
     a = arrays.augment(F.col("signal"), F.col("vec_id"), noise_std=0.05, scale=(0.8, 1.2), mask_fraction=0.1, mask_count=2, band_fraction=0.1, band_prob=0.5)
     return views.arrays(spark, sf).select("vec_id", a.alias("signal"))
+
+
+@add("t12_augment_checks", "SELECT vec_id, len(embedding) AS n, true AS spans_are_zero, true AS rest_is_scaled FROM embeddings")
+def t12b(spark, sf):
+    """Length, zeroed spans and scale of what augmentation without noise returns."""
+    a = views.arrays(spark, sf).withColumn("out", arrays.augment(F.col("signal"), F.col("vec_id"), scale=(0.8, 1.2), mask_fraction=0.1, mask_count=2))
+    zeros, width = F.size(F.filter("out", lambda x: x == 0)), F.bround(F.size("signal") * 0.1)
+    kept = F.filter(F.zip_with("out", "signal", lambda y, x: F.when((x != 0) & (y != 0), y / x)), lambda r: r.isNotNull())
+    spread = F.array_max(kept) - F.array_min(kept)
+    scaled = (F.array_min(kept) >= 0.8 - 1e-6) & (F.array_max(kept) <= 1.2 + 1e-6) & (spread < 1e-4)
+    return a.select("vec_id", F.size("out").cast("bigint").alias("n"), zeros.between(width, 2 * width).alias("spans_are_zero"), scaled.alias("rest_is_scaled"))

@@ -290,3 +290,12 @@ def g9(spark, sf):
 @add("g9_export_features_all")
 def g9b(spark, sf):
     return signal.export_features(views.arrays(spark, sf), "signal", 64.0, normalize=True).drop("signal")
+
+
+@add("g9_export_features_complete", "SELECT vec_id, 24 AS n_features, 0 AS n_missing FROM embeddings")
+def g9c(spark, sf):
+    """Every feature of every epoch is a finite number."""
+    f = g9b(spark, sf)
+    names = [c for c in f.columns if c.startswith("eeg_")]
+    missing = sum([(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("int") for c in names], F.lit(0))
+    return f.select("vec_id", F.lit(len(names)).alias("n_features"), missing.alias("n_missing"))
