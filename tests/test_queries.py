@@ -32,4 +32,4 @@ def test_query(spark, con, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() == 4
+    assert entry.entry(spark).count() == 8
