@@ -149,7 +149,7 @@ def _compare(k: int):
 
 def nearest(
     base: DataFrame, queries: DataFrame, *, k: int = 5, vector: str = "embedding", tables: int = 2, projections: int = 4, width: float = 0.3,
-    target: float = 0.75, sample_rows: int = 4096, block: int = 2048,
+    target: float = 0.75, sample_rows: int = 4096, block: int = 512,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its ``k`` nearest found, nearest first, ties to the smaller vec_id.
 
