@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from nocturne.llm.common import materialize, pick, shuffle_width, slices
+from nocturne.llm.common import materialize, pick, slices
+
+SLICES = 128  # parts in which the pieces of one length are ranked
 
 
 # Tokens
@@ -234,7 +236,7 @@ def pack(docs: DataFrame, path: str, *, capacity: int = 2048, end: int = 0, with
     pieces = materialize(tokenize_pieces(docs, path, capacity, end, with_ids))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
     plan = plan_sequences(counts, capacity, groups, small)
-    width = max(64, 4 * shuffle_width(spark))
+    width = SLICES
     order = ["doc_id", "piece", "ids_crc32"]
     salted = pieces.withColumn("slice", F.pmod(F.xxhash64(*order), F.lit(width)))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
