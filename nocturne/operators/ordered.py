@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nocturne.session import keep
+
 SAMPLE_PER_RANGE = 24  # sampled rows for each cut point
 MOST_RANGES = 2_000  # ranges have no size limit: a window streams through a sorted range
 PIECE_ROWS = 65_536  # rows between two borders when values are shifted
@@ -190,7 +192,7 @@ def quantiles_and_modes(df: DataFrame, columns: list[str], probs: list[float], *
     quantiles: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
     modes: dict = {c: None for c in columns}
     for family, names in _by_family(df, columns, None).items():
-        counts = value_counts(df, names, family)
+        counts = keep(value_counts(df, names, family))  # read for the sizes, the cut points, the sums and the totals
         last = {r["name"]: r["n"] - 1 for r in counts.groupBy("name").agg(F.sum("cnt").alias("n")).collect()}
         if not last:
             continue
