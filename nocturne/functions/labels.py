@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from nocturne.functions.text import snake_case
 
+# The five sleep stages.
 STAGES = ("W", "N1", "N2", "N3", "REM")
 
 # Spellings of the five sleep stages.

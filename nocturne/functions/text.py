@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 EVENT_CODES = ("H", "HA", "OA", "X", "CA", "CAA", "L", "LA", "A", "MT")
 STAGE_TOKENS = ("W", "R", "1", "2", "3", "4")
 
+# How clock times, file names, ids, store names and event lines are written.
+SEGMENT_STAGE = r"(?i)Stagen(\d+)"
+SEGMENT_SUBJECT = r"(?i)^(S\d+_p\d+(?:_\d+)?)"
+RECORDING_SUBJECT = r"(?i)^([A-Z]{2}\d{4})"
+UNSAFE_IN_STORE = r"[^A-Za-z0-9_.-]+"
+EVENT_LINE = r"^\d{2}:\d{2}:\d{2}\s+"
 CLOCK = r"^\s*(\d{2}):(\d{2}):(\d{2})\s*$"
 NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
 
@@ -61,18 +67,18 @@ def segment_event_group(path: Column) -> Column:
 
 
 def segment_stage(path: Column) -> Column:
-    return F.regexp_extract(path, r"(?i)Stagen(\d+)", 1).try_cast("int")
+    return F.regexp_extract(path, SEGMENT_STAGE, 1).try_cast("int")
 
 
 def segment_subject(path: Column) -> Column:
     stem = path_stem(path)
-    found = F.regexp_extract(stem, r"(?i)^(S\d+_p\d+(?:_\d+)?)", 1)
+    found = F.regexp_extract(stem, SEGMENT_SUBJECT, 1)
     return F.when(found != "", found).otherwise(stem)
 
 
 def subject_from_recording(col: Column) -> Column:
     """Two letters and four digits at the start, else the name without its last two characters."""
-    found = F.regexp_extract(col, r"(?i)^([A-Z]{2}\d{4})", 1)
+    found = F.regexp_extract(col, RECORDING_SUBJECT, 1)
     cut = F.substring(col, F.lit(1), F.length(col) - 2)
     return F.when(found != "", found).when(F.length(col) > 2, cut).otherwise(col)
 
@@ -92,13 +98,10 @@ def annotation_events(col: Column) -> Column:
 
 
 def store_relpath(dataset: Column, recording: Column) -> Column:
-    safe = F.regexp_replace(F.trim(recording), r"[^A-Za-z0-9_.-]+", "_")
+    safe = F.regexp_replace(F.trim(recording), UNSAFE_IN_STORE, "_")
     return F.concat_ws("/", dataset, safe)
 
 
-EVENT_LINE = r"^\d{2}:\d{2}:\d{2}\s+"
-
-
 def event_line(line: Column) -> Column:
     """Struct (start_sec, end_sec, event_type) of one event-list line; null when the line is not an event."""
     parts = F.filter(F.split(line, r"\s+"), lambda t: t != "")

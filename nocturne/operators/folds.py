@@ -12,6 +12,9 @@ from nocturne.operators.ordered import Desc, exact_quantiles, positions
 from nocturne.operators.schema import q
 
 
+NO_STAGE = "UNK"  # fixed value
+
+
 def distinct_subjects(df: DataFrame, subject: str, order: list[str]) -> DataFrame:
     """Subjects with the order value of their first row."""
     return df.groupBy(q(subject)).agg(F.min(F.struct(*[q(c) for c in order])).alias("_first")).select(subject, "_first.*")
@@ -56,7 +59,7 @@ def subject_profiles(df: DataFrame, subject: str, stage: str = "sleep_stage", ap
     rate = F.coalesce(F.avg(q(apnea).cast("string").try_cast("double")), F.lit(0.0))
     base = df.groupBy(q(subject)).agg(rate.alias("apnea_rate"))
     dom = dominant_labels(df, subject, stage)
-    out = base.join(dom, subject).withColumn("dominant_stage", F.coalesce("dominant", F.lit("UNK"))).drop("dominant")
+    out = base.join(dom, subject).withColumn("dominant_stage", F.coalesce("dominant", F.lit(NO_STAGE))).drop("dominant")
     rates = out.select("apnea_rate")
     distinct = rates.distinct().limit(3).count()
     bin_name = F.lit("all")
@@ -69,6 +72,7 @@ def subject_profiles(df: DataFrame, subject: str, stage: str = "sleep_stage", ap
     return out.withColumn("apnea_bin", bin_name).withColumn("composite_label", F.concat_ws("__", "apnea_bin", "dominant_stage"))
 
 
+# Names of the strategies.
 STRATEGIES = (("composite_subject_stratified", "composite_label"), ("apnea_bin_only", "apnea_bin"), ("dominant_stage_only", "dominant_stage"))
 
 

@@ -11,6 +11,8 @@ from nocturne.operators.metrics import auc_roc
 from nocturne.operators.ordered import join_on, positions
 from nocturne.operators.schema import q
 
+NO_VALUE = "N/D"  # fixed value
+
 
 def _long(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     cells = [F.struct(F.lit(m).alias("metric"), q(m).cast("string").try_cast("double").alias("value")) for m in metrics]
@@ -44,14 +46,14 @@ def experiment_summary(within: DataFrame, cross: DataFrame, metrics: list[str])
 
 
 def _three(col: Column) -> Column:
-    return F.coalesce(F.format_string("%.3f", F.bround(col.cast("double"), 3)), F.lit("N/D"))
+    return F.coalesce(F.format_string("%.3f", F.bround(col.cast("double"), 3)), F.lit(NO_VALUE))
 
 
 def metric_by_model(summary: DataFrame, models: list[str], rows: str = "metric") -> DataFrame:
     """One row per metric (or class), one ``mean ± std`` text column per model."""
     text = F.concat(_three(F.col("mean")), F.lit(" ± "), _three(F.col("std")))
     wide = summary.groupBy(rows).pivot("model", models).agg(F.max(text))
-    return wide.select(rows, *[F.coalesce(q(m), F.lit("N/D")).alias(m) for m in models])
+    return wide.select(rows, *[F.coalesce(q(m), F.lit(NO_VALUE)).alias(m) for m in models])
 
 
 def direction_table(df: DataFrame, metrics: list[str], keys=("direction", "model")) -> DataFrame:
