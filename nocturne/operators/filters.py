@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nocturne.functions.labels import normalize_stage_label
+from nocturne.functions.text import STAGE_TOKENS
 from nocturne.operators.ordered import positions, join_on
 from nocturne.operators.schema import q
 
@@ -138,3 +139,15 @@ def sequence_metadata(df: DataFrame, target: str, subject: str, recording: str,
     if out.isEmpty():
         raise ValueError("no row is left for sequence windows")
     return out
+
+
+def with_routes(df: DataFrame, stage: str = "stage", events: str = "tokens") -> DataFrame:
+    """Add ``in_stage`` (the stage token is known) and ``in_event`` (there are event tokens); a row may be both."""
+    return df.withColumns({"in_stage": q(stage).isin(*STAGE_TOKENS), "in_event": q(events) != ""})
+
+
+def route_rows(df: DataFrame, stage: str = "stage", events: str = "tokens", out: str = "target") -> DataFrame:
+    """One row per table a row goes to: ``stage``, ``event``, both, or ``skipped``."""
+    told = with_routes(df, stage, events)
+    goals = F.array(F.when(F.col("in_stage"), "stage"), F.when(F.col("in_event"), "event"), F.when(~F.col("in_stage") & ~F.col("in_event"), "skipped"))
+    return told.select(*[q(c) for c in df.columns], F.explode(F.array_compact(goals)).alias(out))

@@ -91,16 +91,10 @@ def p16(spark, sf):
     return aux(spark, sf)
 
 
-def routed(df):
-    return df.withColumns({"in_stage": F.col("stage").isin(*text.STAGE_TOKENS), "in_event": F.col("tokens") != ""})
-
-
 @add("p17_route_rows", f"""WITH {AUX} SELECT event_id, 'stage' AS target FROM v_aux WHERE stage IN ('W','R','1','2','3','4') UNION ALL SELECT event_id, 'event' FROM v_aux WHERE tokens <> ''
  UNION ALL SELECT event_id, 'skipped' FROM v_aux WHERE stage NOT IN ('W','R','1','2','3','4') AND tokens = ''""")
 def p17(spark, sf):
-    a = routed(aux(spark, sf))
-    goals = F.array_compact(F.array(F.when(F.col("in_stage"), "stage"), F.when(F.col("in_event"), "event"), F.when(~F.col("in_stage") & ~F.col("in_event"), "skipped")))
-    return a.select("event_id", F.explode(goals).alias("target"))
+    return filters.route_rows(aux(spark, sf)).select("event_id", "target")
 
 
 @add("p18_parse_hms", "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN CAST((event_id % 24) * 3600 + (event_id % 60) * 60 + (event_id * 7) % 60 AS BIGINT) END AS sec FROM events")
