@@ -17,6 +17,8 @@ from nocturne.llm.common import materialize, pick
 
 #: Letters and marks whose counts modulo two make a line's signature.
 COUNTED = "etaonrishdlucmwfgypbvk,."
+#: Near lines by three edits, equal lines at every non-empty length. Only the edit join has a floor.
+WHOLE = {"threshold": 3, "min_chars": 32, "exact_chars": 1}
 
 
 def _let(value: Column, use) -> Column:
@@ -122,12 +124,12 @@ def similar_lines(distinct: DataFrame, threshold: int, min_chars: int) -> DataFr
     return measured.select(order("a", "b").alias("a"), order("b", "a").alias("b"), order("a_at", "b_at").alias("a_at"), order("b_at", "a_at").alias("b_at"), "distance")
 
 
-def line_marks(docs: DataFrame, threshold: int = 1, min_chars: int = 32) -> DataFrame:
+def line_marks(docs: DataFrame, threshold: int = 1, min_chars: int = 32, exact_chars: int | None = None) -> DataFrame:
     """(doc_id, version, gone, gone_chars, n_links): the numbers (from 0) of the lines that go, their characters, and the links of the document's lines to other lines."""
-    lines = line_table(docs).filter(F.length("line") >= min_chars)
+    lines = line_table(docs).filter(F.length("line") >= (min_chars if exact_chars is None else min(exact_chars, min_chars)))
     sums = lines.groupBy("line").agg(F.min("at").alias("at"), F.count("*").alias("copies"))
     distinct = materialize(sums.select(F.xxhash64("line").alias("id"), "at", "copies", "line", F.length("line").alias("n"), _signature(F.col("line")).alias("sign")))
-    links = materialize(similar_lines(distinct, threshold, min_chars))
+    links = materialize(similar_lines(distinct.filter(F.col("n") >= min_chars), threshold, min_chars))
     ends = links.select(F.col("b_at").alias("at"), F.lit(True).alias("late")).union(links.select("a_at", F.lit(False)))
     near = ends.groupBy("at").agg(F.max("late").alias("late"), F.count("*").alias("links"))
     check = F.xxhash64(F.lit(1), F.col("line"))
@@ -139,12 +141,13 @@ def line_marks(docs: DataFrame, threshold: int = 1, min_chars: int = 32) -> Data
     return found.groupBy("doc_id", "version").agg(F.collect_set(F.when(goes, F.col("line_no"))).alias("gone"), F.sum(F.when(goes, F.col("size"))).alias("gone_chars"), F.sum("links").alias("n_links"))
 
 
-def dedup_lines(docs: DataFrame, *, threshold: int = 1, min_chars: int = 32, carry: list[str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, threshold: int = 1, min_chars: int = 32, exact_chars: int | None = None, carry: list[str] | None = None) -> DataFrame:
     """(carry columns, doc_id, text, n_lines, n_removed, n_chars_removed, n_links) of every document.
 
     Lines end at line feeds. A line of ``min_chars`` characters or more goes if it stands, equal or within ``threshold`` edits (characters inserted, deleted
     or replaced), earlier in the corpus: in a document of smaller doc_id or further up in its own. Lines are judged on the
-    input, not on what is left. Shorter lines stay: they say little about copying. n_links counts, for the document's
+    input, not on what is left. Shorter lines have no near copies; those of ``exact_chars``
+    characters or more go where they stand earlier in equal form, others stay (by default all shorter lines). n_links counts, for the document's
     lines, the distinct other lines within the threshold, earlier or later.
 
     A null text has no lines and stays null; an empty text is one empty line; a row without doc_id is kept whole; rows of one doc_id count as one document;
@@ -153,7 +156,7 @@ def dedup_lines(docs: DataFrame, *, threshold: int = 1, min_chars: int = 32, car
     carry = [c for c in carry or [] if c not in ("doc_id", "text")]
     plain = pick(docs, *carry, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     plain = plain.withColumn("version", F.crc32(F.col("text").cast("binary"))).withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))
-    both = plain.join(line_marks(docs, threshold, min_chars), ["doc_id", "version"], "left")
+    both = plain.join(line_marks(docs, threshold, min_chars, exact_chars), ["doc_id", "version"], "left")
     numbers = F.array_sort(F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), F.col("gone")))
     left = _let(F.split("text", "\n"), lambda rows: F.array_join(F.transform(numbers, lambda i: F.get(rows, i)), "\n"))
     removed = F.coalesce(F.size("gone"), F.lit(0))

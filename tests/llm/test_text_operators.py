@@ -1,6 +1,7 @@
 """Operators on texts beside their brute-force versions: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark import SparkConf
@@ -187,6 +188,28 @@ def test_line_dedup(spark, threshold):
     assert got == brute.line_dedup(rows, threshold, 8)
 
 
+@pytest.mark.parametrize("exact", [1, 4])
+def test_line_dedup_of_short_lines(spark, exact):
+    """Equal lines go at any length from exact_chars on; near ones only from min_chars on."""
+    rows = [*lines(40), (41, "}\nshort\n\nshort\nshorn"), (42, "}\n\nshort\nabc"), (43, "abc\n}"), (44, "\n\n"), (45, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, threshold=1, min_chars=12, exact_chars=exact).collect()}
+    near, seen = brute.line_dedup(rows, 1, 12), set()
+    known = {x for _, t in rows for x in (t or "").split("\n") if len(x) >= 12}
+    for d, t in rows:
+        kept = []
+        left = Counter((near[d][0] or "").split("\n"))
+        for x in (t or "").split("\n"):
+            if x in known:
+                left[x] -= (stays := left[x] > 0)
+            else:
+                stays = len(x) < exact or x not in seen
+                seen.add(x)
+            if stays:
+                kept.append(x)
+        assert got[d] == (None if t is None else "\n".join(kept))
+
+
 def test_line_dedup_of_odd_rows(spark):
     line = "a line that is long enough to be judged by itself"
     odd = spark.createDataFrame([(1, line), (1, line), (2, line + "\nkept"), (None, line)], "doc_id long, text string")
