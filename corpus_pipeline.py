@@ -30,12 +30,20 @@ def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return quality.keep_good(docs, quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = line_dedup.dedup_lines(docs, carry=["lang", "source"])
+def _with_lines(left: DataFrame) -> DataFrame:
     emptied = (F.col("n_removed") > 0) & (F.trim("text") == "")
     return _documents(left.filter(~F.coalesce(emptied, F.lit(False))))
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _with_lines(line_dedup.dedup_lines(docs, carry=["lang", "source"]))
+
+
+def drop_near_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup by up to three edits, and of equal lines at every non-empty length."""
+    return _with_lines(line_dedup.dedup_lines(docs, **line_dedup.WHOLE, carry=["lang", "source"]))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = minhash.near_duplicates(docs, percent=80, bands=56, rows=7, carry=["lang", "source", "n_chars"])
     return judged.filter("kept").select(*COLUMNS)
@@ -58,15 +66,22 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
+#: The same with near lines by three edits and short equal lines in the line stage.
+WHOLE_STAGES = [(name, drop_near_lines if name == "line dedup" else stage) for name, stage in STAGES]
+
 #: The quality model and the packing plan can't be said in SQL; the tests run the stages beside a brute-force version.
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, stages: list = STAGES) -> DataFrame:
     """The last stage's rows over the documents of a folder."""
     docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), *COLUMNS)
-    for i, (_, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(stages):
         docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
+        if i < len(stages) - 1:
             docs = materialize(docs)
     return docs
+
+
+def run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, WHOLE_STAGES)

@@ -18,6 +18,11 @@ def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf, "documents")).drop("text")
 
 
+def op1_line_dedup_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that stand earlier in the corpus, by document: equal at every non-empty length, or with up to three edits from 32 characters on."""
+    return line_dedup.dedup_lines(table(spark, sf, "documents"), **line_dedup.WHOLE).drop("text")
+
+
 def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Words of documents left after removal of passages (13 words and more) of documents with a smaller doc_id."""
     left = substring_dedup.remove_repeats(table(spark, sf, "documents"))
@@ -78,7 +83,7 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ALL = [
-    op1_line_dedup, op2_substring_dedup, op3_url_filters, op4_decontamination, op5_minhash_near_dedup, op6_chat_formatting, op7_quality_classifier,
+    op1_line_dedup, op1_line_dedup_whole, op2_substring_dedup, op3_url_filters, op4_decontamination, op5_minhash_near_dedup, op6_chat_formatting, op7_quality_classifier,
     op8_nearest_neighbours, op9_best_fit_packing, op10_toxicity,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

@@ -14,6 +14,22 @@ sizes AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_chars_removed, 0)::BIGINT AS n_chars_removed, coalesce(n_links, 0)::BIGINT AS n_links
 FROM documents d LEFT JOIN sizes ON d.doc_id = sizes.doc_id LEFT JOIN sums ON d.doc_id = sums.doc_id"""
 
+# DuckDB's levenshtein counts bytes (4 a character at most), so letters beyond ASCII become single bytes, pair by pair.
+SQL["op1_line_dedup_whole"] = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+o AS (SELECT doc_id, line, doc_id * 2147483648 + i AS place FROM l WHERE line <> ''),
+d AS (SELECT line, length(line) AS n, min(place) AS place FROM o GROUP BY line),
+rough AS MATERIALIZED (SELECT a.line AS a, b.line AS b FROM d a JOIN d b ON b.n BETWEEN a.n - 3 AND a.n + 3 AND a.place < b.place WHERE a.n >= 32 AND b.n >= 32 AND levenshtein(a.line, b.line) <= 12),
+m AS (SELECT string_agg(chr(i::INTEGER), '' ORDER BY i) AS marks FROM range(1, 32) r(i) WHERE i NOT IN (9, 10, 13)),
+told AS (SELECT a, b, marks, array_to_string(list_sort(list_distinct(regexp_extract_all(a || b, '[^\x00-\x7F]'))), '') AS wide FROM rough CROSS JOIN m),
+links AS (SELECT a, b FROM told WHERE CASE WHEN length(wide) > length(marks) THEN error('too many letters beyond ASCII') ELSE levenshtein(translate(a, wide, marks), translate(b, wide, marks)) <= 3 END),
+near AS (SELECT line, count(*) AS links, bool_or(late) AS late FROM (SELECT a AS line, false AS late FROM links UNION ALL SELECT b, true FROM links) GROUP BY line),
+judged AS (SELECT o.doc_id, length(o.line) AS n, o.place > d.place OR coalesce(late, false) AS goes, coalesce(links, 0) AS links FROM o JOIN d ON o.line = d.line LEFT JOIN near ON o.line = near.line),
+sums AS (SELECT doc_id, count(*) FILTER (goes) AS n_removed, sum(n) FILTER (goes) AS n_chars_removed, sum(links) AS n_links FROM judged GROUP BY doc_id),
+sizes AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_chars_removed, 0)::BIGINT AS n_chars_removed, coalesce(n_links, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN sizes ON d.doc_id = sizes.doc_id LEFT JOIN sums ON d.doc_id = sums.doc_id"""
+
 SQL["op2_substring_dedup"] = r"""
 WITH w AS (
   SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS word,
