@@ -5,6 +5,9 @@ width.  If a neighbour has cosine c with the query, its projection is about norm
 cell the probability that it holds the neighbour.  A query visits cells in falling order of that probability until
 they add up to ``target``.  Candidates of all tables are ranked by exact cosine.
 
+A second round takes the cosine of the query's own k-th best so far, which is no more than that of its true k-th, and visits the cells that are still
+missing for it, so a query far from the groups that set the sample's cosine goes on until its own target holds.
+
 A cell is compared with its queries as one matrix product.  Crowded cells are split by hash, and so are the queries,
 so no group has more than about ``block`` rows of either kind, whatever the data; nothing is dropped.
 """
@@ -89,29 +92,45 @@ def _index(shared):
     return run
 
 
-def _probe(shared, target: float, least: int):
+def _visits(tables: Tables, directory, x: np.ndarray, cosine: np.ndarray, target: float, least: int) -> Iterator[list[np.ndarray]]:
+    """By table, for each query the cells (places in the directory) to visit if a neighbour has that cosine; all cells where it is NaN."""
+    known = np.where(np.isnan(cosine), 0.0, np.clip(cosine, -0.999, 0.999))
+    sd = np.sqrt(np.maximum(1 - known**2, 1e-4) / tables.dimension)[:, None]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for t, (cells, counts) in enumerate(directory):
+        centre = known[:, None] * (unit @ tables.directions[t]) + tables.offsets[t]
+        chance = np.ones((len(x), len(cells)))
+        for k in range(cells.shape[1]):
+            low, at = np.unique(cells[:, k], return_inverse=True)
+            z = lambda c, k=k: (c[None, :] * tables.width - centre[:, k : k + 1]) / (sd * math.sqrt(2))
+            chance *= ((_erf(z(low + 1)) - _erf(z(low))) / 2)[:, at.ravel()]
+        order = np.argsort(-chance, axis=1, kind="stable")
+        out = []
+        for i, o in enumerate(order):
+            enough = (np.cumsum(chance[i, o]) >= target) & (np.cumsum(counts[o]) >= least)
+            out.append(o[: int(np.argmax(enough)) + 1] if enough.any() and not np.isnan(cosine[i]) else o)
+        yield out
+
+
+def _probe(shared, target: float, least: int, again: bool = False):
+    """Cells to visit by the sample's cosine or, ``again``, those that the query's own cosine adds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, directory = shared.value
-        sd = math.sqrt(max(1 - tables.cosine**2, 1e-4) / tables.dimension)
         for batch in batches:
             rows, x = _valid(batch.column("vector"), tables.dimension)
             ids = pc.take(batch.column("vec_id"), pa.array(rows)).to_pylist()
             out = []
-            for t, (cells, counts) in enumerate(directory):
-                keys = _mixed(cells)
-                centre = tables.cosine * (x / np.linalg.norm(x, axis=1, keepdims=True) @ tables.directions[t]) + tables.offsets[t]
-                chance = np.ones((len(rows), len(cells)))
-                for k in range(cells.shape[1]):
-                    low, at = np.unique(cells[:, k], return_inverse=True)
-                    z = lambda c, k=k: (c[None, :] * tables.width - centre[:, k : k + 1]) / (sd * math.sqrt(2))
-                    chance *= ((_erf(z(low + 1)) - _erf(z(low))) / 2)[:, at.ravel()]
-                order = np.argsort(-chance, axis=1, kind="stable")
-                for i, vec in enumerate(ids):
-                    o = order[i]
-                    enough = (np.cumsum(chance[i, o]) >= target) & (np.cumsum(counts[o]) >= least)
-                    n = int(np.argmax(enough)) + 1 if enough.any() else len(o)
-                    load = x[i].astype("<f8").tobytes()
-                    out.extend((t, int(keys[c]), vec, load) for c in o[:n])
+            first = _visits(tables, directory, x, np.full(len(rows), tables.cosine), target, least)
+            if again:
+                own = pc.take(batch.column("own"), pa.array(rows)).to_numpy(zero_copy_only=False).astype(float)  # a null becomes NaN
+                both = zip(_visits(tables, directory, x, own, target, least), first)
+                first = ([np.setdiff1d(b, a) for b, a in zip(*pair)] for pair in both)
+            loads = [v.astype("<f8").tobytes() for v in x]
+            for t, visits in enumerate(first):
+                keys = _mixed(directory[t][0])
+                for vec, load, places in zip(ids, loads, visits):
+                    out.extend((t, int(keys[c]), vec, load) for c in places)
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], ["table", "cell", "vec_id", "load"])
 
@@ -185,13 +204,23 @@ def nearest(
         directory.append((cells, np.array([r["n"] for r in found if r["table"] == t], np.int64)))
     parts = [(r["table"], r["cell"], -(-r["n"] // block)) for r in found]
     wide = F.broadcast(spark.createDataFrame(parts, "table int, cell long, parts long"))  # as many rows as there are cells
-    probes = materialize(asked.mapInArrow(_probe(sc.broadcast((fitted, directory)), target, 10 * k), schema))
-    lots = max(1, -(-(probes.groupBy("table", "cell").count().agg(F.max("count")).first()[0] or 0) // block))
+    sent = sc.broadcast((fitted, directory))
     salt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n) if isinstance(n, int) else n)
-    left = index.join(wide, ["table", "cell"]).withColumn("part", salt(F.col("parts"))).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
-    right = probes.join(wide, ["table", "cell"]).withColumn("lot", salt(lots).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     keys = ["table", "cell", "part", "lot"]
-    both = left.select(*keys, "vec_id", "load", F.lit(False).alias("asks")).union(right.select(*keys, "vec_id", "load", F.lit(True)))
-    near = both.groupBy(*keys).applyInArrow(_compare(k), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def compared(probes: DataFrame) -> DataFrame:
+        lots = max(1, -(-(probes.groupBy("table", "cell").count().agg(F.max("count")).first()[0] or 0) // block))
+        left = index.join(wide, ["table", "cell"]).withColumn("part", salt(F.col("parts"))).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+        right = probes.join(wide, ["table", "cell"]).withColumn("lot", salt(lots).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+        both = left.select(*keys, "vec_id", "load", F.lit(False).alias("asks")).union(right.select(*keys, "vec_id", "load", F.lit(True)))
+        return both.groupBy(*keys).applyInArrow(_compare(k), "query_id long, vec_id long, score double")
+
+    def best(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        near = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    near = materialize(best(compared(materialize(asked.mapInArrow(_probe(sent, target, 10 * k), schema)))))
+    own = near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("own"))
+    more = materialize(asked.join(own, "vec_id", "left").mapInArrow(_probe(sent, target, 10 * k, again=True), schema))
+    return best(near.select("query_id", "vec_id", "score").union(compared(more)))

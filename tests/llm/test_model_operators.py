@@ -89,6 +89,26 @@ def test_neighbours_recall(spark):
         assert all(r.score == pytest.approx(s[list(local.vec_id[q]).index(r.query_id), list(local.vec_id).index(r.vec_id)], abs=1e-12) for r in rows)
 
 
+def test_neighbours_recall_on_groups(spark):
+    """Most vectors in tight groups: queries outside them need far more cells than the median vector."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    grouped = np.arange(4000) % 10 < 7
+    x[grouped] = x[r.integers(0, 20, grouped.sum()) * 10 + 9] + r.normal(size=(grouped.sum(), 64)) * 0.005
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    q = np.arange(0, 4000, 13)
+    s = cosines(x, q)
+    s[np.arange(len(q)), q] = -2
+    best = {int(i): set(np.argsort(-s[n])[:5].tolist()) for n, i in enumerate(q)}
+    rows = neighbors.nearest(df, df.filter("vec_id % 13 = 0")).collect()
+    assert len(rows) == 5 * len(q)
+    for some in (set(q.tolist()), set(q[~grouped[q]].tolist()), set(q[grouped[q]].tolist())):
+        recall = sum(r.vec_id in best[r.query_id] for r in rows if r.query_id in some) / (5 * len(some))
+        print("recall", len(some), recall)
+        assert recall >= 0.9
+
+
 def test_neighbours_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [None, 1.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [1.0]), (None, [1.0, 0.0]), (1, [1.0, 0.0])]
