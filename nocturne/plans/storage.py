@@ -140,6 +140,17 @@ def s9b(spark, sf):
     return epoch_store.epochs_from_samples(s, e, ["recording_id"], 80).select("recording_id", "epoch_index", rounded(F.col("signal")).alias("signal"))
 
 
+@add("s9_epochs_from_samples_channels", f"""WITH {ARRAYS} SELECT recording_id, channel, k AS epoch_index, list_transform(list(value ORDER BY idx), lambda x: round(CAST(x AS DOUBLE), 5) + 0.0) AS signal
+ FROM (SELECT recording_id, epoch_index // 2 * 64 + generate_subscripts(signal, 1) - 1 AS idx, unnest(signal) AS value, vec_id % 2 AS channel FROM v_arrays) u JOIN range(8) g(k) ON idx >= k * 80 AND idx < k * 80 + 80 GROUP BY 1, 2, 3""")
+def s9c(spark, sf):
+    """Both channels, each with its own epochs."""
+    keys = ["recording_id", "channel"]
+    s = long_samples(spark, sf)
+    e = s.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))).alias("epoch_index")).withColumns(
+        {"epoch_start_sample": F.col("epoch_index") * 80, "epoch_end_sample": F.col("epoch_index") * 80 + 80})
+    return epoch_store.epochs_from_samples(s, e, keys, 80).select(*keys, "epoch_index", rounded(F.col("signal")).alias("signal"))
+
+
 @add("s10_validate_manifest", f"""WITH {ARRAYS} SELECT vec_id, 'a/' || recording_id AS epoch_store_relpath, CAST(epoch_index AS BIGINT) AS epoch_store_row, 64.0::DOUBLE AS sample_hz, 64::BIGINT AS samples_per_epoch, 'EEG' AS channel_name_used, 1::BIGINT AS store_version FROM v_arrays""")
 def s10(spark, sf):
     a = views.arrays(spark, sf).select("vec_id", F.concat(F.lit("a/"), F.col("recording_id").cast("string")).alias("epoch_store_relpath"), F.col("epoch_index").cast("string").alias("epoch_store_row"),
