@@ -13,7 +13,6 @@ catalog = Catalog()
 add = catalog.add
 
 PREFIX = "eeg_"
-SMALL = {"random_forest": {"n_estimators": 10, "max_depth": 5}, "boosted_trees": {"n_estimators": 5, "max_depth": 3}, "kernel_margin": {"n_components": 64, "max_iter": 10}}
 STAGES = {0: "W", 1: "N1", 2: "N2", 3: "N3", 4: "REM"}
 
 
@@ -35,7 +34,7 @@ def _fit(spark, sf, name, target, task):
     if task == "binary":
         f = f.withColumn(target, F.col(target).cast("int"))
     train, test = f.filter("subject % 5 <> 0"), f.filter("subject % 5 = 0")
-    m = models.fit_model(train, columns_of(f), target, name, {**SMALL[name], "class_weight": "balanced"}, task=task)
+    m = models.fit_model(train, columns_of(f), target, name, {"class_weight": "balanced"}, task=task)
     return models.predict(m, test, target, keep=["vec_id", target])
 
 
@@ -71,14 +70,14 @@ def l7b(spark, sf):
 
 @add("l8_run_subject_cv")
 def l8(spark, sf):
-    run = models.run_subject_cv((f := features(spark, sf)), "subject", "sleep_stage", columns_of(f), {"random_forest": SMALL["random_forest"]}, k=5, refit=False)
+    run = models.run_subject_cv((f := features(spark, sf)), "subject", "sleep_stage", columns_of(f), {"random_forest": {}}, k=5, refit=True)
     return run.metrics
 
 
 @add("l8_subject_cv_coverage", f"WITH {ARRAYS} SELECT 'random_forest' AS model, count(*) AS n_rows, count(DISTINCT recording_id) AS n_subjects, 5::BIGINT AS n_folds, 1::BIGINT AS folds_per_subject FROM v_arrays")
 def l8b(spark, sf):
     """Each row is predicted exactly once and no subject is split over folds."""
-    p = models.run_subject_cv((f := features(spark, sf)), "subject", "sleep_stage", columns_of(f), {"random_forest": SMALL["random_forest"]}, k=5, refit=False).predictions
+    p = models.run_subject_cv((f := features(spark, sf)), "subject", "sleep_stage", columns_of(f), {"random_forest": {}}, k=5, refit=True).predictions
     per = p.groupBy("model", "subject_id").agg(F.count("*").alias("n"), F.count_distinct("fold_id").alias("k"))
     folds = p.groupBy("model").agg(F.count_distinct("fold_id").alias("n_folds"))
     return per.groupBy("model").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_subjects"), F.max("k").alias("folds_per_subject")).join(folds, "model")
@@ -86,7 +85,7 @@ def l8b(spark, sf):
 
 @add("l9_nested_grid_search")
 def l9(spark, sf):
-    search = models.Search({"random_forest": {"max_depth": [2, 4], "n_estimators": [5]}}, "macro_f1", inner_splits=2)
+    search = models.Search({"random_forest": {"max_depth": [None, 10]}}, "macro_f1")
     best, score, table = models.nested_grid_search((f := features(spark, sf)), "subject", "sleep_stage", columns_of(f), "random_forest", search)
     rows = [(t["params"], t["score"], t["score"] == score) for t in table]
     return spark.createDataFrame(rows, "params string, score double, best boolean")
@@ -95,24 +94,24 @@ def l9(spark, sf):
 @add("l10_run_cross_dataset")
 def l10(spark, sf):
     f = features(spark, sf).drop("label_mask_apnea", "label_mask_stage", "apnea_binary", "vec_id")
-    return models.run_cross_dataset(f.filter("subject % 2 = 0"), f.filter("subject % 2 = 1"), "subject", "sleep_stage", {"random_forest": SMALL["random_forest"]}).metrics
+    return models.run_cross_dataset(f.filter("subject % 2 = 0"), f.filter("subject % 2 = 1"), "subject", "sleep_stage", {"random_forest": {}}).metrics
 
 
 @add("l11_run_multitarget_cv")
-def l11(spark, sf):
-    return models.run_multitarget_cv((f := features(spark, sf)), "subject", columns_of(f), {"random_forest": SMALL["random_forest"]}, k=2)[1]
+def l11(spark, sf, k=5):
+    return models.run_multitarget_cv((f := features(spark, sf)), "subject", columns_of(f), {"random_forest": {}}, k=k, refit=True)[1]
 
 
 @add("l11_run_multitarget_cross")
 def l11b(spark, sf):
     f = features(spark, sf)
-    return models.run_multitarget_cross(f.filter("subject % 2 = 0"), f.filter("subject % 2 = 1"), "subject", columns_of(f), {"random_forest": SMALL["random_forest"]})[1]
+    return models.run_multitarget_cross(f.filter("subject % 2 = 0"), f.filter("subject % 2 = 1"), "subject", columns_of(f), {"random_forest": {}})[1]
 
 
 @add("l12_feature_importance")
 def l12(spark, sf):
     f = features(spark, sf)
-    m = models.fit_model(f, columns_of(f), "sleep_stage", "random_forest", SMALL["random_forest"])
+    m = models.fit_model(f, columns_of(f), "sleep_stage", "random_forest")
     return models.feature_importance(spark, m, 5)
 
 
@@ -120,7 +119,7 @@ def l12(spark, sf):
 def l13(spark, sf):
     """A saved and reloaded model predicts as before."""
     f = features(spark, sf)
-    m = models.fit_model(f, columns_of(f), "sleep_stage", "random_forest", SMALL["random_forest"])
+    m = models.fit_model(f, columns_of(f), "sleep_stage", "random_forest")
     reg = models.save_models(spark, {("random_forest", "final"): m}, shared_dir(spark), experiment="demo", dataset="arrays", mode="cv")
     again = models.load_model(reg.first())
     a = models.predict(m, f, keep=["vec_id"]).select("vec_id", F.col("y_pred").alias("a"))
@@ -162,7 +161,7 @@ def l6c(spark, sf):
 def l8c(spark, sf):
     """The folds' metrics are those recomputed from the predictions."""
     f = features(spark, sf)
-    run = models.run_subject_cv(f, "subject", "sleep_stage", columns_of(f), {"random_forest": SMALL["random_forest"]}, k=5, refit=False)
+    run = models.run_subject_cv(f, "subject", "sleep_stage", columns_of(f), {"random_forest": {}}, k=5, refit=True)
     again = run.predictions.groupBy("fold_id").agg(F.avg((F.col("y_true").cast("string") == F.col("y_pred").cast("string")).cast("double")).alias("again"))
     fold = "fold_id" if "fold_id" in run.metrics.columns else "fold"
     both = run.metrics.withColumn("fold_id", F.col(fold)).select("fold_id", "accuracy").join(again, "fold_id", "left")
@@ -188,12 +187,17 @@ def l10c(spark, sf):
 
 @add("l11_multitarget_cv_checks", "SELECT 2::BIGINT AS n_rows, 0::BIGINT AS n_bad, 3::INTEGER AS n_metrics")
 def l11c(spark, sf):
+    return _metric_bounds(l11(spark, sf, k=2), ["stage_accuracy", "stage_macro_f1", "apnea_accuracy"])
+
+
+@add("l11_multitarget_cv_checks_5_folds", "SELECT 5::BIGINT AS n_rows, 0::BIGINT AS n_bad, 3::INTEGER AS n_metrics")
+def l11d(spark, sf):
     return _metric_bounds(l11(spark, sf), ["stage_accuracy", "stage_macro_f1", "apnea_accuracy"])
 
 
 @add("l12_feature_importance_checks", "SELECT 24::BIGINT AS n_features, 1.0::DOUBLE AS total, 0::BIGINT AS n_negative")
 def l12c(spark, sf):
     f = features(spark, sf)
-    m = models.fit_model(f, columns_of(f), "sleep_stage", "random_forest", SMALL["random_forest"])
+    m = models.fit_model(f, columns_of(f), "sleep_stage", "random_forest")
     t = models.feature_importance(spark, m, 24)
     return t.agg(F.count("*").alias("n_features"), views.r(F.sum("importance")).alias("total"), F.count_if(F.col("importance") < 0).alias("n_negative"))
