@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nocturne.llm import chat, decontamination, line_dedup, minhash, neighbors, packing, quality, substring_dedup, toxicity, url_filters
+from nocturne.llm import chat, decontamination, line_dedup, minhash, neighbors, packing, quality, substring_dedup, toxicity, url_filters, word_bpe
 from nocturne.llm.sql import SQL
 
 
@@ -82,9 +82,14 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.grade(docs, toxicity.fit(docs, table(spark, sf, "labels")))
 
 
+def op12_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document encoded with a word-level BPE file and decoded again."""
+    return word_bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 _ALL = [
     op1_line_dedup, op1_line_dedup_whole, op2_substring_dedup, op3_url_filters, op4_decontamination, op5_minhash_near_dedup, op6_chat_formatting, op7_quality_classifier,
-    op8_nearest_neighbours, op9_best_fit_packing, op10_toxicity,
+    op8_nearest_neighbours, op9_best_fit_packing, op10_toxicity, op12_bpe_round_trip,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 __all__ = ["QUERIES", "SQL"]
