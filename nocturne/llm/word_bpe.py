@@ -57,9 +57,9 @@ class Codec:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         spec = json.loads(self.library.to_str())
-        model, steps = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
+        model, steps = spec["model"], (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         plain = model["type"] == "BPE" and not any(model.get(k) for k in ("unk_token", "dropout", "byte_fallback", "continuing_subword_prefix", "ignore_merges"))
-        plain = plain and [n["type"] for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"] and spec["decoder"] is None
+        plain = plain and [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and spec["decoder"] is None
         plain = plain and [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["use_regex"]
         if not plain or any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError(f"{path} is not a word-level BPE file of the kind this codec runs")
