@@ -11,54 +11,24 @@ pieces share is not one task.
 """
 from __future__ import annotations
 
-import functools
-import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from nocturne.llm.common import materialize, pick, slices
+from nocturne.llm.tokens import encoder
 
-SLICES = 128  # parts in which the pieces of one length are ranked
+RANKED = 50_000  # pieces of one length that are ranked in one part, on average
 
 
 # Tokens
 
 
-@functools.cache
-def encoder(path: str):
-    """A function from text to ids, those of the tokenizers library for this file.
-
-    A byte-level BPE whose merges rank as their ids do is run by tiktoken, which gives the same ids several times faster;
-    texts that hold a special token's string, and any other kind of file, go through tokenizers itself.
-    """
-    plain = Tokenizer.from_file(path)
-    slow = lambda text: plain.encode(text, add_special_tokens=False).ids
-    spec = json.loads(plain.to_str())
-    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
-    simple = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex") and not spec.get("normalizer") and model["type"] == "BPE"
-    vocabulary, special = model["vocab"], [t["content"] for t in spec.get("added_tokens", [])]
-    ranked = simple and [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model["merges"]]
-    if not simple or None in ranked or any(a >= b for a, b in zip(ranked, ranked[1:])):
-        return slow
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level files write as themselves
-    hidden = [b for b in range(256) if b not in set(shown)]
-    of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    ranks = {bytes(of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
-    if any(bytes([b]) not in ranks for b in range(256)):
-        return slow
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # the byte-level splitting rule
-    fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda text: slow(text) if any(t in text for t in special) else fast(text)
-
-
 def _pieces(path: str, capacity: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
@@ -236,7 +206,7 @@ def pack(docs: DataFrame, path: str, *, capacity: int = 2048, end: int = 0, with
     pieces = materialize(tokenize_pieces(docs, path, capacity, end, with_ids))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
     plan = plan_sequences(counts, capacity, groups, small)
-    width = SLICES
+    width = -(-sum(counts.values()) // RANKED)
     order = ["doc_id", "piece", "ids_crc32"]
     salted = pieces.withColumn("slice", F.pmod(F.xxhash64(*order), F.lit(width)))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nocturne.llm import chat, decontamination, line_dedup, minhash, neighbors, packing, quality, substring_dedup, toxicity, url_filters, word_bpe
+from nocturne.llm import chat, cross_tokenizer, decontamination, line_dedup, minhash, neighbors, packing, quality, substring_dedup, toxicity, url_filters, word_bpe
 from nocturne.llm.sql import SQL
 
 
@@ -87,9 +87,16 @@ def op12_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return word_bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_cross_tokenizer(spark: SparkSession, sf: str) -> DataFrame:
+    """How a byte-level BPE and a piece model cut every document, and how usual their links are."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    documents, _ = cross_tokenizer.align(table(spark, sf, "documents"), *paths)
+    return documents.select("doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 _ALL = [
     op1_line_dedup, op1_line_dedup_whole, op2_substring_dedup, op3_url_filters, op4_decontamination, op5_minhash_near_dedup, op6_chat_formatting, op7_quality_classifier,
-    op8_nearest_neighbours, op9_best_fit_packing, op10_toxicity, op12_bpe_round_trip,
+    op8_nearest_neighbours, op9_best_fit_packing, op10_toxicity, op12_bpe_round_trip, op13_cross_tokenizer,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 __all__ = ["QUERIES", "SQL"]

@@ -147,6 +147,18 @@ def test_packing_round_trip(spark):
     assert packing.pack(df.limit(0), TOKENIZER).count() == 0
 
 
+def test_packing_of_long_white_space(spark):
+    """Runs that overflow the fast encoder's stack, alone and inside prose."""
+    n = 2_000_000
+    texts = [" " * n, "\t" * n, "\n" * n, " \n\t\x0b" * (n // 4), "some prose" + " " * n + "and more", ("a b " + "\n" * 150_000) * 4]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = Tokenizer.from_file(TOKENIZER)
+    packed = packing.pack(df, TOKENIZER, with_ids=True).toPandas()
+    for i, text in enumerate(texts):
+        own = packed[packed.doc_id == i].sort_values("piece")
+        assert np.array_equal(np.frombuffer(b"".join(map(bytes, own.ids)), "<u4"), [*plain.encode(text, add_special_tokens=False).ids, 0])
+
+
 def test_fullest_configuration():
     for _ in range(200):
         sizes = sorted({rng.randint(3, 40) for _ in range(4)}, reverse=True)
