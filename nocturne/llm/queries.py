@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nocturne.llm import chat, cross_tokenizer, decontamination, line_dedup, minhash, neighbors, packing, quality, substring_dedup, toxicity, url_filters, word_bpe
+from nocturne.llm import chat, cross_tokenizer, decontamination, line_dedup, minhash, neighbors, packing, quality, spelling, substring_dedup, toxicity, url_filters, word_bpe
 from nocturne.llm.sql import SQL
 
 
@@ -82,6 +82,12 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.grade(docs, toxicity.fit(docs, table(spark, sf, "labels")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of 6 letters and 5 occurrences or more with the more frequent words they are variants of."""
+    words = spelling.count_words(table(spark, sf, "documents")).filter("length(word) >= 6 and n >= 5")
+    return spelling.variants(words)
+
+
 def op12_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Every document encoded with a word-level BPE file and decoded again."""
     return word_bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -96,7 +102,7 @@ def op13_cross_tokenizer(spark: SparkSession, sf: str) -> DataFrame:
 
 _ALL = [
     op1_line_dedup, op1_line_dedup_whole, op2_substring_dedup, op3_url_filters, op4_decontamination, op5_minhash_near_dedup, op6_chat_formatting, op7_quality_classifier,
-    op8_nearest_neighbours, op9_best_fit_packing, op10_toxicity, op12_bpe_round_trip, op13_cross_tokenizer,
+    op8_nearest_neighbours, op9_best_fit_packing, op10_toxicity, op11_spelling_variants, op12_bpe_round_trip, op13_cross_tokenizer,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 __all__ = ["QUERIES", "SQL"]
