@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from nocturne.functions.labels import normalize_stage_label
 from nocturne.functions.text import STAGE_TOKENS
-from nocturne.operators.ordered import positions, join_on
+from nocturne.operators.ordered import positions, ranged_positions
 from nocturne.operators.schema import q
 
 
@@ -89,12 +89,13 @@ def unseen_labels(train: DataFrame, test: DataFrame, target: str) -> DataFrame:
 def wake_trim(df: DataFrame, recording: str, order: list[str], stage: str = "sleep_stage", minutes: int = 30, epoch_sec: float = 30.0) -> DataFrame:
     """Keep each recording from a margin before its first non-wake epoch to a margin after its last."""
     margin = int(minutes * 60 / epoch_sec)
-    placed = positions(df, [recording], order, "_pos")
+    rows = ranged_positions(df, [recording], order, "_pos")
+    placed = rows.frame
     awake = F.when(~q(stage).eqNullSafe("W"), F.col("_pos"))
     span = placed.groupBy(recording).agg(F.min(awake).alias("_a"), F.max(awake).alias("_b"), F.count("*").alias("_n"))
     span = span.withColumns({"_lo": F.greatest(F.col("_a") - margin, F.lit(0)), "_hi": F.least(F.col("_b") + margin, F.col("_n") - 1)})
     whole = F.col("_a").isNull()
-    kept = join_on(placed, span, [recording], "inner").filter(whole | F.col("_pos").between(F.col("_lo"), F.col("_hi")))
+    kept = rows.attach(placed, span, "inner").filter(whole | F.col("_pos").between(F.col("_lo"), F.col("_hi")))
     return kept.select(
         *df.columns,
         F.when(~whole, F.col("_n")).alias("recording_epochs_before_trim"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nocturne.operators.ordered import join_on, positions, running, shifted
+from nocturne.operators.ordered import moved, positions, ranged_positions, running, shifted
 from nocturne.operators.schema import q
 
 
@@ -87,9 +87,10 @@ def temporal_context(df: DataFrame, recording: str, order: str, features: list[s
     for c in features:
         at = F.when(q(c).isNotNull(), q(order))
         edges += [F.min_by(q(c), at).alias(f"_f_{c}"), F.max_by(q(c), at).alias(f"_l_{c}")]
-    moved = join_on(shifted(df, [recording], [order], wanted), df.groupBy(recording).agg(*edges), [recording])
+    placed = ranged_positions(df, [recording], [order], "_pos")
+    filled = placed.attach(moved(placed.frame, [recording], wanted), df.groupBy(recording).agg(*edges))
     fill = [F.coalesce(q(n), q(f"_f_{c}" if k < 0 else f"_l_{c}")).alias(n) for n, (c, k) in wanted.items()]
-    return moved.select(*df.columns, *fill)
+    return filled.select(*df.columns, *fill)
 
 
 def sequence_index(df: DataFrame, recording: str, order: list[str], length: int) -> DataFrame:
@@ -99,7 +100,8 @@ def sequence_index(df: DataFrame, recording: str, order: list[str], length: int)
     half = length // 2
     sizes = df.groupBy(recording).agg(F.count("*").alias("_n"))
     base = running(sizes, [], [recording], sums={"_end": F.col("_n")})
-    placed = join_on(positions(df, [recording], order, "_pos"), base, [recording])
+    rows = ranged_positions(df, [recording], order, "_pos")
+    placed = rows.attach(rows.frame, base)
     first = F.col("_end") - F.col("_n")
     window = F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda d: first + F.least(F.greatest(F.col("_pos") + d, F.lit(0)), F.col("_n") - 1))
     return placed.select(*df.columns, (first + F.col("_pos")).alias("row_index"), window.alias("window"))
@@ -113,10 +115,11 @@ def recording_batches(df: DataFrame, recording: str, order: list[str], batch_siz
     if shuffle:
         data = df.withColumn("_draw", F.xxhash64(F.lit(seed), q(recording), *[q(c) for c in order]))
         by = ["_draw", *order]
-    placed = positions(data, [recording], by, "_pos").withColumn("batch_id", F.floor(F.col("_pos") / batch_size))
+    rows = ranged_positions(data, [recording], by, "_pos")
+    placed = rows.frame.withColumn("batch_id", F.floor(F.col("_pos") / batch_size))
     if drop_last:
         sizes = df.groupBy(recording).agg(F.count("*").alias("_n"))
-        placed = join_on(placed, sizes, [recording]).filter((F.col("batch_id") + 1) * batch_size <= F.col("_n"))
+        placed = rows.attach(placed, sizes).filter((F.col("batch_id") + 1) * batch_size <= F.col("_n"))
     rank = F.xxhash64(F.lit(seed), q(recording), F.col("batch_id")) if shuffle else F.col("batch_id")
     return placed.select(*df.columns, "batch_id", (F.col("_pos") % batch_size).alias("slot"), rank.alias("batch_order"))
 

@@ -3,12 +3,14 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections import deque
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _folders: list[tuple[SparkSession, str]] = []
-_kept: list[DataFrame] = []
+_kept: deque[DataFrame] = deque()
+MOST_KEPT = 48  # frames held at a time
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,9 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Hold a frame that is read more than once. Its lineage stays, so what a lost executor held is computed again."""
+    """Hold a frame that is read more than once. Its lineage stays, so what a lost executor held is computed again.
+
+    Of many frames the latest ``MOST_KEPT`` are held; an earlier one that is read again is computed again.
+    """
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     _kept.append(df)
+    while len(_kept) > MOST_KEPT:
+        try:
+            _kept.popleft().unpersist()
+        except Exception:  # its session has ended
+            continue
     return df
 
 

@@ -1,5 +1,6 @@
 """Ordered operators give the rows of plain windows, on data where one key holds most rows, and spread that key."""
 import math
+import time
 
 import pytest
 from pyspark.sql import Window
@@ -49,7 +50,22 @@ def test_the_plan_is_the_same_for_few_rows(rows):
         assert "_range" in ordered.positions(df, ["k"], ["t", "id"])._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("kind", ["nan", "binary", "struct", "descending", "long_prefix", "timestamp", "decimal", "null"])
+def test_plans_for_thousands_of_ranges(spark):
+    """The plan is made in the same time and size for any number of ranges."""
+    df = spark.range(100_000).select((F.col("id") % 3).alias("k"), F.xxhash64("id").alias("t"), F.col("id").cast("string").alias("name")).cache()
+    df.count()
+    sizes = []
+    for ranges in (20, 2000):
+        start = time.perf_counter()
+        got = ordered.running(df, ["k"], ["t", "name"], sums={"s": F.lit(1)}, ranges=ranges)
+        took = time.perf_counter() - start
+        sizes.append(got._jdf.queryExecution().analyzed().toString().count("(`k`") + got._jdf.queryExecution().analyzed().expressions().size())
+        assert took < 5
+    assert sizes[0] == sizes[1]
+    assert got.groupBy("k").agg((F.max("s") == F.count("*")).alias("ok")).filter("ok").count() == 3
+
+
+@pytest.mark.parametrize("kind", ["nan", "binary", "struct", "descending", "long_prefix", "timestamp", "decimal", "null", "date", "float", "array"])
 def test_order_types(rows, kind):
     made = {
         "nan": F.when(F.col("id") % 5 == 0, float("nan")).otherwise(F.col("v")),
@@ -58,6 +74,7 @@ def test_order_types(rows, kind):
         "long_prefix": F.concat(F.lit("recording_0_with_the_same_long_prefix_"), F.lpad(F.col("t").cast("string"), 6, "0")),
         "timestamp": F.timestamp_seconds(F.col("t")),
         "decimal": F.col("t").cast("decimal(30,3)"),
+        "date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("t").cast("int")), "float": (F.col("t") / 3).cast("float"), "array": F.array(F.col("t"), F.lit(2)),
         "null": F.when(F.col("id") % 4 > 0, F.col("t")),
     }
     df = rows.withColumn("o", made.get(kind, F.col("t")))
