@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from nocturne.functions.text import normalize_category, parse_number
 from nocturne.operators.filters import deduplicate
-from nocturne.operators.ordered import exact_modes, exact_quantiles
+from nocturne.operators.quantiles import exact_modes, exact_quantiles
 from nocturne.operators.schema import drop_high_missing, nan_to_null, numeric_columns, q, rename_snake, snake_name, string_columns
 from nocturne.session import keep
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nocturne.functions.labels import STAGE_NAMES, encode_binary, ordinal_code
-from nocturne.operators.ordered import exact_quantiles
+from nocturne.operators.quantiles import exact_quantiles
 from nocturne.operators.schema import q, snake_name
 
 

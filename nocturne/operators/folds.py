@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from nocturne.operators.filters import kept_subjects
 from nocturne.operators.joins import assign_fold
-from nocturne.operators.ordered import Desc, exact_quantiles, positions
+from nocturne.operators.ordered import Desc, positions
+from nocturne.operators.quantiles import exact_quantiles
 from nocturne.operators.schema import q
 
 

@@ -192,81 +192,3 @@ def shifted(df: DataFrame, keys: list[str], order: list[str | Desc], wanted: dic
     Each group is cut at fixed positions and every piece also receives the few rows next to its borders, so no piece needs the whole group.
     """
     return moved(positions(df, keys, order, "_pos", ranges), keys, wanted, piece_rows).drop("_pos")
-
-
-# Quantiles and modes
-
-
-def _family(kind: T.DataType) -> str:
-    """The type in which values of a column are counted, without loss."""
-    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return "bigint"
-    if isinstance(kind, T.DecimalType):
-        return kind.simpleString()
-    return "double" if isinstance(kind, (T.FloatType, T.DoubleType, T.BooleanType)) else "string"
-
-
-def _by_family(df: DataFrame, columns: list[str], as_type: str | None) -> dict[str, list[str]]:
-    out: dict[str, list[str]] = {}
-    for c in columns:
-        out.setdefault(as_type or _family(df.schema[c].dataType), []).append(c)
-    return out
-
-
-def value_counts(df: DataFrame, columns: list[str], as_type: str = "double") -> DataFrame:
-    """Long (name, value, cnt) table of values that are neither null nor NaN; the shuffle carries partial counts."""
-
-    def clean(c: str) -> Column:
-        x = F.col(f"`{c}`")
-        return F.when(~F.isnan(x), x).cast(as_type) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else x.cast(as_type)
-
-    pairs = [F.struct(F.lit(c).alias("name"), clean(c).alias("value")) for c in columns]
-    long = df.select(F.explode(F.array(*pairs)).alias("kv")).select("kv.*")
-    return long.filter(F.col("value").isNotNull()).groupBy("name", "value").agg(F.count("*").alias("cnt"))
-
-
-def _between(lo, hi, share: float):
-    """Linear interpolation; whole numbers stay exact where both ends agree."""
-    if lo == hi:
-        return float(lo)
-    lo, hi = float(lo), float(hi)
-    return lo + (hi - lo) * share
-
-
-def quantiles_and_modes(df: DataFrame, columns: list[str], probs: list[float], *, ranges: int | None = None) -> tuple[dict[str, list[float | None]], dict]:
-    """Exact linear-interpolated quantiles, and the most frequent value (smallest on ties), per numeric column.
-
-    Values are counted in their own type, counts are accumulated along the sorted values, and the values around each rank are
-    read off, so nothing holds a whole column.
-    """
-    quantiles: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
-    modes: dict = {c: None for c in columns}
-    for family, names in _by_family(df, columns, None).items():
-        counts = keep(value_counts(df, names, family))  # read for the sizes, the cut points, the sums and the totals
-        last = {r["name"]: r["n"] - 1 for r in counts.groupBy("name").agg(F.sum("cnt").alias("n")).collect()}
-        if not last:
-            continue
-        cum = running(counts, ["name"], ["value"], sums={"cum": F.col("cnt")}, ranges=ranges)
-        at = lambda rank, last=last: F.coalesce(*[F.when(F.col("name") == c, F.lit(rank(m))) for c, m in last.items()])
-        marks = [F.min(F.struct(-F.col("cnt"), "value")).alias("mode")]
-        for i, p in enumerate(probs):
-            marks.append(F.min(F.when(F.col("cum") > at(lambda m, p=p: math.floor(m * p)), F.col("value"))).alias(f"lo{i}"))
-            marks.append(F.min(F.when(F.col("cum") > at(lambda m, p=p: math.ceil(m * p)), F.col("value"))).alias(f"hi{i}"))
-        for r in cum.groupBy("name").agg(*marks).collect():
-            c, m = r["name"], last[r["name"]]
-            quantiles[c] = [_between(r[f"lo{i}"], r[f"hi{i}"], m * p - math.floor(m * p)) for i, p in enumerate(probs)]
-            modes[c] = r["mode"]["value"]
-    return quantiles, modes
-
-
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], *, ranges: int | None = None) -> dict[str, list[float | None]]:
-    return quantiles_and_modes(df, columns, probs, ranges=ranges)[0]
-
-
-def exact_modes(df: DataFrame, columns: list[str], as_type: str | None = None) -> dict:
-    """Most frequent value per column, the smallest on ties, counted in the column's own type unless one is given."""
-    found: dict = {c: None for c in columns}
-    for family, names in _by_family(df, columns, as_type).items():
-        best = value_counts(df, names, family).groupBy("name").agg(F.min(F.struct(-F.col("cnt"), "value")).alias("b"))
-        found |= {r["name"]: r["v"] for r in best.select("name", F.col("b.value").alias("v")).collect()}
-    return found

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nocturne.operators.ordered import exact_quantiles, quantiles_and_modes, running
+from nocturne.operators.ordered import running
+from nocturne.operators.quantiles import exact_quantiles, quantiles_and_modes
 from nocturne.operators.schema import numeric_columns, q
 
 

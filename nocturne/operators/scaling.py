@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nocturne.operators.ordered import exact_quantiles
+from nocturne.operators.quantiles import exact_quantiles
 from nocturne.operators.schema import numeric_columns, q
 
 

@@ -2,11 +2,13 @@
 import math
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from nocturne.operators import balance, filters, folds, joins, metrics, ordered, profile, timeseries
+from nocturne.operators import balance, filters, folds, joins, metrics, ordered, profile, quantiles, timeseries
 from nocturne.operators.ordered import Desc
 from nocturne.sources import recordings
 
@@ -88,7 +90,7 @@ def test_order_types(rows, kind):
 def test_modes_and_medians_of_large_numbers(spark):
     big = 2**53
     df = spark.createDataFrame([(big,), (big + 1,), (big + 1,)], "n long").withColumn("d", (F.col("n") * F.lit("1" + "0" * 20).cast("decimal(21,0)")).cast("decimal(38,0)"))
-    quartiles, modes = ordered.quantiles_and_modes(df, ["n", "d"], [0.5])
+    quartiles, modes = quantiles.quantiles_and_modes(df, ["n", "d"], [0.5])
     assert modes["n"] == big + 1 and int(modes["d"]) == (big + 1) * 10**20
     assert quartiles["n"] == [float(big + 1)]
 
@@ -96,7 +98,7 @@ def test_modes_and_medians_of_large_numbers(spark):
 def test_scores_that_are_not_numbers(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, float("nan")), (0, None)], "y_true int, y_score double")
     assert metrics.auc_roc(df, []).first()[0] == 1.0
-    assert ordered.exact_quantiles(df, ["y_score"], [0.5])["y_score"] == [0.5]
+    assert quantiles.exact_quantiles(df, ["y_score"], [0.5])["y_score"] == [0.5]
 
 
 def test_running_without_keys_and_with_nulls(rows):
@@ -120,7 +122,7 @@ def test_shifted(rows):
 def test_exact_quantiles(rows):
     probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
     df = rows.withColumn("w", F.when(F.col("id") % 4 == 0, F.col("v") / 3)).withColumn("empty", F.lit(None).cast("double"))
-    a = ordered.exact_quantiles(df, ["v", "w", "empty"], probs, ranges=RANGES)
+    a = quantiles.exact_quantiles(df, ["v", "w", "empty"], probs)
     assert a["empty"] == [None] * 6
     for c in ("v", "w"):
         x = sorted(r[0] for r in df.select(c).dropna().collect())
@@ -128,6 +130,34 @@ def test_exact_quantiles(rows):
         assert a[c] == pytest.approx([x[math.floor(i)] + (x[math.ceil(i)] - x[math.floor(i)]) * (i - math.floor(i)) for i in at])
 
 
+def test_quantiles_of_every_kind_of_number(spark):
+    """Radix refinement beside sorting: signs, infinities, zeros, ties, wide spreads, whole numbers and decimals, and an interval with many equal values."""
+    rnd = np.random.default_rng(4)
+    n = 20_000
+    made = {
+        "normal": rnd.normal(size=n), "wide": np.exp(rnd.normal(scale=200, size=n)) * rnd.choice([-1, 1], n), "ties": rnd.integers(0, 3, n) * 0.5, "one": np.full(n, 7.25),
+        "zeros": np.where(rnd.random(n) < 0.5, 0.0, -0.0), "ends": rnd.choice([-np.inf, 0.0, 5e-324, np.inf], n), "near": 1e9 + rnd.random(n) * 1e-6, "holes": np.where(rnd.random(n) < 0.3, np.nan, rnd.random(n)),
+    }
+    frame = pd.DataFrame(made | {"whole": rnd.integers(-(2**62), 2**62, n), "small": rnd.integers(-3, 3, n).astype("int16")})
+    df = spark.createDataFrame(frame).withColumn("money", (F.col("small") * 1.25).cast("decimal(15,2)")).repartition(5)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.9999, 1.0]
+    got = quantiles.exact_quantiles(df, df.columns, probs)
+    frame["money"] = frame["small"] * 1.25
+    for c in df.columns:
+        x = sorted(frame[c].dropna().tolist())
+        at = [(len(x) - 1) * p for p in probs]
+        want = [quantiles._between(x[math.floor(i)], x[math.ceil(i)], i - math.floor(i)) for i in at]
+        assert got[c] == pytest.approx(want, rel=1e-15, nan_ok=True), c
+    assert quantiles.exact_quantiles(df.limit(0), ["whole", "normal"], [0.5]) == {"whole": [None], "normal": [None]}
+
+
+def test_quantile_passes_send_bounded_tables(spark):
+    """What a pass counts per partition doesn't grow with the number of distinct values."""
+    df = spark.range(0, 300_000, 1, 3).select(F.xxhash64("id").alias("c0"))
+    sent = df.mapInArrow(quantiles._counting([(0, 0, 0)], quantiles.BITS), "slot long, bin long, n long, least long, most long").cache()
+    assert sent.count() <= 3 << quantiles.BITS and sent.agg(F.sum("n")).first()[0] == 300_000
+
+
 def test_shifted_over_many_pieces(rows):
     w = Window.partitionBy("k").orderBy("t", "id")
     want = rows.select("*", F.lag("v", 2).over(w).alias("a"), F.lead("v", 3).over(w).alias("b"))
