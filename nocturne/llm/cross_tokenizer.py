@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 from nocturne.llm.common import binary, materialize, pick, ranges
 from nocturne.llm.tokens import alphabet, encoder
 
-CHUNK = 4 << 20  # bytes of text that are aligned at a time
+CHUNK = 1 << 20  # bytes of text that are aligned at a time
 SLICE = 16 << 20  # bytes of text whose pairs are counted together
 #: A place in front of a space where both tokenizers always cut: a space and a letter after a letter.
 _safe = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
