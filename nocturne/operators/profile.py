@@ -5,14 +5,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nocturne.operators.ordered import running
+from nocturne.operators.ordered import range_of
 from nocturne.operators.quantiles import exact_quantiles, quantiles_and_modes
 from nocturne.operators.schema import numeric_columns, q
-
+from nocturne.session import keep, shared_dir
 
 
 def _family(kind: T.DataType) -> str:
@@ -137,32 +137,63 @@ def correlation_pearson(df: DataFrame, columns: list[str] | None = None) -> Data
     return s.select(F.get(label, F.col("i").cast("int")).alias("column_a"), F.get(label, F.col("j").cast("int")).alias("column_b"), F.when(F.col("n") > 0, r).alias("r"))
 
 
-def average_ranks(counts: DataFrame, value: str, cnt: str, out: str) -> DataFrame:
-    """Average rank of each distinct value, from value counts accumulated in value order."""
-    cum = running(counts, [], [value], sums={"_cum": F.col(cnt)})
-    return cum.select(value, (F.col("_cum") - F.col(cnt) + (F.col(cnt) + 1) / 2).alias(out))
+def _ranks(long: DataFrame) -> DataFrame:
+    """(v, row, rank): average ranks of ``x`` within each ``v``.
+
+    Rows are ranked per (v, range of values); what earlier ranges hold is added from a small table.  Only values at the ends of ranges can stand in
+    several of them, and these are counted over all ranges, so a value that most rows share is ranked in many tasks.
+    """
+    data = keep(long)
+    cut = data.withColumn("_range", range_of(data, ["v", "x", "row"]))
+    parts = cut.groupBy("v", "_range").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("v").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = keep(parts.withColumn("ahead", ahead))  # one row per cut point and v at most
+    ends = parts.select("v", F.explode(F.array("lo", "hi")).alias("x")).distinct()
+    held = cut.join(F.broadcast(ends), ["v", "x"]).groupBy("v", "x", "_range").agg(F.count("*").alias("k")).join(parts, ["v", "_range"])
+    first = F.min(F.col("ahead") + F.when(F.col("x") == F.col("hi"), F.col("n") - F.col("k")).otherwise(0))
+    spread = held.groupBy("v", "x").agg(first.alias("_first"), F.sum("k").alias("_ties"))
+    local = cut.select(
+        "v", "row", "x", "_range", (F.rank().over(Window.partitionBy("v", "_range").orderBy("x")) - 1).alias("_before"), F.count("*").over(Window.partitionBy("v", "_range", "x")).alias("_same")
+    )
+    both = local.join(F.broadcast(parts.select("v", "_range", "ahead")), ["v", "_range"]).join(F.broadcast(spread), ["v", "x"], "left")
+    rank = F.coalesce(F.col("_first"), F.col("ahead") + F.col("_before")) + (F.coalesce("_ties", "_same") + 1) / 2
+    return both.select("v", "row", rank.alias("rank"))
 
 
 def correlation_spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson on average ranks, ranks taken on the rows complete for the pair."""
+    """Pearson on average ranks, ranks taken on the rows complete for the pair; null if a side is constant. NaN is null.
+
+    A column is ranked once among the rows of all columns without nulls, and once for each column with nulls.  The ranks go back to their rows,
+    and all pairs are summed in one scan.
+    """
     names = columns or numeric_columns(df)
-    out = None
-    for a, b in combinations(names, 2):
-        rows = df.select(q(a).cast("double").alias("x"), q(b).cast("double").alias("y")).dropna()
-        cells = rows.groupBy("x", "y").agg(F.count("*").alias("n"))
-        rx = average_ranks(rows.groupBy("x").agg(F.count("*").alias("c")), "x", "c", "rx")
-        ry = average_ranks(rows.groupBy("y").agg(F.count("*").alias("c")), "y", "c", "ry")
-        n = F.sum("n").cast("double")
-        mid = (F.sum(F.col("n")) + 1) / 2
-        sums = cells.join(rx, "x").join(ry, "y").agg(
-            (F.sum(F.col("n") * F.col("rx") * F.col("ry")) / n - mid * mid).alias("c"),
-            (F.sum(F.col("n") * F.col("rx") * F.col("rx")) / n - mid * mid).alias("vx"),
-            (F.sum(F.col("n") * F.col("ry") * F.col("ry")) / n - mid * mid).alias("vy"),
-        )
-        part = sums.select(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                           (F.col("c") / F.nullif(F.sqrt("vx") * F.sqrt("vy"), F.lit(0.0))).alias("r"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    spark = df.sparkSession
+    empty = spark.createDataFrame([], "column_a string, column_b string, r double")
+    if len(names) < 2:
+        return empty
+    clean = [F.nanvl(q(c).cast("double"), F.lit(None).cast("double")) + F.lit(0.0) for c in names]
+    path = shared_dir(spark)
+    df.select(F.monotonically_increasing_id().alias("row"), *[x.alias(f"x{i}") for i, x in enumerate(clean)]).write.parquet(path)  # fixes the row numbers
+    rows = spark.read.parquet(path)
+    holes = rows.agg(*[F.count_if(F.col(f"x{i}").isNull()).alias(f"x{i}") for i in range(len(names))]).first()
+    holed = {i for i, n in enumerate(holes) if n}
+    mask = lambda a, b: (a, b if b in holed else None)
+    wanted = sorted({v for a, b in combinations(range(len(names)), 2) for v in (mask(a, b), mask(b, a))}, key=str)
+    number = {v: i for i, v in enumerate(wanted)}
+    value = lambda a, b: F.col(f"x{a}") if b is None else F.when(F.col(f"x{b}").isNotNull(), F.col(f"x{a}"))
+    cells = F.array(*[F.struct(F.lit(i).alias("v"), value(a, b).alias("x")) for (a, b), i in number.items()])
+    long = rows.select("row", F.explode(cells).alias("c")).select("row", "c.*").filter("x is not null")
+    ranks = _ranks(long)
+    sizes = {r["v"]: r["count"] for r in long.groupBy("v").count().collect()}
+    wide = ranks.groupBy("row").agg(*[F.max(F.when(F.col("v") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(wanted))]).drop("row")
+    shift = [(sizes.get(i, 0) + 1) / 2 for i in range(len(wanted))]  # the mean rank
+    parts = wide.mapInArrow(_pair_sums([f"r{i}" for i in range(len(wanted))], shift), "i long, j long, n double, x double, y double, xx double, yy double, xy double")
+    pairs = [(number[mask(a, b)], number[mask(b, a)], names[a], names[b]) for a, b in combinations(range(len(names)), 2)]
+    s = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    n = F.col("n")
+    r = (F.col("xy") - F.col("x") * F.col("y") / n) / F.nullif(F.sqrt(F.col("xx") - F.col("x") * F.col("x") / n) * F.sqrt(F.col("yy") - F.col("y") * F.col("y") / n), F.lit(0.0))
+    told = spark.createDataFrame(pairs, "i long, j long, column_a string, column_b string")
+    return told.join(s, ["i", "j"], "left").select("column_a", "column_b", F.when(n > 0, r).alias("r"))
 
 
 def top_variance_columns(df: DataFrame, n: int = 15) -> DataFrame:

@@ -1,6 +1,8 @@
 """Queries: schema, cleaning and profiling operators."""
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from nocturne.functions import text
@@ -168,9 +170,9 @@ def a6(spark, sf):
     return profile.correlation_spearman(d, ["acct_bal", "mostly_missing", "c_custkey"]).withColumn("r", r("r"))
 
 
-@add("a6_correlation_spearman_lineitem", " UNION ALL ".join(_spearman_sql(a, b, "lineitem") for a, b in [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount")]))
+@add("a6_correlation_spearman_lineitem", " UNION ALL ".join(_spearman_sql(a, b, "lineitem") for a, b in combinations(LINE_NUMERIC, 2)))
 def a6b(spark, sf):
-    return profile.correlation_spearman(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]).withColumn("r", r("r"))
+    return profile.correlation_spearman(table(spark, sf, "lineitem"), LINE_NUMERIC).withColumn("r", r("r"))
 
 
 @add("a7_top_variance_columns", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(var_samp({c}), 3) AS variance FROM lineitem" for c in LINE_NUMERIC) + ") t ORDER BY variance DESC LIMIT 4")
@@ -240,13 +242,13 @@ def a12(spark, sf):
 _FENCE = "SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM lineitem"
 
 
-@add("a13_tukey_winsorize", "WITH " + ", ".join(f"f{i} AS ({_FENCE.format(c=c)})" for i, c in enumerate(["l_extendedprice", "l_quantity"]))
-     + " SELECT l_orderkey, l_linenumber, " + ", ".join(f"round(greatest(least({c}, f{i}.q3 + 0.4 * (f{i}.q3 - f{i}.q1)), f{i}.q1 - 0.4 * (f{i}.q3 - f{i}.q1)), 6) AS {c}" for i, c in enumerate(["l_extendedprice", "l_quantity"]))
-     + " FROM lineitem, f0, f1")
+@add("a13_tukey_winsorize", "WITH " + ", ".join(f"f{i} AS ({_FENCE.format(c=c)})" for i, c in enumerate(LINE_NUMERIC))
+     + " SELECT l_orderkey AS okey, l_linenumber AS line, " + ", ".join(f"round(greatest(least({c}, f{i}.q3 + 0.4 * (f{i}.q3 - f{i}.q1)), f{i}.q1 - 0.4 * (f{i}.q3 - f{i}.q1)), 6) AS {c}" for i, c in enumerate(LINE_NUMERIC))
+     + " FROM lineitem" + "".join(f", f{i}" for i in range(len(LINE_NUMERIC))))
 def a13(spark, sf):
-    d = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    fits = cleaning.tukey_fit(d, ["l_extendedprice", "l_quantity"], k=0.4)
-    return cleaning.tukey_apply(d, fits).withColumns({c: r(c) for c in ("l_extendedprice", "l_quantity")})
+    d = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("okey"), F.col("l_linenumber").alias("line"), *LINE_NUMERIC)
+    fits = cleaning.tukey_fit(d, LINE_NUMERIC, k=0.4)
+    return cleaning.tukey_apply(d, fits).withColumns({c: r(c) for c in LINE_NUMERIC})
 
 
 _CLEANED = f"""WITH {CLEAN_DIRTY}, k AS (SELECT DISTINCT c_custkey, acct_bal, TRY_CAST(nation_text AS DOUBLE) AS nation_text, lower(trim(segment)) AS segment, lower(active) AS active FROM v_dirty),

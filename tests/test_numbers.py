@@ -2,11 +2,12 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from nocturne.functions import arrays, signal
-from nocturne.operators import balance, metrics, models, neighbors, reduction, reporting
+from nocturne.operators import balance, metrics, models, neighbors, profile, reduction, reporting
 
 FS = 100.0
 
@@ -296,3 +297,19 @@ def test_train_resampling(blobs):
     few = blobs.filter("y <> 'c0' or subject < 4")
     m = models.fit_model(few, ["f0", "f1", "f2"], "y", "random_forest", {"n_estimators": 3, "max_depth": 3}, resampling={"reference": "c1", "offset": 10, "labels": ["c0"], "k": 3})
     assert m.labels == ["c0", "c1", "c2"]
+
+
+def test_spearman_with_ties_and_holes(spark):
+    """Every pair beside pandas: shared and different holes, heavy ties, a constant and an empty column."""
+    rnd = np.random.default_rng(11)
+    n = 600
+    frame = pd.DataFrame({"a": rnd.normal(size=n), "b": rnd.integers(0, 4, n).astype(float), "hot": np.where(rnd.random(n) < 0.9, 1.0, rnd.random(n)), "c": rnd.normal(size=n), "d": rnd.integers(0, 50, n).astype(float), "one": 3.0, "none": np.nan})
+    frame["e"] = -frame["a"] + rnd.normal(size=n)
+    frame.loc[rnd.random(n) < 0.3, "c"] = np.nan
+    frame.loc[rnd.random(n) < 0.5, "d"] = np.nan
+    got = {(r.column_a, r.column_b): r.r for r in profile.correlation_spearman(spark.createDataFrame(frame).repartition(6)).collect()}
+    assert len(got) == 8 * 7 // 2
+    for (a, b), r in got.items():
+        both = frame[[a, b]].dropna()
+        want = both[a].rank().corr(both[b].rank()) if len(both) > 1 else np.nan
+        assert (r is None and np.isnan(want)) or r == pytest.approx(want, abs=1e-9), (a, b)
