@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from nocturne.llm.common import binary, materialize, pick, ranges
+from nocturne.llm.common import binary, materialize, pick, slices
 from nocturne.llm.tokens import alphabet, encoder
 
-CHUNK = 1 << 20  # bytes of text that are aligned at a time
-SLICE = 16 << 20  # bytes of text whose pairs are counted together
+CHUNK = 1 << 19  # bytes of text that are aligned at a time
+SLICE = 8 << 20  # bytes of text whose pairs are counted together
 #: A place in front of a space where both tokenizers always cut: a space and a letter after a letter.
 _safe = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
@@ -210,7 +210,7 @@ def _slices(byte_level: str, pieces: str, with_groups: bool, chunk: int, slice_s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, number = pair(byte_level, pieces), TaskContext.get().partitionId() << 32
         part, waiting, size, kind = None, [], 0, None
-        for batch in batches:
+        for batch in slices(batches, limit=chunk):
             kind = batch.column("doc_id").type
             for row, (doc, raw) in enumerate(zip(batch.column("doc_id").to_pylist(), binary(batch.column("text")))):
                 part = part or _Slice(own, number, with_groups)

@@ -127,8 +127,9 @@ def score(
     hosts = hosts.withColumn("host_share", (F.col("host_s") + host_k * centre) / (F.col("host_n") + host_k))
     sites = paths.join(hosts, "host")
     path_k = float(sites.agg(_strength("n", "s", F.col("host_share")).alias("k")).first()["k"] or 1.0)
-    sites = sites.select("host", "path", "n", "s", "host_share")
-    both = told.join(sites, ["host", "path"])
+    sites = sites.select("host", "path", "n", "s", "host_n", "host_s")
+    # A document's own evidence counts once: both of its shares are those of the other documents.
+    both = told.join(sites, ["host", "path"]).withColumn("host_share", (F.col("host_s") - F.col("good") + host_k * centre) / (F.col("host_n") - 1 + host_k))
     others = (F.col("s") - F.col("good") + path_k * F.col("host_share")) / (F.col("n") - 1 + path_k)
     placed = both.withColumn("path_share", F.least(F.lit(1 - 1e-4), F.greatest(F.lit(1e-4), others)))
     posterior = 1 / (1 + F.exp(-(F.col("evidence") + F.log(F.col("path_share") / (1 - F.col("path_share"))))))

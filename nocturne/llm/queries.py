@@ -14,8 +14,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines that stand earlier in the corpus, equal or with one edit, by document."""
-    return line_dedup.dedup_lines(table(spark, sf, "documents")).drop("text")
+    """Lines that stand earlier in the corpus, by document: equal at every non-empty length, or with one edit from 32 characters on."""
+    return line_dedup.dedup_lines(table(spark, sf, "documents"), exact_chars=1).drop("text")
 
 
 def op1_line_dedup_whole(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,11 +52,13 @@ def op5_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op6_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     """Preference pairs: of two conversations with ids 2n and 2n + 1 the first is chosen."""
     turns = table(spark, sf, "conversations")
-    pairs = turns.filter("conv_id is not null").select(F.expr("conv_id div 2").alias("pair_id")).distinct()
+    pairs = turns.filter("conv_id is not null").select(F.shiftright("conv_id", 1).alias("pair_id")).distinct()
     pairs = pairs.select("pair_id", (2 * F.col("pair_id")).alias("chosen_id"), (2 * F.col("pair_id") + 1).alias("rejected_id"))
     made = chat.format_preferences(turns, pairs)
     learned = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda n, x: n + x["last"] - x["first"])
-    return made.withColumn("chosen_learned", learned("chosen_spans")).withColumn("rejected_learned", learned("rejected_spans")).drop("chosen_spans", "rejected_spans")
+    written = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["first"].cast("string"), x["last"].cast("string"))), ",")
+    sides = {f"{s}_{what}": f(F.col(f"{s}_spans")) for s in ("chosen", "rejected") for what, f in (("learned", learned), ("spans", written))}
+    return made.withColumns(sides)
 
 
 def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:

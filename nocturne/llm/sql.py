@@ -4,9 +4,9 @@ SQL: dict[str, str] = {}
 
 SQL["op1_line_dedup"] = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
-o AS (SELECT doc_id, line, doc_id * 2147483648 + i AS place FROM l WHERE length(line) >= 32),
+o AS (SELECT doc_id, line, doc_id * 2147483648 + i AS place FROM l WHERE line <> ''),
 d AS (SELECT line, length(line) AS n, min(place) AS place FROM o GROUP BY line),
-links AS (SELECT a.line AS a, b.line AS b FROM d a JOIN d b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND a.place < b.place WHERE levenshtein(a.line, b.line) <= 1),
+links AS (SELECT a.line AS a, b.line AS b FROM d a JOIN d b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND a.place < b.place WHERE a.n >= 32 AND b.n >= 32 AND levenshtein(a.line, b.line) <= 1),
 near AS (SELECT line, count(*) AS links, bool_or(late) AS late FROM (SELECT a AS line, false AS late FROM links UNION ALL SELECT b, true FROM links) GROUP BY line),
 judged AS (SELECT o.doc_id, length(o.line) AS n, o.place > d.place OR coalesce(late, false) AS goes, coalesce(links, 0) AS links FROM o JOIN d ON o.line = d.line LEFT JOIN near ON o.line = near.line),
 sums AS (SELECT doc_id, count(*) FILTER (goes) AS n_removed, sum(n) FILTER (goes) AS n_chars_removed, sum(links) AS n_links FROM judged GROUP BY doc_id),
@@ -128,18 +128,24 @@ def _told(side: int, part: str, name: str) -> str:
     return f"coalesce(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY i) FILTER (side = {side} AND i {part} n), '') AS {name}"
 
 
+def _spans(side: int, name: str) -> str:
+    return f"coalesce(string_agg((stop - length(text) - 11) || '-' || (stop - 1), ',' ORDER BY i) FILTER (side = {side} AND i > n AND role = 'assistant'), '') AS {name}"
+
+
 def _learned(side: int, name: str) -> str:
     return f"coalesce(sum(length(text) + 10) FILTER (side = {side} AND i > n AND role = 'assistant'), 0)::BIGINT AS {name}"
 
 
 SQL["op6_chat_formatting"] = f"""
 WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  SELECT (conv_id - (conv_id % 2 + 2) % 2) // 2 AS pair_id, (conv_id % 2 + 2) % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
     row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, 9223372036854775807), coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
 j AS (
   SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.i, b.i) AS i, coalesce(a.role = b.role AND a.text = b.text, false) AS same
   FROM (SELECT * FROM t WHERE side = 0) a FULL JOIN (SELECT * FROM t WHERE side = 1) b ON a.pair_id = b.pair_id AND a.i = b.i),
-k AS (SELECT pair_id, coalesce(min(i) FILTER (NOT same) - 1, count(*)) AS n FROM j GROUP BY 1)
-SELECT t.pair_id, 2 * t.pair_id AS chosen_id, 2 * t.pair_id + 1 AS rejected_id, any_value(n) AS n_prompt_turns,
-  {_told(0, "<=", "prompt")}, {_told(0, ">", "chosen")}, {_told(1, ">", "rejected")}, {_learned(0, "chosen_learned")}, {_learned(1, "rejected_learned")}
-FROM t JOIN k ON t.pair_id = k.pair_id GROUP BY t.pair_id"""
+k AS (SELECT pair_id, coalesce(min(i) FILTER (NOT same) - 1, count(*)) AS n FROM j GROUP BY 1),
+u AS (SELECT t.*, n, sum(CASE WHEN i > n THEN length(role) + length(text) + 24 ELSE 0 END) OVER (PARTITION BY t.pair_id, side ORDER BY i) AS stop FROM t JOIN k ON t.pair_id = k.pair_id)
+SELECT pair_id, 2 * pair_id AS chosen_id, 2 * pair_id + 1 AS rejected_id, any_value(n) AS n_prompt_turns,
+  {_told(0, "<=", "prompt")}, {_told(0, ">", "chosen")}, {_told(1, ">", "rejected")}, {_learned(0, "chosen_learned")}, {_learned(1, "rejected_learned")},
+  {_spans(0, "chosen_spans")}, {_spans(1, "rejected_spans")}
+FROM u GROUP BY pair_id"""

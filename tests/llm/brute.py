@@ -84,14 +84,14 @@ def distance(a, b):
     return row[-1]
 
 
-def line_dedup(docs, threshold=1, min_chars=32):
+def line_dedup(docs, threshold=1, min_chars=32, exact_chars=None):
     """{doc_id: (text, n_lines, n_removed, n_links)} of (doc_id, text) with distinct ids."""
     first = {}
     for d, t in sorted(docs):
         for i, line in enumerate((t or "").split("\n")):
-            if t is not None and len(line) >= min_chars:
+            if t is not None and len(line) >= (min_chars if exact_chars is None else exact_chars):
                 first.setdefault(line, (d, i))
-    known, late, links = sorted(first, key=len), set(), Counter()
+    known, late, links = sorted((x for x in first if len(x) >= min_chars), key=len), set(), Counter()
     for i, a in enumerate(known):
         for b in known[i + 1 :]:
             if len(b) > len(a) + threshold:

@@ -1,5 +1,6 @@
 """Fitted and structural operators: held-out accuracy, recall, exact round trips, planted cases and odd rows."""
 import random
+import tempfile
 
 import numpy as np
 import public_tokenizers
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from nocturne.llm import chat, neighbors, packing, quality, toxicity, url_filters
-from nocturne.llm.queries import RULES
+from nocturne.llm.queries import RULES, op6_chat_formatting
 
 SF = "/root/testdata/sf0.01"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +29,41 @@ def test_quality_on_held_out_labels(spark):
     assert len(rows) > 100 and np.mean([r.kept == bool(r.label) for r in rows]) >= 0.98
 
 
+def strength(rows):
+    """Prior strength by moments from (n, good, centre) of groups."""
+    total = sum(n for n, _, _ in rows)
+    noise = [c * (1 - c) for _, _, c in rows]
+    between = sum(n * (s / n - c) ** 2 for n, s, c in rows) / total - sum(noise) / total
+    return min(1e4, max(1.0, sum(noise) / len(noise) / max(between, 1e-6) - 1))
+
+
+def test_quality_beside_plain_python(spark):
+    """Shares, strengths and posteriors from the text evidence alone; a document counts for no share of its own."""
+    docs = spark.createDataFrame(
+        [(i, f"Some words about topic {i % 7}, and more of them. " * (1 + i % 5) + "!" * (i % 11), f"host{i % 4 if i < 50 else i}", ["en", "fr", None][i % 3]) for i in range(90)], "doc_id long, text string, source string, lang string"
+    )
+    truth = {i: int(i % 11 < 5) for i in range(60)}
+    got = {r.doc_id: r for r in quality.score(docs, spark.createDataFrame(list(truth.items()), "doc_id long, quality int")).collect()}
+    prior = np.log(np.mean(list(truth.values())) / (1 - np.mean(list(truth.values()))))
+    site = {r.doc_id: (r.source, r.lang or "") for r in docs.collect()}
+    good = {d: truth.get(d, r.p_text) for d, r in got.items()}
+    group = lambda key: {k: (len(x), sum(x)) for k in {key(d) for d in site} for x in [[good[d] for d in site if key(d) == k]]}
+    hosts, paths = group(lambda d: site[d][0]), group(lambda d: site[d])
+    centre = sum(good.values()) / len(good)
+    host_k = strength([(n, s, centre) for n, s in hosts.values()])
+    shrunk = {h: (s + host_k * centre) / (n + host_k) for h, (n, s) in hosts.items()}
+    path_k = strength([(n, s, shrunk[h]) for (h, _), (n, s) in paths.items()])
+    for d, r in got.items():
+        (hn, hs), (n, s) = hosts[site[d][0]], paths[site[d]]
+        host = (hs - good[d] + host_k * centre) / (hn - 1 + host_k)
+        path = min(1 - 1e-4, max(1e-4, (s - good[d] + path_k * host) / (n - 1 + path_k)))
+        evidence = np.log(r.p_text / (1 - r.p_text)) - prior
+        want = 1 / (1 + np.exp(-(evidence + np.log(path / (1 - path)))))
+        assert (r.host_share, r.path_share, r.quality) == pytest.approx((host, path, want), abs=1e-9)
+        if hn == 1:
+            assert r.path_share == pytest.approx(centre, abs=1e-9)  # nothing else is known of a site of one document
+
+
 def test_quality_shrinks_sparse_sites(spark):
     good, bad = "The cat sat on the mat, and then it slept. " * 5, "@@@ ### %%% &&& " * 20
     rows = [(i, good if i % 2 else bad, "mixed", "a") for i in range(40)] + [(i, good, "fine", "a") for i in range(40, 80)] + [(100, None, None, None), (101, "", "fine", "b"), (None, good, "fine", "a"), (40, good, "fine", "a")]
@@ -211,6 +247,20 @@ def test_blocks_follow_links(spark):
     assert url_filters.judge(pages.limit(0), RULES).count() == 0
 
 
+def test_pairs_of_negative_conversations(spark):
+    """Conversations 2n and 2n + 1 are a pair on either side of zero; the learned spans come with the result."""
+    rows = [(c, 0, "user", "Hi") for c in (-4, -3, -1, 0)] + [(-1, 1, "assistant", "Yes"), (0, 1, "assistant", "No")]
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    got = {r.pair_id: r for r in op6_chat_formatting(spark, folder).collect()}
+    assert sorted(got) == [-2, -1, 0] and (got[-2].chosen_id, got[-2].rejected_id, got[-2].n_prompt_turns) == (-4, -3, 1)
+    assert (got[-1].chosen, got[-1].rejected_learned) == ("", 13) and got[0].chosen_spans == f"{len(say('user', 'Hi')) + 22}-{len(say('user', 'Hi')) + 34}"
+
+
+def say(role, text):
+    return f"<|im_start|>{role}\n{text}<|im_end|>\n"
+
+
 def test_preferences(spark):
     turns = [
         (0, 0, "user", "Hi"), (0, 1, "assistant", "Hello"), (0, 2, "user", "Why?"), (0, 3, "assistant", "Because."), (1, 1, "assistant", "Hello"), (1, 0, "user", "Hi"), (1, 2, "user", "How?"),
