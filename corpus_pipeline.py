@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences: five stages, each over all that the one before kept.
 
 quality           documents whose posterior quality is below one half go
-line dedup        lines that stand earlier in the corpus go, and documents that lose all their lines
+line dedup        non-empty lines that stand earlier in the corpus go, equal or (from 32 characters) with one edit, and documents that lose all their lines
 near duplicates   of documents linked by a similarity of 0.8 the one with the smallest doc_id stays
 decontamination   documents with 5 per cent or more of their words in benchmark passages go; shorter shares are cut out
 packing           pieces of the documents' tokens and their places in sequences
@@ -36,11 +36,11 @@ def _with_lines(left: DataFrame) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_lines(line_dedup.dedup_lines(docs, carry=["lang", "source"]))
+    return _with_lines(line_dedup.dedup_lines(docs, exact_chars=1, carry=["lang", "source"]))
 
 
 def drop_near_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup by up to three edits, and of equal lines at every non-empty length."""
+    """The same by up to three edits."""
     return _with_lines(line_dedup.dedup_lines(docs, **line_dedup.WHOLE, carry=["lang", "source"]))
 
 
@@ -66,7 +66,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The same with near lines by three edits and short equal lines in the line stage.
+#: The same with near lines by three edits in the line stage.
 WHOLE_STAGES = [(name, drop_near_lines if name == "line dedup" else stage) for name, stage in STAGES]
 
 #: The quality model and the packing plan can't be said in SQL; the tests run the stages beside a brute-force version.
