@@ -84,8 +84,8 @@ def _array(values: list, kind: T.DataType) -> Column:
     return texts.cast(T.ArrayType(kind))
 
 
-def range_of(df: DataFrame, by: list[str | Desc], ranges: int | None = None) -> Column:
-    """The number of the range a row falls into, along ``by``. Cut points come from a random sample of the frame, which is read twice: keep it."""
+def with_range(df: DataFrame, by: list[str | Desc], ranges: int | None = None) -> DataFrame:
+    """The frame with ``_range``, the number of the range a row falls into along ``by``. Cut points come from a random sample; the frame is read twice for it, so keep it."""
     wanted = ranges or RANGES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [_name(e) for e in by]
     kinds = [df.schema[n].dataType for n in names]
@@ -95,9 +95,10 @@ def range_of(df: DataFrame, by: list[str | Desc], ranges: int | None = None) ->
     rows = sample.orderBy(*[_sort(e) for e in by]).select(*[_written(F.col(f"`{n}`"), k).alias(f"c{i}") for i, (n, k) in enumerate(zip(names, kinds))]).collect()
     step = max(1, -(-len(rows) // wanted))
     cuts = [row for before, row in zip([None, *rows[step::step]], rows[step::step]) if row != before]
+    arrays = [_array([row[i] for row in cuts], kind) for i, kind in enumerate(kinds)] if cuts else []
+
     if not cuts:
-        return F.lit(0)
-    arrays = [_array([row[i] for row in cuts], kind) for i, kind in enumerate(kinds)]
+        return df.withColumn("_range", F.lit(0))
 
     def reached(at: Column) -> Column:
         """Whether the row sorts at or behind the cut."""
@@ -107,8 +108,8 @@ def range_of(df: DataFrame, by: list[str | Desc], ranges: int | None = None) ->
             before = less | (equal & before)
         return ~before
 
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
-    return F.aggregate(steps, F.lit(0), lambda n, k: F.when((n + k <= len(cuts)) & reached(n + k - 1), n + k).otherwise(n))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])  # bisection: one step for each bit of the number of cuts
+    return df.withColumn("_range", F.aggregate(steps, F.lit(0), lambda n, k: F.when((n + k <= len(cuts)) & reached(n + k - 1), n + k).otherwise(n)))
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -140,7 +141,7 @@ def ranged(
     sums, maxes = sums or {}, maxes or {}
     fns = {**{n: F.sum for n in sums}, **{n: F.max for n in maxes}}
     data = keep(df.select("*", *[c.alias(f"_in_{n}") for n, c in {**sums, **maxes}.items()]))  # read for the number of rows, the cut points, the sums and the totals
-    cut = data.withColumn("_range", range_of(data, [*keys, *order], ranges))
+    cut = with_range(data, [*keys, *order], ranges)
     by = [*[f"`{k}`" for k in keys], "_range"]
     along = Window.partitionBy(*by).orderBy(*[_sort(e) for e in order]).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.select(*[f"`{c}`" for c in df.columns], "_range", *[f(f"_in_{n}").over(along).alias(f"_in_{n}") for n, f in fns.items()])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nocturne.operators.ordered import range_of
+from nocturne.operators.ordered import with_range
 from nocturne.operators.quantiles import exact_quantiles, quantiles_and_modes
 from nocturne.operators.schema import numeric_columns, q
 from nocturne.session import keep, shared_dir
@@ -143,8 +143,7 @@ def _ranks(long: DataFrame) -> DataFrame:
     Rows are ranked per (v, range of values); what earlier ranges hold is added from a small table.  Only values at the ends of ranges can stand in
     several of them, and these are counted over all ranges, so a value that most rows share is ranked in many tasks.
     """
-    data = keep(long)
-    cut = data.withColumn("_range", range_of(data, ["v", "x", "row"]))
+    cut = keep(with_range(long, ["v", "x", "row"]))
     parts = cut.groupBy("v", "_range").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("v").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = keep(parts.withColumn("ahead", ahead))  # one row per cut point and v at most

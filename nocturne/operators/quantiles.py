@@ -1,8 +1,8 @@
 """Exact quantiles and modes of many columns.
 
 Quantiles are found by radix refinement.  Every number has an order-preserving key of 64 bits; a pass counts, per column and interval that still
-holds a wanted rank, how many keys begin with each next group of bits, and the rank tells which of these smaller intervals to go on with.  Two or three passes lead
-to intervals that hold one value or few, which are then read off.  What travels is a table of bounded size per partition, column and interval, whatever
+holds a wanted rank, the keys by their leading bits above the interval's least one, and the rank tells which of these smaller intervals to go on with, from its
+least to its largest key.  One or two passes lead to intervals that hold one value or few, which are then read off.  What travels is a table of bounded size per partition, column and interval, whatever
 the number of rows and of distinct values.
 
 The mode needs the counts of all values: they are counted per partition first and then by value.
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from nocturne.operators.ordered import running
 from nocturne.session import keep
 
-BITS = 12  # of the key that a pass refines
+BITS = 12  # by which a pass refines
 FEW = 1_000  # values in an interval that are read off instead of being refined
 TOP = np.uint64(1 << 63)
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -106,41 +106,49 @@ def _value(key: int, kind: T.DataType):
     return float(np.array([bits], np.uint64).view(np.float64)[0])
 
 
+def _key(value) -> int:
+    """The key of a number as ``_number`` gives it."""
+    if isinstance(value, int):
+        return value + (1 << 63)
+    bits = int(np.array([value + 0.0]).view(np.uint64)[0])
+    return (1 << 64) - 1 - bits if bits >> 63 else bits | 1 << 63
+
+
 @dataclass
 class _Target:
-    """A wanted rank: the interval of keys that begin with ``prefix`` (``bits`` bits of it are known) and the rank within."""
+    """A wanted rank among the keys of a column from ``lo`` to ``hi``; ``count`` keys are there."""
 
     column: int
     rank: int
-    prefix: int = 0
-    bits: int = 0
-    count: int = 0
-    key: int | None = None
+    lo: int
+    hi: int
+    count: int
+
+    @property
+    def interval(self) -> tuple[int, int, int]:
+        return self.column, self.lo, self.hi
 
 
-def _inside(keys: np.ndarray, prefix: int, bits: int) -> np.ndarray:
-    """Sorted keys that begin with the prefix."""
-    if not bits:
-        return keys
-    lo = prefix << (64 - bits)
-    return keys[np.searchsorted(keys, np.uint64(lo)) : np.searchsorted(keys, np.uint64(lo + (1 << (64 - bits)) - 1), "right")]
+def _inside(keys: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Those of sorted keys that lie in the interval."""
+    return keys[np.searchsorted(keys, np.uint64(lo)) : np.searchsorted(keys, np.uint64(hi), "right")]
 
 
 def _signed(keys: np.ndarray) -> np.ndarray:
     return (keys ^ TOP).view(np.int64)
 
 
-def _counting(intervals: list[tuple[int, int, int]], wide: int):
-    """Rows (slot, bin, n, least, most): how many keys of each interval go on with each group of ``wide`` bits."""
+def _counting(intervals: list[tuple[int, int, int]]):
+    """Rows (slot, bin, n, least, most): the keys of each interval in at most 2 ** BITS bins of equal width."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             sorted_keys = {c: np.sort(_keys(batch.column(c))) for c in {c for c, _, _ in intervals}}
-            for slot, (c, prefix, bits) in enumerate(intervals):
-                own = _inside(sorted_keys[c], prefix, bits)
+            for slot, (c, lo, hi) in enumerate(intervals):
+                own = _inside(sorted_keys[c], lo, hi)
                 if len(own):
-                    bins = (own >> np.uint64(64 - bits - wide)) & np.uint64((1 << wide) - 1)
+                    bins = (own - np.uint64(lo)) >> np.uint64(max(0, (hi - lo).bit_length() - BITS))
                     starts = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))
                     ends = np.append(starts[1:], len(own))
                     found.append((np.full(len(starts), slot), bins[starts].astype(np.int64), ends - starts, _signed(own[starts]), _signed(own[ends - 1])))
@@ -165,79 +173,79 @@ def _listing(intervals: list[tuple[int, int, int]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for slot, (c, prefix, bits) in enumerate(intervals):
-                own, n = np.unique(_inside(np.sort(_keys(batch.column(c))), prefix, bits), return_counts=True)
+            for slot, (c, lo, hi) in enumerate(intervals):
+                own, n = np.unique(_inside(np.sort(_keys(batch.column(c))), lo, hi), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), slot)), pa.array(_signed(own)), pa.array(n)], ["slot", "key", "n"])
 
     return run
 
 
 def _refine(data: DataFrame, targets: list[_Target]) -> None:
-    """Take the targets of one length of prefix a pass further."""
-    wide = min(BITS, 64 - targets[0].bits)
-    intervals = sorted({(t.column, t.prefix, t.bits) for t in targets})
-    counted = data.mapInArrow(_counting(intervals, wide), "slot long, bin long, n long, least long, most long")
+    """Take the targets a pass further."""
+    intervals = sorted({t.interval for t in targets})
+    counted = data.mapInArrow(_counting(intervals), "slot long, bin long, n long, least long, most long")
     bins = counted.groupBy("slot", "bin").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
     # One row per slot: its bins in order, at most 2 ** BITS; the wanted ones are picked there, so a handful of numbers per target comes back.
     lists = bins.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("bin", "n", "least", "most"))).alias("bins"))
     wanted: dict[int, list[int]] = {}
     for t in targets:
-        wanted.setdefault(intervals.index((t.column, t.prefix, t.bits)), []).append(t.rank)
+        wanted.setdefault(intervals.index(t.interval), []).append(t.rank)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for batch in batches:
             for slot, rows in zip(batch.column("slot").to_pylist(), batch.column("bins")):
                 flat = rows.values
-                place, n, least, most = (flat.field(k).to_numpy() for k in range(4))
+                n, least, most = (flat.field(k).to_numpy() for k in range(1, 4))
                 upto = np.cumsum(n)
                 for rank in sorted(set(wanted[slot])):
                     k = int(np.searchsorted(upto, rank, "right"))
-                    out.append((slot, rank, int(place[k]), int(upto[k] - n[k]), int(n[k]), int(least[k]), int(most[k])))
-        names = ["slot", "rank", "bin", "before", "n", "least", "most"]
+                    out.append((slot, rank, int(upto[k] - n[k]), int(n[k]), int(least[k]), int(most[k])))
+        names = ["slot", "rank", "before", "n", "least", "most"]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)] if out else [pa.array([], pa.int64())] * len(names), names)
 
-    schema = "slot long, rank long, bin long, before long, n long, least long, most long"
+    schema = "slot long, rank long, before long, n long, least long, most long"
     picked = {(r["slot"], r["rank"]): r for r in lists.mapInArrow(pick, schema).collect()}
     for t in targets:
-        r = picked[intervals.index((t.column, t.prefix, t.bits)), t.rank]
-        t.prefix, t.bits, t.rank, t.count = (t.prefix << wide) | r["bin"], t.bits + wide, t.rank - r["before"], r["n"]
-        if r["least"] == r["most"]:
-            t.key = r["least"] + (1 << 63)
+        r = picked[intervals.index(t.interval), t.rank]
+        t.lo, t.hi, t.rank, t.count = r["least"] + (1 << 63), r["most"] + (1 << 63), t.rank - r["before"], r["n"]
 
 
 def _read_off(data: DataFrame, targets: list[_Target]) -> None:
     """The keys of targets whose intervals hold few values."""
-    intervals = sorted({(t.column, t.prefix, t.bits) for t in targets})
+    intervals = sorted({t.interval for t in targets})
     rows = data.mapInArrow(_listing(intervals), "slot long, key long, n long").groupBy("slot", "key").agg(F.sum("n").alias("n"))
     held: dict[int, list[tuple[int, int]]] = {}
     for r in rows.collect():
         held.setdefault(r["slot"], []).append((r["key"], r["n"]))
     for t in targets:
         left = t.rank
-        for key, n in sorted(held[intervals.index((t.column, t.prefix, t.bits))]):
+        for key, n in sorted(held[intervals.index(t.interval)]):
             if left < n:
-                t.key = key + (1 << 63)
+                t.lo = t.hi = key + (1 << 63)
                 break
             left -= n
 
 
 def _radix_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
     data = keep(df.select(*[_number(df, c).alias(f"c{i}") for i, c in enumerate(columns)]))  # read once a pass
-    there = data.agg(*[F.count_if(F.col(f"c{i}").isNotNull() & ~F.isnan(F.col(f"c{i}").cast("double"))).alias(f"c{i}") for i in range(len(columns))]).first()
-    last = [n - 1 for n in there]
-    targets = {(i, rank): _Target(i, rank) for i, m in enumerate(last) if m >= 0 for p in probs for rank in (math.floor(m * p), math.ceil(m * p))}
-    open_ones = list(targets.values())
-    while open_ones:
-        _refine(data, open_ones)
-        few = [t for t in open_ones if t.key is None and t.count <= FEW]
-        if few:
+    clean = [F.nanvl(F.col(f"c{i}"), F.lit(None).cast("double")) if f.dataType == T.DoubleType() else F.col(f"c{i}") for i, f in enumerate(data.schema)]
+    sides = data.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(clean) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    last = [sides[f"n{i}"] - 1 for i in range(len(columns))]
+    targets = {
+        (i, rank): _Target(i, rank, _key(sides[f"lo{i}"]), _key(sides[f"hi{i}"]), m + 1)
+        for i, m in enumerate(last) if m >= 0 for p in probs for rank in (math.floor(m * p), math.ceil(m * p))
+    }
+    while open_ones := [t for t in targets.values() if t.lo < t.hi]:
+        few = [t for t in open_ones if t.count <= FEW]
+        if len(few) == len(open_ones):
             _read_off(data, few)
-        open_ones = [t for t in open_ones if t.key is None]
+        else:
+            _refine(data, [t for t in open_ones if t.count > FEW])
     out: dict[str, list[float | None]] = {}
     for i, (c, m) in enumerate(zip(columns, last)):
         kind = df.schema[c].dataType
-        at = lambda rank, i=i, kind=kind: _value(targets[i, rank].key, kind)
+        at = lambda rank, i=i, kind=kind: _value(targets[i, rank].lo, kind)
         out[c] = [None if m < 0 else _between(at(math.floor(m * p)), at(math.ceil(m * p)), m * p - math.floor(m * p)) for p in probs]
     return out
 
