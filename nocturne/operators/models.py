@@ -1,11 +1,13 @@
 """Spark ML models on subject-wise folds: fit, predict, search, cross-dataset and two-target runs.
 
-The driver loops over models, folds and grid points only; every fit and every
-prediction is a distributed job.
+The driver goes over models, folds and grid points only, a few at a time; every fit and every
+prediction is a distributed job.  A tree's levels are one job after the other, so fits side by side fill the cluster.
 """
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
@@ -17,8 +19,10 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from nocturne.operators import folds as fold_ops
 from nocturne.operators import metrics
@@ -27,6 +31,7 @@ from nocturne.operators.encoding import categories
 from nocturne.operators.filters import label_subset, task_rows, validate_binary_target, validate_cv_ready
 from nocturne.operators.joins import assign_fold
 from nocturne.operators.reporting import best_params_summary, fold_metrics_summary
+from nocturne.operators.runs import RunStore
 from nocturne.operators.scaling import apply_impute_scale, fit_impute_scale
 from nocturne.operators.schema import q, resolve_features_cross
 from nocturne.session import keep
@@ -40,6 +45,30 @@ DEFAULTS = {
 SCORINGS = {"multiclass": ("accuracy", "macro_f1", "cohen_kappa"), "binary": ("accuracy", "sensitivity", "specificity", "auc_roc")}
 FALLBACK_SCORING = {"multiclass": "macro_f1", "binary": "auc_roc"}
 DEEPEST = 30  # the deepest tree Spark ML grows
+MOST_FITS = 4  # fits side by side
+NODE_MEMORY_MB = 512  # for the statistics of the nodes that a job of a tree fit splits
+
+
+class FitError(ValueError):
+    """The rows don't allow this fit: a single class, too few rows to resample, or labels that training hasn't seen."""
+
+
+def together(jobs: list[Callable]) -> list:
+    """Results of the jobs in their order, ``MOST_FITS`` at a time; where the scheduler is fair, each has its pool."""
+    if len(jobs) < 2:
+        return [job() for job in jobs]
+    spark = SparkSession.getActiveSession()
+
+    def pooled(i: int, job: Callable) -> Callable:
+        def run():
+            if spark is not None:
+                spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit{i % MOST_FITS}")
+            return job()
+
+        return inheritable_thread_target(spark)(run) if spark is not None else run
+
+    with ThreadPoolExecutor(MOST_FITS) as pool:
+        return [f.result() for f in [pool.submit(pooled(i, job)) for i, job in enumerate(jobs)]]
 
 
 def scoring_for(task: str, scoring: str, fallback: bool = False) -> str:
@@ -85,10 +114,16 @@ def _float32(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumns({c: q(c).cast("float").cast("double") for c in features})
 
 
-def _kernel_map(p: int, params: dict, seed: int) -> dict:
-    gamma = params["gamma"]
-    if gamma in ("scale", "auto"):  # standardised features: total variance is 1 per feature
-        gamma = 1.0 / p
+def _kernel_map(ready: DataFrame, features: list[str], params: dict, seed: int) -> dict:
+    """The kernel's width: ``auto`` is one over the number of features, ``scale`` that over the variance of all numbers of the training matrix."""
+    gamma, p = params["gamma"], len(features)
+    if gamma in ("scale", "auto"):
+        spread = 1.0
+        if gamma == "scale":
+            cells = [q(c).cast("double") for c in features]
+            mean, square = ready.agg(F.avg(sum(cells[1:], cells[0]) / p), F.avg(sum((c * c for c in cells[1:]), cells[0] * cells[0]) / p)).first()
+            spread = square - mean * mean
+        gamma = 1.0 / (p * spread) if spread > 1e-12 else 1.0
     return {"gamma": float(gamma), "n": int(params["n_components"]), "seed": seed, "p": p}
 
 
@@ -115,9 +150,9 @@ def _vectors(df: DataFrame, features: list[str], kernel: dict) -> DataFrame:
 def _classifier(name: str, params: dict, n_classes: int, n_rows: int, seed: int, weight: str | None):
     common = {"featuresCol": "_x", "labelCol": "_y", **({"weightCol": weight} if weight else {})}
     if name == "random_forest":
-        return RandomForestClassifier(numTrees=params["n_estimators"], maxDepth=params["max_depth"] or DEEPEST, minInstancesPerNode=params["min_samples_leaf"], seed=seed, **common)
+        return RandomForestClassifier(numTrees=params["n_estimators"], maxDepth=params["max_depth"] or DEEPEST, minInstancesPerNode=params["min_samples_leaf"], cacheNodeIds=True, maxMemoryInMB=NODE_MEMORY_MB, seed=seed, **common)
     if name == "boosted_trees":
-        one = GBTClassifier(maxIter=params["n_estimators"], maxDepth=params["max_depth"], stepSize=params["learning_rate"], subsamplingRate=params["subsample"], featureSubsetStrategy="all" if params["colsample"] >= 1 else str(params["colsample"]), seed=seed, **common)
+        one = GBTClassifier(maxIter=params["n_estimators"], maxDepth=params["max_depth"], stepSize=params["learning_rate"], subsamplingRate=params["subsample"], featureSubsetStrategy="all" if params["colsample"] >= 1 else str(params["colsample"]), maxMemoryInMB=NODE_MEMORY_MB, seed=seed, **common)
     elif name == "kernel_margin":
         one = LinearSVC(maxIter=params["max_iter"], regParam=1.0 / (params["C"] * max(n_rows, 1)), standardization=False, **common)
     else:
@@ -132,17 +167,24 @@ def fit_model(train: DataFrame, features: list[str], target: str, name: str, par
     prep = fit_impute_scale(rows, features, scale=name == "kernel_margin")
     ready = apply_impute_scale(rows, prep)
     if resampling:
-        ready = smote_to_reference_minus(ready, target, **resampling)
+        try:
+            ready = smote_to_reference_minus(ready, target, **resampling)
+        except ValueError as e:
+            raise FitError(str(e)) from e
     labels = encode_labels(ready, target)
     if len(labels) < 2:
-        raise ValueError("the training rows hold a single class")
+        raise FitError("the training rows hold a single class")
     weight = None
     if p.get("class_weight"):
         ready, weight = with_class_weight(ready, target, "_w"), "_w"
-    kernel = _kernel_map(len(features), p, seed) if name == "kernel_margin" else {}
-    data = _vectors(ready.withColumn("_y", _code(target, labels)), features, kernel)
-    n_rows = ready.count() if name == "kernel_margin" else 0
-    return Fitted(name, task, features, labels, prep, _classifier(name, p, len(labels), n_rows, seed, weight).fit(data), p, kernel)
+    kernel = _kernel_map(ready, features, p, seed) if name == "kernel_margin" else {}
+    data = _vectors(ready.withColumn("_y", _code(target, labels)), features, kernel).select("_x", "_y", *([weight] if weight else []))
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)  # every step of a fit reads it
+    try:
+        model = _classifier(name, p, len(labels), data.count(), seed, weight).fit(data)
+    finally:
+        data.unpersist()
+    return Fitted(name, task, features, labels, prep, model, p, kernel)
 
 
 def predict(fitted: Fitted, df: DataFrame, target: str | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -150,7 +192,7 @@ def predict(fitted: Fitted, df: DataFrame, target: str | None = None, keep: list
     if target:
         unknown = df.filter(q(target).isNotNull() & ~q(target).cast("string").isin(*fitted.labels)).select(q(target).cast("string")).distinct().take(5)
         if unknown:
-            raise ValueError(f"labels not in training: {[r[0] for r in unknown]}")
+            raise FitError(f"labels not in training: {[r[0] for r in unknown]}")
     data = df.select(*[q(c) for c in keep or df.columns], *[q(c).alias(f"_f_{i}") for i, c in enumerate(fitted.features)])
     names = [f"_f_{i}" for i in range(len(fitted.features))]
     prep = {"medians": {n: fitted.prep["medians"][c] for n, c in zip(names, fitted.features)}, "scale": {n: fitted.prep["scale"][c] for n, c in zip(names, fitted.features) if c in fitted.prep["scale"]}}
@@ -210,16 +252,21 @@ def nested_grid_search(train: DataFrame, subject: str, target: str, features: li
     validate_cv_ready(rows, subject, search.inner_splits)
     inner = with_folds(rows, subject, target, search.inner_splits, seed)
     best, best_score, table = base, None, []
-    for c in candidates:
-        params = {**base, **c}
+
+    def inner_fold(params: dict, f: int) -> DataFrame | None:
         try:
-            parts = []
-            for f in range(search.inner_splits):
-                m = fit_model(inner.filter(F.col("fold") != f), features, target, name, params, task=task, seed=seed, resampling=resampling)
-                parts.append(fold_predictions(m, inner.filter(F.col("fold") == f), target, subject, f))
-            got = [r[key] for r in evaluate(reduce(DataFrame.unionByName, parts), ["fold_id"], task).select(key).collect()]
-        except ValueError:
+            m = fit_model(inner.filter(F.col("fold") != f), features, target, name, params, task=task, seed=seed, resampling=resampling)
+            return fold_predictions(m, inner.filter(F.col("fold") == f), target, subject, f)
+        except FitError:
+            return None
+
+    units = [({**base, **c}, f) for c in candidates for f in range(search.inner_splits)]
+    done = together([lambda params=params, f=f: inner_fold(params, f) for params, f in units])
+    for i, c in enumerate(candidates):
+        params, parts = {**base, **c}, done[i * search.inner_splits : (i + 1) * search.inner_splits]
+        if any(part is None for part in parts):
             continue
+        got = [r[key] for r in evaluate(reduce(DataFrame.unionByName, parts), ["fold_id"], task).select(key).collect()]
         if not got or any(v is None for v in got):
             continue
         score = float(np.mean(got))
@@ -243,8 +290,16 @@ class CvRun:
         return best_params_summary(spark.createDataFrame(self.tuning, "model string, fold string, params string, inner_score double"))
 
 
-def run_subject_cv(df: DataFrame, subject: str, target: str, features: list[str], models: dict[str, dict], *, k: int = 5, task: str = "multiclass", seed: int = 42, search: Search | None = None, resampling: dict | None = None, labels: list[str] | None = None, done: set | None = None, refit: bool = True, stratify: bool = True, folded: DataFrame | None = None) -> CvRun:
-    """Every model on every fold, then a final fit on all rows.  ``done`` (model, fold) pairs are skipped."""
+def _state(m: Fitted) -> dict:
+    return {"task": m.task, "prep": m.prep, "params": m.params, "kernel": m.kernel, "reader": type(m.model).__name__}
+
+
+def run_subject_cv(df: DataFrame, subject: str, target: str, features: list[str], models: dict[str, dict], *, k: int = 5, task: str = "multiclass", seed: int = 42, search: Search | None = None, resampling: dict | None = None, labels: list[str] | None = None, done: set | None = None, refit: bool = True, stratify: bool = True, folded: DataFrame | None = None, store: str | None = None) -> CvRun:
+    """Every model on every fold, then a final fit on all rows.  ``done`` (model, fold) pairs are skipped.
+
+    With ``store`` each fold's predictions and model and each final model are written to that folder as they are made (see ``runs``); a second call
+    takes what is there and fits only what is missing, and its result covers all folds.
+    """
     if folded is None:
         data = df.select(subject, target, *features).filter(q(target).isNotNull())
         data = label_subset(data, target, labels) if labels else data
@@ -252,43 +307,79 @@ def run_subject_cv(df: DataFrame, subject: str, target: str, features: list[str]
             validate_binary_target(data, target)
         validate_cv_ready(data, subject, k)
         folded = with_folds(data, subject, target, k, seed, stratify)
-    parts, finals, tuning = [], {}, []
+    spark = folded.sparkSession
+    run = RunStore(spark, store) if store else None
+    kept = {(r["model"], r["fold"]): r for r in run.manifest().collect()} if run else {}  # a row per model and fold
 
-    def choose(rows, name, params, fold):
+    def choose(rows, name, params):
         if not search:
-            return params
-        best, score, _ = nested_grid_search(rows, subject, target, features, name, search, params, task=task, seed=seed, resampling=resampling)
-        tuning.append({"model": name, "fold": str(fold), "params": json.dumps(best, sort_keys=True), "inner_score": score})
-        return best
-
-    for name, params in models.items():
-        for f in range(k):
-            if done and (name, f) in done:
-                continue
-            train, test = folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f)
-            m = fit_model(train, features, target, name, choose(train, name, params, f), task=task, seed=seed, resampling=resampling)
-            parts.append(fold_predictions(m, test, target, subject, f))
-        if refit:
-            finals[name] = fit_model(folded, features, target, name, choose(folded, name, params, "final"), task=task, seed=seed, resampling=resampling)
-    if not parts:
+            return params, None
+        return nested_grid_search(rows, subject, target, features, name, search, params, task=task, seed=seed, resampling=resampling)[:2]
+
+    def unit(name: str, fold: int | str):
+        train = folded if fold == "final" else folded.filter(F.col("fold") != fold)
+        chosen, score = choose(train, name, models[name])
+        m = fit_model(train, features, target, name, chosen, task=task, seed=seed, resampling=resampling)
+        preds = None if fold == "final" else fold_predictions(m, folded.filter(F.col("fold") == fold), target, subject, fold)
+        if run:
+            path = run.model_path(name, str(fold))
+            if preds is not None:
+                run.write_predictions(preds, name, fold)
+            m.model.write().overwrite().save(path)
+            run.finish(name, str(fold), path, m.features, m.labels, _state(m), chosen, score)
+        return m, preds, chosen, score
+
+    units = [(name, f) for name in models for f in [*range(k), *(["final"] if refit else [])] if not (done and (name, f) in done)]
+    missing = [u for u in units if (u[0], str(u[1])) not in kept]
+    if not any(f != "final" for _, f in missing) and not kept:
         raise ValueError("every model and fold is already done")
-    preds = reduce(DataFrame.unionByName, parts)
-    return CvRun(preds, evaluate(preds, ["model", "fold_id"], task), finals, tuning)
+    made = dict(zip(missing, together([lambda u=u: unit(*u) for u in missing])))
+    finals, tuning = {}, []
+    for name, f in units:
+        if (name, f) in made:
+            m, _, chosen, score = made[name, f]
+            written = json.dumps(chosen, sort_keys=True)
+        else:
+            row = kept[name, str(f)]
+            m, written, score = None, row["chosen"], row["inner_score"]
+        if f == "final":
+            finals[name] = m or load_model({**row.asDict(), "algorithm": name})
+        if search:
+            tuning.append({"model": name, "fold": str(f), "params": written, "inner_score": score})
+    preds = run.predictions() if run else reduce(DataFrame.unionByName, [p for _, p, _, _ in made.values() if p is not None])
+    out = CvRun(preds, evaluate(preds, ["model", "fold_id"], task), finals, tuning)
+    if run and missing:
+        run.write_table(out.metrics, "metrics")
+        run.write_table(metrics.confusion_matrix(preds, ["model", "fold_id"]), "confusion")
+        if task == "binary":
+            run.write_table(metrics.roc_points(preds, ["model", "fold_id"]), "roc")
+    return out
 
 
-def run_cross_dataset(train: DataFrame, other: DataFrame, subject: str, target: str, models: dict[str, dict], *, task: str = "multiclass", features: list[str] | None = None, exclude=(), seed: int = 42, search: Search | None = None, resampling: dict | None = None) -> CvRun:
-    """Fit on one table (searching there only) and evaluate on the other with the shared features."""
+def run_cross_dataset(train: DataFrame, other: DataFrame, subject: str, target: str, models: dict[str, dict], *, task: str = "multiclass", features: list[str] | None = None, exclude=(), seed: int = 42, search: Search | None = None, resampling: dict | None = None, labels: list[str] | None = None, zero_one: bool = True) -> CvRun:
+    """Fit on one table (searching there only) and evaluate on the other with the shared features.
+
+    ``labels`` keeps the rows of both tables that have one of them. A binary target is checked on both: training needs both classes, and with ``zero_one`` its values are 0 and 1.
+    """
     cols = features or resolve_features_cross(train, other, exclude=[subject, target, *exclude])
-    parts, finals, tuning = [], {}, []
-    for name, params in models.items():
-        best = params
+    train, other = train.filter(q(target).isNotNull()), other.filter(q(target).isNotNull())
+    if labels:
+        train, other = label_subset(train, target, labels), label_subset(other, target, labels)
+    if task == "binary":
+        validate_binary_target(train, target, relaxed=not zero_one)
+        validate_binary_target(other, target, training=False, relaxed=not zero_one)
+
+    def unit(name: str):
+        best, tuned = models[name], None
         if search:
-            best, score, _ = nested_grid_search(train, subject, target, cols, name, search, params, task=task, seed=seed, resampling=resampling)
-            tuning.append({"model": name, "fold": "train", "params": json.dumps(best, sort_keys=True), "inner_score": score})
-        finals[name] = fit_model(train, cols, target, name, best, task=task, seed=seed, resampling=resampling)
-        parts.append(fold_predictions(finals[name], other.filter(q(target).isNotNull()), target, subject, 0))
-    preds = reduce(DataFrame.unionByName, parts)
-    return CvRun(preds, evaluate(preds, ["model"], task), finals, tuning)
+            best, score, _ = nested_grid_search(train, subject, target, cols, name, search, models[name], task=task, seed=seed, resampling=resampling)
+            tuned = {"model": name, "fold": "train", "params": json.dumps(best, sort_keys=True), "inner_score": score}
+        m = fit_model(train, cols, target, name, best, task=task, seed=seed, resampling=resampling)
+        return m, fold_predictions(m, other, target, subject, 0), tuned
+
+    made = dict(zip(models, together([lambda name=name: unit(name) for name in models])))
+    preds = reduce(DataFrame.unionByName, [p for _, p, _ in made.values()])
+    return CvRun(preds, evaluate(preds, ["model"], task), {name: m for name, (m, _, _) in made.items()}, [t for _, _, t in made.values() if t])
 
 
 TASKS = {"stage": ("multiclass", "label_mask_stage"), "apnea": ("binary", "label_mask_apnea")}
@@ -304,8 +395,8 @@ def _task_search(search: Search | None, task: str) -> Search | None:
     return Search(search.space, scoring_for(task, search.scoring, fallback=True), search.inner_splits, search.subsample) if search else None
 
 
-def run_multitarget_cv(df: DataFrame, subject: str, features: list[str], models: dict[str, dict], *, stage: str = "sleep_stage", apnea: str = "apnea_binary", k: int = 5, seed: int = 42, search: Search | None = None, refit: bool = False) -> tuple[dict[str, CvRun], DataFrame]:
-    """Both tasks on one shared fold table; returns the runs and one joined metric row per model and fold."""
+def run_multitarget_cv(df: DataFrame, subject: str, features: list[str], models: dict[str, dict], *, stage: str = "sleep_stage", apnea: str = "apnea_binary", k: int = 5, seed: int = 42, search: Search | None = None, refit: bool = False, store: str | None = None) -> tuple[dict[str, CvRun], DataFrame]:
+    """Both tasks on one shared fold table; returns the runs and one joined metric row per model and fold. ``store`` as in ``run_subject_cv``, a folder per task."""
     folded = keep(fold_ops.with_shared_folds(df, subject, k, stage=stage, apnea=apnea, seed=seed))
     runs = {}
     for name, (task, mask) in TASKS.items():
@@ -313,7 +404,7 @@ def run_multitarget_cv(df: DataFrame, subject: str, features: list[str], models:
         rows = task_rows(folded, mask)
         if task == "binary":
             rows = rows.withColumn(target, q(target).cast("int"))
-        runs[name] = run_subject_cv(rows, subject, target, features, models, k=k, task=task, seed=seed, search=_task_search(search, task), refit=refit, folded=rows)
+        runs[name] = run_subject_cv(rows, subject, target, features, models, k=k, task=task, seed=seed, search=_task_search(search, task), refit=refit, folded=rows, store=f"{store}/{name}" if store else None)
     return runs, _two_target_metrics(runs, ["model", "fold_id"])
 
 
@@ -348,7 +439,7 @@ def save_models(spark: SparkSession, models: dict[tuple[str, str], Fitted], root
     for (name, fold), m in models.items():
         path = f"{root}/models/{name}_{fold}"
         m.model.write().overwrite().save(path)
-        state = json.dumps({"task": m.task, "prep": m.prep, "params": m.params, "kernel": m.kernel, "reader": type(m.model).__name__})
+        state = json.dumps(_state(m))
         rows.append((experiment, dataset, name, "final" if fold == "final" else "fold", mode, fold, path, m.features, m.labels, state))
     out = spark.createDataFrame(rows, REGISTRY)
     out.write.mode("overwrite").parquet(f"{root}/registry")

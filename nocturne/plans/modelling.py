@@ -98,8 +98,8 @@ def l10(spark, sf):
 
 
 @add("l11_run_multitarget_cv")
-def l11(spark, sf, k=5):
-    return models.run_multitarget_cv((f := features(spark, sf)), "subject", columns_of(f), {"random_forest": {}}, k=k, refit=True)[1]
+def l11(spark, sf):
+    return models.run_multitarget_cv((f := features(spark, sf)), "subject", columns_of(f), {"random_forest": {}}, k=5, refit=True)[1]
 
 
 @add("l11_run_multitarget_cross")
@@ -185,13 +185,8 @@ def l10c(spark, sf):
     return _metric_bounds(l10(spark, sf), ["accuracy", "macro_f1"])
 
 
-@add("l11_multitarget_cv_checks", "SELECT 2::BIGINT AS n_rows, 0::BIGINT AS n_bad, 3::INTEGER AS n_metrics")
+@add("l11_multitarget_cv_checks", "SELECT 5::BIGINT AS n_rows, 0::BIGINT AS n_bad, 3::INTEGER AS n_metrics")
 def l11c(spark, sf):
-    return _metric_bounds(l11(spark, sf, k=2), ["stage_accuracy", "stage_macro_f1", "apnea_accuracy"])
-
-
-@add("l11_multitarget_cv_checks_5_folds", "SELECT 5::BIGINT AS n_rows, 0::BIGINT AS n_bad, 3::INTEGER AS n_metrics")
-def l11d(spark, sf):
     return _metric_bounds(l11(spark, sf), ["stage_accuracy", "stage_macro_f1", "apnea_accuracy"])
 
 
