@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from nocturne.llm.common import materialize, pick, slices
 from nocturne.llm.tokens import encoder
 
-RANKED = 50_000  # pieces of one length that are ranked in one part, on average
+PARTS = 128  # the pieces of a length are ranked in so many parts at least,
+RANKED = 50_000  # and in more where a part would hold more pieces than this on average
 
 
 # Tokens
@@ -206,7 +207,7 @@ def pack(docs: DataFrame, path: str, *, capacity: int = 2048, end: int = 0, with
     pieces = materialize(tokenize_pieces(docs, path, capacity, end, with_ids))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
     plan = plan_sequences(counts, capacity, groups, small)
-    width = -(-sum(counts.values()) // RANKED)
+    width = max(PARTS, -(-sum(counts.values()) // RANKED))
     order = ["doc_id", "piece", "ids_crc32"]
     salted = pieces.withColumn("slice", F.pmod(F.xxhash64(*order), F.lit(width)))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
