@@ -133,6 +133,11 @@ LOG = T.StructType([
 
 def clean(df: DataFrame, options: CleaningOptions | None = None) -> tuple[DataFrame, DataFrame]:
     """All steps in their fixed order; returns the table and a (metric, value, detail) log."""
+    return clean_fit(df, options)[:2]
+
+
+def clean_fit(df: DataFrame, options: CleaningOptions | None = None) -> tuple[DataFrame, DataFrame, dict]:
+    """``clean`` and what it found, for ``clean_apply``."""
     o = options or CleaningOptions()
     names = lambda xs: None if xs is None else [snake_name(x) for x in xs]
     o = replace(o, target=snake_name(o.target) if o.target else None, dedupe_subset=names(o.dedupe_subset), order=names(o.order),
@@ -143,6 +148,7 @@ def clean(df: DataFrame, options: CleaningOptions | None = None) -> tuple[DataFr
     size = data.agg(F.count("*").alias("n"), *[F.count_if(q(c).isNull()).alias(f"m{i}") for i, c in enumerate(data.columns)]).first()
     log = [("input_rows", size["n"], "")]
     log += [("missing_before", size[f"m{i}"], c) for i, c in enumerate(data.columns)]
+    dropped: list[str] = []
     if o.drop_missing_pct is not None:
         data, dropped = drop_high_missing(data, o.drop_missing_pct, o.target)
         log += [("dropped_column", 1, c) for c in dropped]
@@ -167,7 +173,8 @@ def clean(df: DataFrame, options: CleaningOptions | None = None) -> tuple[DataFr
     data = keep(deduplicate(data, o.dedupe_subset, o.order))
     rows = data.count()
     log.append(("removed_duplicates", left - rows, ",".join(o.dedupe_subset or [])))
-    data = impute_apply(data, impute_fit(data))
+    filled, fits = impute_fit(data), []
+    data = impute_apply(data, filled)
     if o.winsorize:
         fits = tukey_fit(data, o.outlier_columns, [*o.outlier_exclude, *([o.target] if o.target else [])], o.iqr_multiplier)
         data = tukey_apply(data, fits)
@@ -175,4 +182,13 @@ def clean(df: DataFrame, options: CleaningOptions | None = None) -> tuple[DataFr
         log += [("winsorized_high", f["n_high"], f["column"]) for f in fits]
     log.append(("output_rows", rows, ""))
     frame = df.sparkSession.createDataFrame([(m, str(v), d) for m, v, d in log], LOG)
-    return data, frame
+    return data, frame, {"dropped": dropped, "numbers": [d["column"] for d in coerced], "texts": normal, "fill": filled, "clip": fits}
+
+
+def clean_apply(df: DataFrame, fit: dict) -> DataFrame:
+    """Other rows cleaned as ``clean_fit`` cleaned its own: the same columns, numbers, fills and fences. No row goes."""
+    data = nan_to_null(rename_snake(df)).drop(*fit["dropped"])
+    texts = set(string_columns(data))
+    data = data.withColumns({c: parse_number(q(c)) for c in fit["numbers"] if c in texts})
+    data = data.withColumns({c: normalize_category(q(c)) for c in fit["texts"] if c in texts})
+    return tukey_apply(impute_apply(data, fit["fill"]), fit["clip"])

@@ -23,9 +23,14 @@ def categories(df: DataFrame, column: str, cap: int | None = None) -> list:
 
 def one_hot(df: DataFrame, columns: list[str], drop_first: bool = False, cap: int | None = None) -> tuple[DataFrame, list[str]]:
     """``col_value`` double columns in value order; null gives zeros; the original column goes."""
-    added = []
-    for c in columns:
-        for v in categories(df, c, cap)[1 if drop_first else 0 :]:
+    return one_hot_values(df, {c: categories(df, c, cap)[1 if drop_first else 0 :] for c in columns})
+
+
+def one_hot_values(df: DataFrame, values: dict[str, list]) -> tuple[DataFrame, list[str]]:
+    """``one_hot`` with given values; others give zeros."""
+    columns, added = list(values), []
+    for c, known in values.items():
+        for v in known:
             added.append((f"{c}_{v}", F.coalesce(q(c) == F.lit(v), F.lit(False)).cast("double")))
     keep = [q(c) for c in df.columns if c not in columns]
     return df.select(*keep, *[col.alias(name) for name, col in added]), [name for name, _ in added]
@@ -51,17 +56,39 @@ class EncodingSpec:
 
 def encode(df: DataFrame, spec: EncodingSpec) -> tuple[DataFrame, list[str]]:
     """Binary, then ordinal, then nominal columns."""
+    fit = encode_fit(df, spec)
+    return encode_apply(df, fit)
+
+
+def encode_fit(df: DataFrame, spec: EncodingSpec) -> dict:
+    """The values and fills that ``encode_apply`` needs."""
     both = sorted(set(spec.nominal) & set(spec.ordinal))
     if both:
         raise ValueError(f"columns are both nominal and ordinal: {both}")
     absent = [c for c in [*spec.binary, *spec.ordinal, *spec.nominal] if c not in df.columns]
     if absent:
         raise ValueError(f"columns not found: {absent}")
-    if spec.binary:
-        df = df.withColumns({c: encode_binary(q(c)) for c in spec.binary})
+    fills = {}
     for c, order in spec.ordinal.items():
-        df = ordinal(df, c, order, spec.unknown)
-    return one_hot(df, spec.nominal, spec.drop_first)
+        coded = df.select(ordinal_code(q(c), order, spec.unknown).alias(c))
+        if not coded.filter(q(c).isNull()).isEmpty():
+            mid = exact_quantiles(coded, [c], [0.5])[c][0]
+            fills[c] = 0.0 if mid is None else mid
+    named = encode_binary_columns(df, spec.binary)
+    values = {c: categories(named, c)[1 if spec.drop_first else 0 :] for c in spec.nominal}
+    return {"binary": spec.binary, "ordinal": spec.ordinal, "unknown": spec.unknown, "fills": fills, "values": values}
+
+
+def encode_binary_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumns({c: encode_binary(q(c)) for c in columns}) if columns else df
+
+
+def encode_apply(df: DataFrame, fit: dict) -> tuple[DataFrame, list[str]]:
+    """The columns encoded as fitted: values that weren't there give zeros, unknown ranks the fitted median (0 if none was missing)."""
+    df = encode_binary_columns(df, fit["binary"])
+    for c, order in fit["ordinal"].items():
+        df = df.withColumn(c, F.coalesce(ordinal_code(q(c), order, fit["unknown"]), F.lit(fit["fills"].get(c, 0.0))))
+    return one_hot_values(df, fit["values"])
 
 
 def decode_one_hot(df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:

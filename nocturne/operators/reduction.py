@@ -47,8 +47,19 @@ def _signed(axes: np.ndarray) -> np.ndarray:
     return axes * np.where(flip == 0, 1, flip)
 
 
+def project(df: DataFrame, fit: dict, target: str | None = None) -> DataFrame:
+    """Scores of a fitted projection (``pca_fit``, ``lda_fit``) in place of its features."""
+    return _laid_out(df, _project(fit["columns"], fit["means"], np.asarray(fit["axes"], float).reshape(len(fit["columns"]), -1), fit["stem"]), fit["columns"], target)
+
+
 def pca(df: DataFrame, target: str | None = None, n: int | float = 0.95, exclude=()) -> tuple[DataFrame, list[float]]:
     """Centred principal scores ``pca_i`` (a count, or the share of variance to reach) and explained shares."""
+    fit = pca_fit(df, target, n, exclude)
+    return project(df, fit, target), fit["shares"]
+
+
+def pca_fit(df: DataFrame, target: str | None = None, n: int | float = 0.95, exclude=()) -> dict:
+    """Columns, means, axes and explained shares."""
     cols = feature_matrix(df, target, exclude)
     means = df.agg(*[F.avg(q(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     vectors = VectorAssembler(inputCols=cols, outputCol="_v").transform(df.select(*[q(c).cast("double").alias(c) for c in cols]))
@@ -59,7 +70,7 @@ def pca(df: DataFrame, target: str | None = None, n: int | float = 0.95, exclude
     else:
         k = min(int(n), len(cols))
     axes = _signed(np.asarray(model.pc.toArray())[:, :k])
-    return _laid_out(df, _project(cols, list(means), axes, "pca"), cols, target), share[:k]
+    return {"stem": "pca", "columns": cols, "means": [float(m) for m in means], "axes": axes.tolist(), "shares": share[:k]}
 
 
 def covariances(df: DataFrame, cols: list[str]) -> np.ndarray:
@@ -87,6 +98,11 @@ def is_class_target(df: DataFrame, target: str) -> bool:
 
 def lda(df: DataFrame, target: str, n: int | None = None, exclude=(), max_classes: int | None = None) -> DataFrame:
     """Discriminant scores ``lda_i`` with unit within-class covariance; more than ``max_classes``, if given, are an error."""
+    return project(df, lda_fit(df, target, n, exclude, max_classes), target)
+
+
+def lda_fit(df: DataFrame, target: str, n: int | None = None, exclude=(), max_classes: int | None = None) -> dict:
+    """Columns, centre, axes and the number of classes."""
     if not is_class_target(df, target):
         raise ValueError("the target is not discrete")
     cols = feature_matrix(df, target, exclude)
@@ -111,7 +127,7 @@ def lda(df: DataFrame, target: str, n: int | None = None, exclude=(), max_classe
     most = min(len(cols), len(rows) - 1)
     k = min(n or most, most)
     axes = _signed((white @ turn[:, ::-1])[:, :k])
-    return _laid_out(df, _project(cols, centre, axes, "lda"), cols, target)
+    return {"stem": "lda", "columns": cols, "means": centre.tolist(), "axes": axes.tolist(), "classes": len(rows)}
 
 
 def variance_threshold(df: DataFrame, threshold: float = 0.0, target: str | None = None, exclude=()) -> tuple[DataFrame, list[str]]:

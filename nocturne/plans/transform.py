@@ -9,6 +9,7 @@ from nocturne.operators.cleaning import CleaningOptions
 from nocturne.plans import views
 from nocturne.plans.tabular import CLEAN_DIRTY, FEATURES
 from nocturne.plans.views import ARRAYS, DIRTY, EPOCHS, Catalog, r, table
+from nocturne.session import shared_dir
 
 catalog = Catalog()
 add = catalog.add
@@ -136,6 +137,35 @@ def d5(spark, sf):
     return out.withColumn("acct_bal", r("acct_bal"))
 
 
+@add("d5_chain_on_new_rows", f"""WITH {CLEAN_DIRTY}, k AS (SELECT DISTINCT c_custkey, acct_bal, lower(trim(segment)) AS segment FROM v_dirty),
+ h AS (SELECT * FROM k WHERE c_custkey % 3 <> 0), m AS (SELECT quantile_cont(acct_bal, 0.5) AS mid FROM h),
+ s AS (SELECT avg(coalesce(acct_bal, mid)) AS shift, stddev_pop(coalesce(acct_bal, mid)) AS spread FROM h, m)
+ SELECT c_custkey, round((coalesce(acct_bal, mid) - shift) / spread, 6) + 0.0 AS acct_bal, """ + ", ".join(f"CASE WHEN segment = '{s.lower()}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS segment_{s.lower()}" for s in SEGMENTS)
+     + " FROM k, m, s WHERE c_custkey % 3 = 0")
+def d5b(spark, sf):
+    """Fitted on two thirds, saved, read back and applied to the rest, with the columns' raw names."""
+    d = views.dirty(spark, sf).drop("nation_text", "active")
+    o = chain.ChainOptions(cleaning=CleaningOptions(drop_missing_pct=60.0), encoding=encoding.EncodingSpec(nominal=["segment"]), scaling="standardize", scale_exclude=("c_custkey", *[f"segment_{s.lower()}" for s in SEGMENTS]),
+                           reduction="variance_threshold", reduction_args={"exclude": ["c_custkey"]})
+    fitted, _ = chain.fit_chain(d.filter("c_custkey % 3 <> 0"), o)
+    folder = shared_dir(spark)
+    fitted.save(spark, folder)
+    return chain.FittedChain.load(spark, folder).apply(d.filter("c_custkey % 3 = 0").distinct()).withColumn("acct_bal", r("acct_bal"))
+
+
+@add("d5_balanced_and_reduced", f"""WITH {CLEAN_DIRTY}, k AS (SELECT DISTINCT c_custkey, acct_bal, CAST(c_custkey % 5 = 0 AS INTEGER) AS flag FROM v_dirty)
+ SELECT flag, (SELECT min(n) FROM (SELECT count(*) AS n FROM k GROUP BY flag)) AS cnt, 0.0::DOUBLE AS mean_1, 1.0::DOUBLE AS both_spreads FROM k GROUP BY flag""")
+def d5c(spark, sf):
+    """Balancing and projection really run: equal classes, centred axes, and all of the two standardised columns' variance on them, whichever rows are drawn."""
+    d = views.dirty(spark, sf).select("c_custkey", "Acct Bal", (F.col("c_custkey") % 5 == 0).cast("int").alias("Flag"))
+    o = chain.ChainOptions(target="Flag", cleaning=CleaningOptions(target="Flag"), balance="random_under", balance_order=["c_custkey"], scaling="standardize", reduction="pca", reduction_args={"n": 2})
+    _, made = chain.fit_chain(d, o)
+    every = made.agg(views.r(F.avg("pca_1")).alias("mean_1"), views.r((F.var_pop("pca_1") + F.var_pop("pca_2")) / 2).alias("both_spreads"))
+    counts = made.groupBy("flag").agg(F.count("*").alias("cnt"))
+    row = every.first()
+    return counts.select("flag", "cnt", F.lit(row["mean_1"] + 0.0).alias("mean_1"), F.lit(row["both_spreads"]).alias("both_spreads"))
+
+
 @add("a15_class_counts", f"WITH {EPOCHS} SELECT sleep_stage AS label, count(*) AS cnt FROM v_epochs GROUP BY 1")
 def a15(spark, sf):
     return balance.class_counts(views.staged(spark, sf), "sleep_stage")

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +17,21 @@ SEGMENT_FS = 200.0
 
 
 def _whole_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """One row per file; Spark does not list files of zero bytes, so those are neither used nor counted."""
-    reader = spark.read.option("recursiveFileLookup", True)
-    reader = reader.option("pathGlobFilter", pattern) if pattern else reader
-    return reader.text(root, wholetext=True).select("_metadata", "value")
+    """(file_path, value): one row per file, also per file of zero bytes, which Spark lists but doesn't read.
+
+    The names that Spark's listing holds are set against those it reads; of the latter no content is needed.
+    """
+
+    def reader():
+        r = spark.read.option("recursiveFileLookup", True)
+        return r.option("pathGlobFilter", pattern) if pattern else r
+
+    raw = reader().text(root, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    listed = spark.createDataFrame(pd.DataFrame({"file_path": raw.inputFiles()}, dtype=str), "file_path string")  # the listing lies on the driver
+    read = reader().format("binaryFile").load(root).select(F.col("_metadata.file_path").alias("file_path"))
+    same = F.regexp_replace("file_path", ":/+", ":/")  # the two write an empty host differently
+    empty = listed.withColumn("_name", same).join(read.select(same.alias("_name")), "_name", "left_anti")
+    return raw.unionByName(empty.select("file_path", F.lit("").alias("value")))
 
 
 def _lines(content):
@@ -38,7 +50,7 @@ def segment_files(spark: SparkSession, root: str, preferred=SEGMENT_CHANNELS, pa
     """
     raw = _whole_files(spark, root, pattern)
     base = re.escape(re.sub(r"^[a-z0-9]+:/+", "/", root.rstrip("/")) + "/")
-    path = F.regexp_replace(F.col("_metadata.file_path"), f"^.*?{base}", "")
+    path = F.regexp_replace(F.col("file_path"), f"^.*?{base}", "")
     rows = raw.select(path.alias("source_file"), _lines(F.col("value")).alias("lines"))
     rows = rows.select("source_file", _cells(F.get("lines", F.lit(0))).alias("header"),
                        F.transform(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0))), _cells).alias("rows"))
@@ -73,7 +85,7 @@ def scan_segment_files(spark: SparkSession, root: str, *, fs: float = SEGMENT_FS
 
 def _recording(suffix: str, by_folder: str | None):
     """Recording name from the file name, or from a ``key=value`` folder."""
-    path = F.col("_metadata.file_path")
+    path = F.col("file_path")
     if by_folder:
         return F.regexp_extract(path, f"/{by_folder}=([^/]*)/", 1)
     return F.regexp_replace(text.path_stem(path), suffix, "")
@@ -92,7 +104,7 @@ def scan_stage_text(spark: SparkSession, path: str, by_folder: str | None = None
 
 def parse_event_text(spark: SparkSession, path: str, by_folder: str | None = None) -> DataFrame:
     """(recording_id, start_sec, end_sec, event_type) of event lists, one line at a time."""
-    raw = spark.read.text(path, recursiveFileLookup=True).select(_recording("_respevt$", by_folder).alias("recording_id"), text.event_line(F.col("value")).alias("e"))
+    raw = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file_path"), "value").select(_recording("_respevt$", by_folder).alias("recording_id"), text.event_line(F.col("value")).alias("e"))
     return raw.filter("e is not null").select("recording_id", "e.*")
 
 

@@ -364,3 +364,49 @@ def test_wide_correlations_take_two_jobs(spark):
     want = df.toPandas().corr()
     assert len(rows) == 100 * 100 and rows["flat", "f1"] is None and jobs <= 6
     assert all(rows[a, b] == pytest.approx(want.loc[a, b], abs=1e-9) for a in ("f0", "f50", "holes") for b in ("f3", "f97", "holes"))
+
+
+def test_files_of_zero_bytes_are_counted(spark, tmp_path):
+    """Segments and stage lists: empty files, files of white space and bad ones are skipped and counted."""
+    folder = tmp_path / "segments" / "deep er"
+    folder.mkdir(parents=True)
+    (folder / "SC01_N2_001.csv").write_text("C4-M1\n1\n2\n")
+    made = recordings.segment_files(spark, str(tmp_path / "segments")).collect()
+    assert len(made) == 1
+    (folder / "SC01_N2_002.csv").write_text("")
+    (folder / "SC01_N2_003.csv").write_text(" \n")
+    rows = {r.source_file.rsplit("/", 1)[-1]: r.usable for r in recordings.segment_files(spark, str(tmp_path / "segments")).collect()}
+    assert len(rows) == 3 and not rows["SC01_N2_002.csv"] and not rows["SC01_N2_003.csv"]
+    stages = tmp_path / "stages"
+    stages.mkdir()
+    for name, content in (("a_stage.txt", "0\n1\n"), ("b_stage.txt", ""), ("c_stage.txt", "x\n"), ("d_stage.txt", "\n")):
+        (stages / name).write_text(content)
+    got, report = recordings.scan_stage_text(spark, str(stages))
+    assert [tuple(r) for r in got.orderBy("epoch_index").collect()] == [("a", 0, 0), ("a", 1, 1)]
+    assert tuple(report.first()) == (1, 3)
+
+
+def test_distinct_counts_of_every_type(spark):
+    rows = [(1, 0.0, "a", [1], None), (1, -0.0, "b", [1], None), (None, float("nan"), "a", [2], None), (3, float("nan"), None, None, None)]
+    df = spark.createDataFrame(rows, "i int, d double, s string, l array<int>, n string")
+    assert {r.column: r.n_unique for r in profile.dataset_profile(df).collect()} == {"i": 2, "d": 2, "s": 2, "l": 2, "n": 0}
+
+
+def test_fitted_chain_on_other_rows(spark, tmp_path):
+    """Fills, fences, codes, shifts and axes come from the training rows; other rows keep their number, with values training hasn't seen."""
+    rows = [(float(i), "yes" if i % 2 else "no", "abc"[i % 3], ["low", "mid", "high"][i % 3], "x" if i % 4 else "y") for i in range(40)] + [(None, None, None, None, "y")]
+    train = spark.createDataFrame(rows, "`Raw A` double, `On Off` string, `Kind` string, `Rank` string, `Target` string")
+    o = chain.ChainOptions(
+        target="Target", cleaning=CleaningOptions(target="Target", winsorize=True, iqr_multiplier=0.2), encoding=encoding.EncodingSpec(binary=["On Off"], nominal=["Kind"], ordinal={"Rank": ["low", "mid", "high"]}),
+        balance="smote", scaling="minmax", scale_exclude=("On Off",), reduction="select_k_best", reduction_args={"k": 3, "exclude": ["On Off"]},
+    )
+    fitted, made = chain.fit_chain(train, o)
+    assert len(set(balance.counts_of(made, "target").values())) == 1
+    fitted.save(spark, str(tmp_path / "chain"))
+    again = chain.FittedChain.load(spark, str(tmp_path / "chain"))
+    other = spark.createDataFrame([(1e9, "YES", "zzz", "unheard", "x"), (None, None, None, None, None)], train.schema)
+    a, b = (f.apply(other) for f in (fitted, again))
+    assert a.columns == made.columns and sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr) and a.count() == 2
+    steps = {(s, m) for s, m, _, _ in fitted.report}
+    assert {("clean", "input_rows"), ("encode", "columns_after"), ("balance", "rows_after"), ("scale", "spread"), ("reduce", "score")} <= steps
+    assert fitted.report_table(spark).count() == len(fitted.report)
