@@ -131,13 +131,14 @@ def s9(spark, sf):
     return s.select("dataset_id", "epoch_store_relpath", "epoch_store_row", "vec_id", "sample_hz", "samples_per_epoch", "channel_name_used", "store_version", rounded(F.col("signal")).alias("signal"))
 
 
-@add("s9_epochs_from_samples", f"""WITH {ARRAYS} SELECT recording_id, k AS epoch_index, list_transform(list(value ORDER BY idx), lambda x: round(CAST(x AS DOUBLE), 5) + 0.0) AS signal
- FROM (SELECT recording_id, epoch_index // 2 * 64 + generate_subscripts(signal, 1) - 1 AS idx, unnest(signal) AS value, vec_id % 2 AS channel FROM v_arrays) u JOIN range(8) g(k) ON idx >= k * 80 AND idx < k * 80 + 80 WHERE channel = 0 GROUP BY 1, 2""")
+@add("s9_epochs_from_samples", f"""WITH {ARRAYS} SELECT recording_id * 10 + channel AS stream, k AS epoch_index, list_transform(list(value ORDER BY idx), lambda x: round(CAST(x AS DOUBLE), 5) + 0.0) AS signal
+ FROM (SELECT recording_id, epoch_index // 2 * 64 + generate_subscripts(signal, 1) - 1 AS idx, unnest(signal) AS value, vec_id % 2 AS channel FROM v_arrays) u JOIN range(16) g(k) ON idx >= k * 40 AND idx < k * 40 + 40 GROUP BY 1, 2""")
 def s9b(spark, sf):
-    s = long_samples(spark, sf).filter("channel = 0")
-    e = s.select("recording_id").distinct().select("recording_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))).alias("epoch_index")).withColumns(
-        {"epoch_start_sample": F.col("epoch_index") * 80, "epoch_end_sample": F.col("epoch_index") * 80 + 80})
-    return epoch_store.epochs_from_samples(s, e, ["recording_id"], 80).select("recording_id", "epoch_index", rounded(F.col("signal")).alias("signal"))
+    """All samples as streams of one key, in epochs of 40 samples."""
+    s = long_samples(spark, sf).withColumn("stream", F.col("recording_id") * 10 + F.col("channel"))
+    e = s.select("stream").distinct().select("stream", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))).alias("epoch_index")).withColumns(
+        {"epoch_start_sample": F.col("epoch_index") * 40, "epoch_end_sample": F.col("epoch_index") * 40 + 40})
+    return epoch_store.epochs_from_samples(s, e, ["stream"], 40).select("stream", "epoch_index", rounded(F.col("signal")).alias("signal"))
 
 
 @add("s9_epochs_from_samples_channels", f"""WITH {ARRAYS} SELECT recording_id, channel, k AS epoch_index, list_transform(list(value ORDER BY idx), lambda x: round(CAST(x AS DOUBLE), 5) + 0.0) AS signal
@@ -151,6 +152,14 @@ def s9c(spark, sf):
     return epoch_store.epochs_from_samples(s, e, keys, 80).select(*keys, "epoch_index", rounded(F.col("signal")).alias("signal"))
 
 
+@add("s9_recording_folders", f"""WITH {ARRAYS}, n AS (SELECT recording_id, count(*) AS n FROM v_arrays GROUP BY 1) SELECT 'corpus_' || recording_id % 2 || '/rec_' || recording_id AS epoch_store_relpath, n AS n_rows, 1::BIGINT AS n_folders, n * (n - 1) // 2 AS rows_sum FROM n""")
+def s9d(spark, sf):
+    """A path of the manifest lies in one folder of the store, the one that follows from it."""
+    _, path = stored(spark, sf)
+    s = spark.read.parquet(path).withColumn("folder", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")).filter(F.col("bucket") == epoch_store.bucket_of(F.col("epoch_store_relpath"), 64))
+    return s.groupBy("epoch_store_relpath").agg(F.count("*").alias("n_rows"), F.count_distinct("folder").alias("n_folders"), F.sum("epoch_store_row").alias("rows_sum"))
+
+
 @add("s10_validate_manifest", f"""WITH {ARRAYS} SELECT vec_id, 'a/' || recording_id AS epoch_store_relpath, CAST(epoch_index AS BIGINT) AS epoch_store_row, 64.0::DOUBLE AS sample_hz, 64::BIGINT AS samples_per_epoch, 'EEG' AS channel_name_used, 1::BIGINT AS store_version FROM v_arrays""")
 def s10(spark, sf):
     a = views.arrays(spark, sf).select("vec_id", F.concat(F.lit("a/"), F.col("recording_id").cast("string")).alias("epoch_store_relpath"), F.col("epoch_index").cast("string").alias("epoch_store_row"),

@@ -44,17 +44,32 @@ def store_rows(df: DataFrame, *, sample_hz: float, epoch_seconds: float = 30.0,
     })
 
 
-def write_epoch_store(df: DataFrame, path: str, **kw) -> DataFrame:
-    """Write the store, clustered by recording and epoch, and return its manifest."""
-    rows = store_rows(df, **kw)
-    clustered = rows.repartitionByRange("dataset_id", "recording_id", "epoch_index").sortWithinPartitions("dataset_id", "recording_id", "epoch_index")
-    clustered.write.mode("overwrite").partitionBy("dataset_id").parquet(path)
+def bucket_of(relpath, buckets: int):
+    """The folder of a recording: it follows from its path, so a path alone finds its rows."""
+    return F.concat_ws("_of_", F.pmod(F.xxhash64(relpath), F.lit(buckets)).cast("string"), F.lit(str(buckets)))
+
+
+def write_epoch_store(df: DataFrame, path: str, *, buckets: int = 64, **kw) -> DataFrame:
+    """Write the store, in folders by data set and bucket of recordings and clustered by recording and epoch, and return its manifest."""
+    rows = store_rows(df, **kw).withColumn("bucket", bucket_of(F.col("epoch_store_relpath"), buckets))
+    by = ["dataset_id", "bucket", "recording_id", "epoch_index"]
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").partitionBy("dataset_id", "bucket").parquet(path)
     return read_manifest(df.sparkSession, path, kw.get("signal", "signal"))
 
 
+def read_recording(spark: SparkSession, path: str, relpath: str) -> DataFrame:
+    """The epochs that a manifest's ``epoch_store_relpath`` names, in store order; only that recording's folder is read."""
+    store = spark.read.parquet(path)
+    some = store.select("bucket").first()
+    if some is None:
+        return store
+    wanted = spark.range(1).select(bucket_of(F.lit(relpath), int(some["bucket"].rsplit("_", 1)[1])).alias("b")).first()["b"]
+    return store.filter((F.col("bucket") == wanted) & (F.col("epoch_store_relpath") == relpath)).orderBy("epoch_store_row")
+
+
 def read_manifest(spark: SparkSession, path: str, signal: str = "signal") -> DataFrame:
     """The manifest of a store: everything but the samples, which stay unread."""
-    return validate_manifest(spark.read.parquet(path).drop(signal))
+    return validate_manifest(spark.read.parquet(path).drop(signal, "bucket"))
 
 
 def validate_manifest(df: DataFrame) -> DataFrame:

@@ -410,3 +410,16 @@ def test_fitted_chain_on_other_rows(spark, tmp_path):
     steps = {(s, m) for s, m, _, _ in fitted.report}
     assert {("clean", "input_rows"), ("encode", "columns_after"), ("balance", "rows_after"), ("scale", "spread"), ("reduce", "score")} <= steps
     assert fitted.report_table(spark).count() == len(fitted.report)
+
+
+def test_a_path_of_the_store_gives_one_recording(spark, tmp_path):
+    rows = [(f"d{i % 2}", f"rec {i}", e, [float(i), float(e)]) for i in range(9) for e in range(4)]
+    df = spark.createDataFrame(rows, "dataset_id string, recording_id string, epoch_index long, signal array<double>")
+    manifest = epoch_store.write_epoch_store(df, str(tmp_path / "store"), buckets=4, sample_hz=2.0, epoch_seconds=1.0)
+    paths = manifest.select("epoch_store_relpath", "recording_id").distinct().collect()
+    assert len(paths) == 9
+    for r in paths:
+        got = epoch_store.read_recording(spark, str(tmp_path / "store"), r.epoch_store_relpath)
+        assert [(x.recording_id, x.epoch_store_row, x.signal[1]) for x in got.collect()] == [(r.recording_id, e, float(e)) for e in range(4)]
+    plan = got._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
