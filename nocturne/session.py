@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+import warnings
 from collections import deque
 
 from pyspark import StorageLevel
@@ -16,15 +17,17 @@ MOST_KEPT = 48  # frames held at a time
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the checkpoint folder that the cluster names, else under the session's warehouse.
 
-    A path on a local disk is an error on a cluster, whose executors would each write to their own. ``release()`` deletes the folders.
+    Both are taken to be shared by driver and executors, whatever their scheme: a ``file:`` path may be a mount that all of them have.
+    ``release()`` deletes the folders.
     """
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    base = named or spark.conf.get("spark.sql.warehouse.dir")
     jvm = sc._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/work-{uuid.uuid4().hex}")
     full = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    if full.startswith("file:") and not sc.master.startswith("local"):
-        raise ValueError(f"{full} is on a local disk: set spark.checkpoint.dir to a folder that driver and executors share")
+    if not named and full.startswith("file:") and not sc.master.startswith("local"):
+        warnings.warn(f"spark.checkpoint.dir is not set, so {full} is used: driver and executors must share it", stacklevel=2)
     _folders.append((spark, full))
     return full
 

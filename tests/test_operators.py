@@ -3,6 +3,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from nocturne import session
 from nocturne.functions import labels, text
 from nocturne.operators import balance, chain, cleaning, encoding, filters, folds, joins, profile, reduction, scaling, schema, timeseries
 from nocturne.operators.cleaning import CleaningOptions, clean
@@ -423,3 +424,19 @@ def test_a_path_of_the_store_gives_one_recording(spark, tmp_path):
         assert [(x.recording_id, x.epoch_store_row, x.signal[1]) for x in got.collect()] == [(r.recording_id, e, float(e)) for e in range(4)]
     plan = got._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_a_named_folder_may_be_a_local_path_on_a_cluster(spark, tmp_path, monkeypatch):
+    """The checkpoint folder and the warehouse are shared whatever their scheme; only a warehouse taken for want of a named folder is warned of."""
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    conf = spark.sparkContext.getConf().set("spark.checkpoint.dir", f"file://{tmp_path}")
+    monkeypatch.setattr(spark.sparkContext, "getConf", lambda: conf)
+    path = session.shared_dir(spark)
+    assert path.startswith("file:") and str(tmp_path) in path
+    tables.write_table(spark.range(3), f"{path}/part.csv")
+    assert tables.read_table(spark, f"{path}/part.csv", "id bigint").count() == 3
+    monkeypatch.undo()
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    if not spark.sparkContext.getCheckpointDir():
+        with pytest.warns(UserWarning, match="must share"):
+            session.shared_dir(spark)
