@@ -15,7 +15,7 @@ from itertools import product
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, LinearSVC, LinearSVCModel, OneVsRest, OneVsRestModel, RandomForestClassificationModel, RandomForestClassifier,
+    GBTClassificationModel, GBTClassifier, LinearSVC, LinearSVCModel, OneVsRest, OneVsRestModel, RandomForestClassificationModel,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -28,6 +28,7 @@ from nocturne.operators import folds as fold_ops
 from nocturne.operators import metrics
 from nocturne.operators.balance import smote_to_reference_minus, with_class_weight
 from nocturne.operators.encoding import categories
+from nocturne.operators.forest import Forest, fit_forest, tasks_for
 from nocturne.operators.filters import label_subset, task_rows, validate_binary_target, validate_cv_ready
 from nocturne.operators.joins import assign_fold
 from nocturne.operators.reporting import best_params_summary, fold_metrics_summary
@@ -149,8 +150,6 @@ def _vectors(df: DataFrame, features: list[str], kernel: dict) -> DataFrame:
 
 def _classifier(name: str, params: dict, n_classes: int, n_rows: int, seed: int, weight: str | None):
     common = {"featuresCol": "_x", "labelCol": "_y", **({"weightCol": weight} if weight else {})}
-    if name == "random_forest":
-        return RandomForestClassifier(numTrees=params["n_estimators"], maxDepth=params["max_depth"] or DEEPEST, minInstancesPerNode=params["min_samples_leaf"], cacheNodeIds=True, maxMemoryInMB=NODE_MEMORY_MB, seed=seed, **common)
     if name == "boosted_trees":
         one = GBTClassifier(maxIter=params["n_estimators"], maxDepth=params["max_depth"], stepSize=params["learning_rate"], subsamplingRate=params["subsample"], featureSubsetStrategy="all" if params["colsample"] >= 1 else str(params["colsample"]), maxMemoryInMB=NODE_MEMORY_MB, seed=seed, **common)
     elif name == "kernel_margin":
@@ -179,9 +178,16 @@ def fit_model(train: DataFrame, features: list[str], target: str, name: str, par
         ready, weight = with_class_weight(ready, target, "_w"), "_w"
     kernel = _kernel_map(ready, features, p, seed) if name == "kernel_margin" else {}
     data = _vectors(ready.withColumn("_y", _code(target, labels)), features, kernel).select("_x", "_y", *([weight] if weight else []))
+    n_rows = ready.count()
+    if name == "random_forest":
+        data = data.repartition(tasks_for(n_rows))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)  # every step of a fit reads it
     try:
-        model = _classifier(name, p, len(labels), data.count(), seed, weight).fit(data)
+        if name == "random_forest":
+            settings = {"featuresCol": "_x", "labelCol": "_y", **({"weightCol": weight} if weight else {})}
+            model = fit_forest(data, n_rows, p["n_estimators"], seed, maxDepth=p["max_depth"] or DEEPEST, minInstancesPerNode=p["min_samples_leaf"], **settings)
+        else:
+            model = _classifier(name, p, len(labels), n_rows, seed, weight).fit(data)
     finally:
         data.unpersist()
     return Fitted(name, task, features, labels, prep, model, p, kernel)
@@ -430,7 +436,7 @@ def feature_importance(spark: SparkSession, fitted: Fitted, top: int = 10) -> Da
 
 
 REGISTRY = "experiment string, dataset string, algorithm string, artifact_type string, mode string, fold string, path string, features array<string>, labels array<string>, state string"
-READERS = {"RandomForestClassificationModel": RandomForestClassificationModel, "GBTClassificationModel": GBTClassificationModel, "LinearSVCModel": LinearSVCModel, "OneVsRestModel": OneVsRestModel}
+READERS = {"RandomForestClassificationModel": RandomForestClassificationModel, "GBTClassificationModel": GBTClassificationModel, "LinearSVCModel": LinearSVCModel, "OneVsRestModel": OneVsRestModel, "Forest": Forest}
 
 
 def save_models(spark: SparkSession, models: dict[tuple[str, str], Fitted], root: str, *, experiment: str, dataset: str, mode: str) -> DataFrame:
