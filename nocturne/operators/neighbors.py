@@ -103,17 +103,23 @@ def _unpacked():
 
 
 def _probe(queries: DataFrame, points: DataFrame, k: int, rows_per_task: int) -> DataFrame:
-    """Search the named cell for every query; crowded cells are split by query, their points repeated."""
-    load = queries.groupBy("cls", "cell").count().withColumn("parts", F.ceil(F.col("count") / rows_per_task).cast("int")).drop("count")
-    q = queries.join(load, ["cls", "cell"]).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
-    p = points.join(load, ["cls", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    by = ["cls", "cell", "part"]
+    """Search the named cell for every query: one row per query, cell and block of the cell's points.
+
+    Crowded cells are split by query and by point, so a task holds at most about ``rows_per_task`` of each.
+    """
+    split = lambda df, name: df.groupBy("cls", "cell").agg(F.ceil(F.count("*") / rows_per_task).cast("int").alias(name))
+    load = split(queries, "parts").join(split(points, "blocks"), ["cls", "cell"])
+    own = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = queries.join(load, ["cls", "cell"]).withColumn("part", own("parts")).withColumn("block", every("blocks"))
+    p = points.join(load, ["cls", "cell"]).withColumn("block", own("blocks")).withColumn("part", every("parts"))
+    by = ["cls", "cell", "part", "block"]
     # Aliases give the query side new column identities: both sides may come from one table.
-    q = q.select(*[F.col(c).alias(c) for c in ("cls", "v", "cell", "far", "part")])
+    q = q.select(*[F.col(c).alias(c) for c in ("cls", "v", "cell", "far", "part", "block")])
     # A fixed partition count keeps small but compute-heavy groups spread over all tasks.
     n = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q, p = q.repartition(n, *by), p.repartition(n, *by)
-    return q.groupBy(*by).cogroup(p.select("cls", "v", "times", "cell", "part").groupBy(*by)).applyInPandas(_search(k), FOUND).select("cls", "v", "cell", _unpacked().alias("near"))
+    return q.groupBy(*by).cogroup(p.select("cls", "v", "times", *by[1:]).groupBy(*by)).applyInPandas(_search(k), FOUND).select("cls", "v", "cell", _unpacked().alias("near"))
 
 
 def _trim(near, own, k: int):
@@ -141,7 +147,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, *, cell_points: int =
     pivots = pick_pivots(points, "cls", "v", cell_points, seed)
     spots = keep(assign_cells(points, "cls", "v", pivots))
     asked = queries.join(spots.select("cls", "v", "cell"), ["cls", "v"]).withColumn("far", F.lit(float("inf")))  # queries are points: their cells are known
-    home = _probe(asked, spots, k, rows_per_task)
+    home = _probe(asked, spots, k, rows_per_task).groupBy("cls", "v", "cell").agg(F.flatten(F.collect_list("near")).alias("near"))  # blocks of the cell together
     if max((len(p) for p in pivots.values()), default=1) == 1:
         return home.select("cls", "v", _trim(F.col("near"), F.col("v"), k).alias("near"))
 
