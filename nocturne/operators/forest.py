@@ -1,4 +1,4 @@
-"""Random forests of any size: fitted, kept and applied a few trees at a time.
+"""Random forests of any size. Of more than ``PIECE_ROWS`` rows their trees are grown inside tasks (see ``grown``), of fewer by Spark ML, a few trees at a time.
 
 A forest without a depth limit has about as many nodes as rows times trees, and Spark ML holds a model on the driver.  So a forest is fitted as
 pieces of at most ``ROW_TREES`` rows times trees (one tree at least); each piece is a Spark ML forest that is saved to the shared folder as soon
@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
+from nocturne.operators.grown import grow_forest
 from nocturne.session import shared_dir
 
+PIECE_ROWS = 1_000  # of more rows Spark ML's dense statistics of each node cost more than the rows themselves
 ROW_TREES = 100_000  # rows times trees of a piece
 ROWS_A_TASK = 100_000  # every task of a fit holds the statistics of all nodes being split, so tasks are few
+GROWN_A_TASK = 5_000  # each such row is dealt to all trees
 NODE_MEMORY_MB = 256  # for these statistics
 AT_ONCE = 8  # pieces being fitted or applied
 VOTE = float(1 << 40)  # votes are added as integers: their sum doesn't depend on the order
@@ -91,7 +94,9 @@ class Forest:
 
 
 def fit_forest(data: DataFrame, n_rows: int, n_trees: int, seed: int, **settings):
-    """A Spark ML forest where one piece holds all of it, else a ``Forest``."""
+    """A Spark ML forest where one piece holds all of it, a ``Forest``, or a ``GrownForest`` of many rows."""
+    if n_rows > PIECE_ROWS:
+        return grow_forest(data, n_rows, n_trees, seed, **settings)
     each = min(n_trees, max(1, ROW_TREES // max(n_rows, 1)))
     sizes = [min(each, n_trees - lo) for lo in range(0, n_trees, each)]
     subset = "sqrt" if n_trees > 1 else "all"
@@ -113,4 +118,4 @@ def fit_forest(data: DataFrame, n_rows: int, n_trees: int, seed: int, **settings
 
 
 def tasks_for(n_rows: int) -> int:
-    return max(1, math.ceil(n_rows / ROWS_A_TASK))
+    return max(1, math.ceil(n_rows / (GROWN_A_TASK if n_rows > PIECE_ROWS else ROWS_A_TASK)))

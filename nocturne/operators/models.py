@@ -30,6 +30,7 @@ from nocturne.operators.balance import smote_to_reference_minus, with_class_weig
 from nocturne.operators.encoding import categories
 from nocturne.operators.forest import Forest, fit_forest, tasks_for
 from nocturne.operators.filters import label_subset, task_rows, validate_binary_target, validate_cv_ready
+from nocturne.operators.grown import GrownForest
 from nocturne.operators.joins import assign_fold
 from nocturne.operators.reporting import best_params_summary, fold_metrics_summary
 from nocturne.operators.runs import RunStore
@@ -436,7 +437,7 @@ def feature_importance(spark: SparkSession, fitted: Fitted, top: int = 10) -> Da
 
 
 REGISTRY = "experiment string, dataset string, algorithm string, artifact_type string, mode string, fold string, path string, features array<string>, labels array<string>, state string"
-READERS = {"RandomForestClassificationModel": RandomForestClassificationModel, "GBTClassificationModel": GBTClassificationModel, "LinearSVCModel": LinearSVCModel, "OneVsRestModel": OneVsRestModel, "Forest": Forest}
+READERS = {"RandomForestClassificationModel": RandomForestClassificationModel, "GBTClassificationModel": GBTClassificationModel, "LinearSVCModel": LinearSVCModel, "OneVsRestModel": OneVsRestModel, "Forest": Forest, "GrownForest": GrownForest}
 
 
 def save_models(spark: SparkSession, models: dict[tuple[str, str], Fitted], root: str, *, experiment: str, dataset: str, mode: str) -> DataFrame:
