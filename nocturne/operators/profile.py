@@ -72,29 +72,68 @@ def corrected_kurtosis(n, biased):
     return F.when(n >= 4, (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * biased + 6))
 
 
+def _together(n, total, m2, m3, m4):
+    """Sums of parts (along the first axis) as those of the whole: values, their sum and their sums of squares, cubes and fourth powers about the mean."""
+    size = n.sum(0)
+    d = np.where(n > 0, total / np.maximum(n, 1) - total.sum(0) / np.maximum(size, 1), 0.0)
+    return (
+        size, total.sum(0), (m2 + n * d**2).sum(0), (m3 + 3 * d * m2 + n * d**3).sum(0),
+        (m4 + 4 * d * m3 + 6 * d**2 * m2 + n * d**4).sum(0),
+    )
+
+
+def _moments(batches):
+    """Rows (i, n, total, m2, m3, m4, lo, hi) per column and task. NaN is the largest number, as in Spark."""
+    parts, ends = [], []
+    with np.errstate(all="ignore"):
+        for batch in batches:
+            sums, sides = [], []
+            for column in batch.columns:
+                x = column.drop_null().to_numpy(zero_copy_only=False)
+                d = x - x.sum() / max(len(x), 1)
+                square = d * d
+                sums.append((len(x), x.sum(), square.sum(), (square * d).sum(), (square * square).sum()))
+                sides.append((np.fmin.reduce(x), x.max()) if len(x) else (np.nan, -np.inf))
+            parts.append(sums)
+            ends.append(sides)
+        if parts:
+            n, *sums = _together(*np.moveaxis(np.array(parts, float), -1, 0))
+            lo, hi = np.moveaxis(np.array(ends), -1, 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (np.arange(len(n)), n.astype(np.int64), *sums, np.fmin.reduce(lo), hi.max(0))], ["i", "n", "total", "m2", "m3", "m4", "lo", "hi"]
+            )
+
+
+def _shapes(df: DataFrame, names: list[str]) -> DataFrame:
+    """(i, n, mean, m2, m3, m4, lo, hi) per column with values, from one scan: sums per task, put together by their distance from the mean."""
+    parts = df.select(*[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)]).mapInArrow(_moments, "i long, n long, total double, m2 double, m3 double, m4 double, lo double, hi double")
+    whole = Window.partitionBy("i")
+    n, d = F.col("n"), F.col("d")
+    parts = parts.filter("n > 0").withColumn("d", F.col("total") / n - F.sum("total").over(whole) / F.sum("n").over(whole))
+    d2 = d * d
+    return parts.groupBy("i").agg(
+        F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"), F.sum(F.col("m2") + n * d2).alias("m2"), F.sum(F.col("m3") + 3 * d * F.col("m2") + n * d2 * d).alias("m3"),
+        F.sum(F.col("m4") + 4 * d * F.col("m3") + 6 * d2 * F.col("m2") + n * d2 * d2).alias("m4"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+    )
+
+
 def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """count, mean, median, mode, spread, range, iqr and corrected shape per numeric column."""
     names = columns or numeric_columns(df)
-    aggs = []
-    for i, c in enumerate(names):
-        x = q(c).cast("double")
-        aggs += [
-            F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"), F.var_samp(x).alias(f"var{i}"),
-            F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), F.skewness(x).alias(f"skew{i}"), F.kurtosis(x).alias(f"kurt{i}"),
-        ]
     quart, modes = quantiles_and_modes(df, names, [0.25, 0.5, 0.75])
-    cells = []
+    told = []
     for i, c in enumerate(names):
         lo, mid, hi = quart[c]
-        col = lambda s: F.col(f"{s}{i}")
-        cells.append(F.struct(
-            F.lit(c).alias("column"), col("n").alias("count"), col("mean").alias("mean"), F.lit(mid).cast("double").alias("median"),
-            F.lit(modes[c]).cast("double").alias("mode"), col("std").alias("std"), col("var").alias("var"), col("min").alias("min"),
-            col("max").alias("max"), (col("max") - col("min")).alias("range"),
-            F.lit(None if lo is None else hi - lo).cast("double").alias("iqr"),
-            corrected_skewness(col("n"), col("skew")).alias("skewness"), corrected_kurtosis(col("n"), col("kurt")).alias("kurtosis"),
-        ))
-    return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("d")).select("d.*").orderBy("column")
+        told.append((i, c, mid, None if modes[c] is None else float(modes[c]), None if lo is None else hi - lo))
+    told = df.sparkSession.createDataFrame(told, "i long, column string, median double, mode double, iqr double")
+    n = F.col("n").cast("double")
+    var = F.when(n > 1, F.col("m2") / F.nullif(n - 1, F.lit(0.0)))
+    skew = F.when(F.col("m2") != 0, F.sqrt(n) * F.col("m3") / F.sqrt(F.col("m2") * F.col("m2") * F.col("m2")))
+    kurt = F.when(F.col("m2") != 0, n * F.col("m4") / (F.col("m2") * F.col("m2")) - 3)
+    return told.join(_shapes(df, names), "i", "left").select(
+        "column", F.coalesce("n", F.lit(0)).alias("count"), "mean", "median", "mode", F.sqrt(var).alias("std"), var.alias("var"), F.col("lo").alias("min"), F.col("hi").alias("max"),
+        (F.col("hi") - F.col("lo")).alias("range"), "iqr", corrected_skewness(F.col("n"), skew).alias("skewness"), corrected_kurtosis(F.col("n"), kurt).alias("kurtosis"),
+    ).orderBy("column")
 
 
 def describe_categorical(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

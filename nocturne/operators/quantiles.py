@@ -5,7 +5,7 @@ holds a wanted rank, the keys by their leading bits above the interval's least o
 least to its largest key.  One or two passes lead to intervals that hold one value or few, which are then read off.  What travels is a table of bounded size per partition, column and interval, whatever
 the number of rows and of distinct values.
 
-The mode needs the counts of all values: they are counted per partition first and then by value.
+The mode needs the counts of all values: numbers are counted by key within a task first and then by key, others by value.
 """
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from decimal import Decimal
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -180,10 +181,54 @@ def _listing(intervals: list[tuple[int, int, int]]):
     return run
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (i, key, n): the values of each column, equal ones of a task counted together as long as few are held."""
+
+    def rows(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["i", "key", "n"])
+
+    found: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for batch in batches:
+        for i, column in enumerate(batch.columns):
+            values, n = np.unique(_signed(_keys(column)), return_counts=True)
+            entry = np.full(len(values), i, np.int64), values, n
+            if 2 * len(values) > batch.num_rows:  # mostly different: nothing to gain
+                yield rows(entry)
+            else:
+                found.append(entry)
+                size += len(values)
+        if size > 1 << 18:
+            found = [_summed(found)]
+            size = len(found[0][0])
+            if size > 1 << 17:
+                yield rows(found.pop())
+                size = 0
+    if found:
+        yield rows(_summed(found))
+
+
+def _summed(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    i, key, n = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((key, i))
+    i, key, n = i[order], key[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (key[1:] != key[:-1])))) if len(i) else order
+    return i[first], key[first], np.add.reduceat(n, first) if len(i) else n
+
+
+def _within(data: DataFrame, intervals: list[tuple[int, int, int]]) -> DataFrame:
+    """The rows with a value in one of the intervals: what the others hold stays out of Python."""
+    def inside(c: int, lo: int, hi: int) -> Column:
+        kind = data.schema[c].dataType
+        return F.col(f"c{c}").between(F.lit(_value(lo, kind)), F.lit(_value(hi, kind)))
+
+    return data.filter(reduce(Column.__or__, [inside(*i) for i in intervals]))
+
+
 def _refine(data: DataFrame, targets: list[_Target]) -> None:
     """Take the targets a pass further."""
     intervals = sorted({t.interval for t in targets})
-    counted = data.mapInArrow(_counting(intervals), "slot long, bin long, n long, least long, most long")
+    counted = _within(data, intervals).mapInArrow(_counting(intervals), "slot long, bin long, n long, least long, most long")
     bins = counted.groupBy("slot", "bin").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
     # One row per slot: its bins in order, at most 2 ** BITS; the wanted ones are picked there, so a handful of numbers per target comes back.
     lists = bins.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("bin", "n", "least", "most"))).alias("bins"))
@@ -214,7 +259,7 @@ def _refine(data: DataFrame, targets: list[_Target]) -> None:
 def _read_off(data: DataFrame, targets: list[_Target]) -> None:
     """The keys of targets whose intervals hold few values."""
     intervals = sorted({t.interval for t in targets})
-    rows = data.mapInArrow(_listing(intervals), "slot long, key long, n long").groupBy("slot", "key").agg(F.sum("n").alias("n"))
+    rows = _within(data, intervals).mapInArrow(_listing(intervals), "slot long, key long, n long").groupBy("slot", "key").agg(F.sum("n").alias("n"))
     held: dict[int, list[tuple[int, int]]] = {}
     for r in rows.collect():
         held.setdefault(r["slot"], []).append((r["key"], r["n"]))
@@ -282,7 +327,12 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
 def exact_modes(df: DataFrame, columns: list[str], as_type: str | None = None) -> dict:
     """Most frequent value per column, the smallest on ties, counted in the column's own type unless one is given."""
     found: dict = {c: None for c in columns}
-    for family, names in _by_family(df, columns, as_type).items():
+    keyed = [] if as_type else [c for c in columns if _has_key(df.schema[c].dataType)]
+    if keyed:
+        counts = df.select(*[_number(df, c) for c in keyed]).mapInArrow(_tally, "i long, key long, n long").groupBy("i", "key").agg(F.sum("n").alias("n"))
+        best = counts.groupBy("i").agg(F.min(F.struct(-F.col("n"), "key")).alias("b")).select("i", F.col("b.key").alias("key"))
+        found |= {keyed[r["i"]]: _value(r["key"] + (1 << 63), df.schema[keyed[r["i"]]].dataType) for r in best.collect()}
+    for family, names in _by_family(df, [c for c in columns if c not in keyed], as_type).items():
         best = value_counts(df, names, family).groupBy("name").agg(F.min(F.struct(-F.col("cnt"), "value")).alias("b"))
         found |= {r["name"]: r["v"] for r in best.select("name", F.col("b.value").alias("v")).collect()}
     return found

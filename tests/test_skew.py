@@ -229,3 +229,31 @@ def test_segment_cap_follows_path_order(spark, tmp_path):
     seen = paths[: paths.index(ok[4])]  # files are looked at until the next usable one would exceed the cap
     row = report.first()
     assert (row["n_files_used"], row["n_files_skipped"]) == (4, len(seen) - 4)
+
+
+def test_describe_takes_one_narrow_scan(spark):
+    """Moments come from one Arrow scan with sums per task, not from a wide row of aggregates; beside NumPy, with nulls, NaN, constants, an offset and no values."""
+    rnd = np.random.default_rng(5)
+    n = 4_000
+    made = pd.DataFrame({"far": 1e6 + rnd.exponential(size=n), "few": rnd.integers(0, 3, n), "same": np.full(n, 2.5), "holes": rnd.normal(size=n)})
+    df = spark.createDataFrame(made).repartition(7).withColumn("holes", F.when(F.col("few") != 0, F.col("holes"))).withColumn("none", F.lit(None).cast("double"))
+    out = profile.describe_numeric(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "kurtosis(" not in plan
+    got = {r["column"]: r.asDict() for r in out.collect()}
+    holes = made["holes"][made["few"] != 0]
+    for c, x in {"far": made["far"], "few": made["few"], "holes": holes}.items():
+        want = {"count": len(x), "mean": x.mean(), "median": x.median(), "mode": float(x.mode()[0]), "std": x.std(), "var": x.var(), "min": x.min(), "max": x.max(), "skewness": x.skew(), "kurtosis": x.kurt()}
+        for k, v in want.items():
+            assert got[c][k] == pytest.approx(v, rel=1e-8), (c, k)
+    assert (got["same"]["var"], got["same"]["skewness"], got["same"]["kurtosis"], got["same"]["mode"]) == (0.0, None, None, 2.5)
+    assert got["none"]["count"] == 0 and all(got["none"][k] is None for k in ("mean", "mode", "median", "std", "min", "max", "range", "skewness"))
+    odd = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (float("inf"),)], "x double")
+    seen = profile.describe_numeric(odd).first()
+    assert (seen["count"], seen["min"]) == (3, 1.0) and math.isnan(seen["max"]) and math.isnan(seen["mean"])
+    assert profile.describe_numeric(odd.limit(0)).first()["count"] == 0
+
+
+def test_modes_counted_in_tasks_first(spark):
+    df = spark.range(300_000, numPartitions=3).select((F.col("id") % 7).alias("few"), F.when(F.col("id") % 3 == 0, -0.0).otherwise(F.col("id") * 1.5).alias("many"), (F.col("id") % 2 == 0).alias("flag"), F.lit(None).cast("int").alias("none"))
+    assert quantiles.exact_modes(df, df.columns) == {"few": 0, "many": 0.0, "flag": 0.0, "none": None}
