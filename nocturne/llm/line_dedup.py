@@ -66,28 +66,24 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     return F.aggregate(columns, start, column, lambda s: s["cost"])
 
 
-def _segment(length: Column, i: int, segments: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of a segment of a line of that length."""
-    lo, hi = F.floor(length * i / segments), F.floor(length * (i + 1) / segments)
-    return lo.cast("int"), (hi - lo).cast("int")
-
-
-def _keys(threshold: int, min_chars: int) -> tuple[Column, Column]:
-    """The keys a line is indexed under and those it probes, as arrays."""
-    n, segments = F.col("n"), threshold + 1
-    key = lambda length, i, start, size: F.xxhash64(length, F.lit(i), F.substring(F.col("line"), start + 1, size))
-    indexed = [key(n, i, *_segment(n, i, segments)) for i in range(segments)]
-    probes = []
-    for less in range(threshold + 1):  # the other line is so much shorter
-        short = (n - less).cast("int")
-        for i in range(segments):
-            lo, size = _segment(short, i, segments)
-            # At most i edits before the segment and threshold - i behind it, if no earlier segment matches.
-            for move in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1):
-                start = lo + move
-                fits = (short >= min_chars) & (start >= 0) & (start + size <= n)
-                probes.append(F.when(fits, key(short, i, start, size)))
-    return F.array(*indexed), F.array_compact(F.array(*probes))
+def _keyed(lines: DataFrame, threshold: int, min_chars: int, *, probe: bool) -> DataFrame:
+    """The lines with each ``key`` they are indexed under or probe: one row per key, from a table of (less, i, move), so the key is one short expression.
+
+    A key is segment i of a line that is ``less`` shorter, ``move`` places from where it stands there. At most i edits lie before the segment and
+    threshold - i behind it, if no earlier segment matches.
+    """
+    places = [
+        (less, i, move)
+        for less in range(threshold + 1 if probe else 1) for i in range(threshold + 1)
+        for move in (range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1) if probe else [0])
+    ]
+    table = F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip(("less", "i", "move"), place)]) for place in places])
+    rows = lines.withColumn("_p", F.explode(table))
+    n, i = (F.col("n") - F.col("_p.less")).cast("int"), F.col("_p.i")
+    lo, hi = F.floor(n * i / (threshold + 1)).cast("int"), F.floor(n * (i + 1) / (threshold + 1)).cast("int")
+    start, size = lo + F.col("_p.move"), hi - lo
+    fits = (n >= min_chars) & (start >= 0) & (start + size <= F.col("n"))
+    return rows.filter(fits).withColumn("key", F.xxhash64(n, i, F.substring(F.col("line"), start + 1, size))).drop("_p")
 
 
 def _signature(line: Column) -> Column:
@@ -109,9 +105,8 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 def similar_lines(distinct: DataFrame, threshold: int, min_chars: int) -> DataFrame:
     """(a, b, a_at, b_at, distance): distinct lines (id, at, line, n, sign) within the threshold; a stands before b."""
-    index, probes = _keys(threshold, min_chars)
-    left = distinct.select("id", "sign", F.explode(index).alias("key"))
-    right = distinct.select(F.col("id").alias("other"), F.col("sign").alias("other_sign"), F.explode(probes).alias("key"))
+    left = _keyed(distinct, threshold, min_chars, probe=False).select("id", "sign", "key")
+    right = _keyed(distinct, threshold, min_chars, probe=True).select(F.col("id").alias("other"), F.col("sign").alias("other_sign"), "key")
     close = F.bit_count(F.col("sign").bitwiseXOR(F.col("other_sign"))) <= 2 * threshold
     pairs = materialize(left.join(right, "key").filter((F.col("id") != F.col("other")) & close).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
