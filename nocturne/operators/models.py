@@ -6,6 +6,7 @@ prediction is a distributed job.  A tree's levels are one job after the other, s
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -49,6 +50,7 @@ FALLBACK_SCORING = {"multiclass": "macro_f1", "binary": "auc_roc"}
 DEEPEST = 30  # the deepest tree Spark ML grows
 MOST_FITS = 4  # fits side by side
 NODE_MEMORY_MB = 512  # for the statistics of the nodes that a job of a tree fit splits
+BOOSTED_A_TASK = 30_000  # rows; boosting is some hundred short jobs, and a task of few rows costs more to start than to run
 
 
 class FitError(ValueError):
@@ -182,6 +184,8 @@ def fit_model(train: DataFrame, features: list[str], target: str, name: str, par
     n_rows = ready.count()
     if name == "random_forest":
         data = data.repartition(tasks_for(n_rows))
+    elif name == "boosted_trees":
+        data = data.repartition(max(1, math.ceil(n_rows / BOOSTED_A_TASK)))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)  # every step of a fit reads it
     try:
         if name == "random_forest":
