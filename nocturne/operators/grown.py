@@ -44,15 +44,42 @@ def _part(v: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->j", v, v) / np.maximum(weight, 1e-300)
 
 
+def _dense(at: np.ndarray, bins: np.ndarray, y: np.ndarray, w: np.ndarray, count: int, width: int, classes: int) -> tuple[np.ndarray, ...]:
+    """(node, bin, rows, class weights) up to each bin of each node, from a histogram; also behind bins that no row has, which cut as the bin before does."""
+    cell = at * width + bins
+    left = np.bincount(y * (count * width) + cell, w, classes * count * width).reshape(classes, count, width).cumsum(2)[:, :, :-1]
+    rows = np.bincount(cell, minlength=count * width).reshape(count, width).cumsum(1)[:, :-1]
+    return np.repeat(np.arange(count), width - 1), np.tile(np.arange(width - 1), count), rows.ravel(), left.reshape(classes, -1)
+
+
+def _sparse(at: np.ndarray, bins: np.ndarray, y: np.ndarray, w: np.ndarray, count: int, width: int, classes: int) -> tuple[np.ndarray, ...]:
+    """The same from sorted rows, at bins that a node has but its last: for nodes of few rows."""
+    shift = int(len(at)).bit_length()
+    key = np.sort(((at * width + bins) << shift) | np.arange(len(at)))  # sorting numbers is faster than sorting places by them
+    row = key & ((1 << shift) - 1)
+    key >>= shift
+    end = np.append(np.flatnonzero(key[1:] != key[:-1]), len(key) - 1)  # the last row of each bin
+    cell = np.repeat(np.arange(len(end)), np.diff(end, prepend=-1))
+    upto = np.bincount(y[row] * len(end) + cell, w[row], classes * len(end)).reshape(classes, -1).cumsum(1)
+    node, bin_ = np.divmod(key[end], width)
+    more = node[1:] == node[:-1]
+    first = np.searchsorted(node, np.arange(count))  # each node's first cell
+    base = np.zeros((classes, count))
+    base[:, 1:] = upto[:, first[1:] - 1]
+    last = np.flatnonzero(more)
+    own = node[last]
+    return own, bin_[last], end[last] + 1 - (end[first - 1] + 1)[own] * (first > 0)[own], upto[:, last] - base[:, own]
+
+
 def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, depth: int, least: int, tried: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
     """A tree of bins, all nodes of a level at a time. Node i has its feature (-1: a leaf), cut (to the left up to it), first child (the right one is next) and class weights."""
     n, p = x.shape
-    flat, mass = x.ravel(), np.zeros((classes, n))
-    mass[y, np.arange(n)] = w
+    flat, width = x.ravel(), max(2, int(x.max(initial=0)) + 1)
+    y = y.astype(np.int64)
     gains, levels = np.zeros(p), []
     rows, node, count, made = np.arange(n), np.zeros(n, np.int64), 1, 1  # rows lie by node
     for level in range(depth + 1):
-        total = np.stack([np.bincount(node, m[rows], count) for m in mass])
+        total = np.bincount(y[rows] * count + node, w[rows], classes * count).reshape(classes, count)
         size = np.bincount(node, minlength=count)
         feature, cut, child = np.full(count, -1, np.int32), np.zeros(count, np.int32), np.zeros(count, np.int32)
         levels.append((feature, cut, child, total.T))
@@ -61,35 +88,30 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, depth: int,
             break
         ids, total, size = np.flatnonzero(wanted), total[:, wanted], size[wanted]
         rows, at = rows[wanted[node]], np.repeat(np.arange(len(ids)), size)
-        first, weight = np.cumsum(size) - size, total.sum(0)
-        spread, heavy = np.repeat(total, size, 1), np.repeat(weight, size)
-        k = np.arange(1, len(rows) + 1) - first[at]
-        able = (k >= least) & (size[at] - k >= least)
+        weight = total.sum(0)
         tries = np.argsort(rng.random((len(ids), p)), axis=1)[:, :tried]
         best, whole = np.zeros(len(ids)), _part(total, weight)
+        places, own_y, own_w = rows * p, y[rows], w[rows]
+        cuts = _dense if len(ids) * width <= 2 * len(rows) else _sparse
         for j in range(tried):
-            bins = flat[rows * p + tries[at, j]]
-            order = np.argsort(at * 256 + bins, kind="stable")
-            r, bins = rows[order], bins[order]
-            upto = np.cumsum(mass[:, r], axis=1)
-            before = np.zeros((classes, len(ids)))
-            before[:, 1:] = upto[:, first[1:] - 1]
-            last = np.flatnonzero(able[:-1] & (bins[:-1] != bins[1:]) & (at[:-1] == at[1:]))  # rows behind which a cut is possible
-            if not len(last):
+            at_node, bins, k, left = cuts(at, flat[places + np.repeat(tries[:, j], size)].astype(np.int64), own_y, own_w, len(ids), width, classes)
+            able = (k >= least) & (size[at_node] - k >= least)
+            if not able.all():
+                at_node, bins, left = at_node[able], bins[able], left[:, able]
+            if not len(bins):
                 continue
-            left = upto[:, last] - before[:, at[last]]
             lw = left.sum(0)
-            score = _part(left, lw) + _part(spread[:, last] - left, heavy[last] - lw)
-            begin = np.flatnonzero(np.concatenate(([True], at[last[1:]] != at[last[:-1]])))
-            own = at[last[begin]]
+            score = _part(left, lw) + _part(total[:, at_node] - left, weight[at_node] - lw)
+            begin = np.flatnonzero(np.concatenate(([True], at_node[1:] != at_node[:-1])))
+            own = at_node[begin]
             top = np.maximum.reduceat(score, begin)
-            hit = np.flatnonzero(score == np.repeat(top, np.diff(np.append(begin, len(last)))))
+            hit = np.flatnonzero(score == np.repeat(top, np.diff(np.append(begin, len(bins)))))
             spot = hit[np.searchsorted(hit, begin)]  # the first best one of each node
             gain = top - whole[own]
             better = gain > np.maximum(best[own], 1e-9 * weight[own])
             own = own[better]
             best[own] = gain[better]
-            feature[ids[own]], cut[ids[own]] = tries[own, j], bins[last[spot[better]]]
+            feature[ids[own]], cut[ids[own]] = tries[own, j], bins[spot[better]]
         split = np.flatnonzero(feature >= 0)
         if not len(split):
             break
@@ -115,8 +137,32 @@ def walk(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, child: np.ndarray,
     return at
 
 
-def _bag(column: pa.Array, trees: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, trees)
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # xxHash's numbers
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    return h ^ (h >> np.uint64(32))
+
+
+def _with_int(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return _mixed(_turned((h + P5 + np.uint64(4)) ^ (x.astype(np.uint32).astype(np.uint64) * P1), 23) * P2 + P3)
+
+
+def bags(row: np.ndarray, trees: int, seed: int) -> np.ndarray:
+    """How often each row is in the bag of each tree: ``_draw`` for all trees, in numpy, since Spark works out a lambda cell by cell."""
+    first = np.uint64(42) + P5 + np.uint64(8)  # Spark's xxhash64 begins with 42
+    h = _mixed(_turned(first ^ (_turned(row.astype(np.int64).view(np.uint64) * P2, 31) * P1), 27) * P1 + P4)
+    out = np.empty((len(row), trees), np.uint8)
+    for t in range(trees):
+        u = (_with_int(_with_int(h, np.array([t])), np.array([seed])) & np.uint64((1 << 53) - 1)) / float(1 << 53)
+        out[:, t] = np.searchsorted(DRAWS, u, side="right")
+    return out
 
 
 def _binned(rows: DataFrame, edges: list[list[float]]) -> DataFrame:
@@ -181,12 +227,13 @@ class Top:
         able = (self.feature < 0) & (self.level < depth)
 
         def sizes(batches):
+            n = np.zeros(len(able), np.int64)
             for batch in batches:
-                at, bag = self.nodes(_matrix(batch.column("x"), p)), _bag(batch.column("bag"), trees)
-                n = np.bincount(at[bag > 0], minlength=len(able))
-                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], ["node", "n"])
+                at, bag = self.nodes(_matrix(batch.column("x"), p)), bags(batch.column("row").to_numpy(), trees, seed)
+                n += np.bincount(at[bag > 0], minlength=len(able))
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], ["node", "n"])
 
-        held = {r["node"]: r["n"] for r in rows.select("x", "bag").mapInArrow(sizes, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()}
+        held = {r["node"]: r["n"] for r in rows.select("x", "row").mapInArrow(sizes, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()}
         large = np.array(sorted(i for i, n in held.items() if n > LOCAL_ROWS and able[i] and i not in self.done), int)
         if not len(large):
             return False
@@ -195,17 +242,19 @@ class Top:
 
         def counts(batches):
             cells = len(large) * tried * BINS * classes
+            found = np.zeros((2, cells))  # one sum for each cell and task
             for batch in batches:
-                bins, bag = _matrix(batch.column("x"), p), _bag(batch.column("bag"), trees)
+                bins, bag = _matrix(batch.column("x"), p), bags(batch.column("row").to_numpy(), trees, seed)
                 y, w = (batch.column(c).to_numpy() for c in ("y", "w"))
                 at = self.nodes(bins)
                 row, tree = np.nonzero((bag > 0) & (slot[at] >= 0))
-                s, found = slot[at[row, tree]], np.zeros((2, cells))
+                s = slot[at[row, tree]]
                 for j in range(tried):
                     cell = ((s * tried + j) * BINS + bins[row, tries[large][s, j]]) * classes + y[row]
                     found[0] += np.bincount(cell, bag[row, tree] * w[row], cells)
                     found[1] += np.bincount(cell, minlength=cells)
-                there = np.flatnonzero(found[1])
+            there = np.flatnonzero(found[1])
+            if len(there):
                 yield pa.RecordBatch.from_arrays([pa.array(there // (tried * BINS * classes)), pa.array(there), pa.array(found[0][there]), pa.array(found[1][there])], ["slot", "cell", "w", "n"])
 
         def pick(key, table):
@@ -322,8 +371,7 @@ def grow_forest(data: DataFrame, n_rows: int, n_trees: int, seed: int, *, featur
     tried = max(1, math.ceil(math.sqrt(p))) if n_trees > 1 else p
     top = Top(n_trees, p)
     if n_rows * (1 - math.exp(-1)) > LOCAL_ROWS * 0.9:
-        bag = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: _draw(F.col("row"), t, seed))
-        top.fit(rows.select("x", "y", "w", bag.alias("bag")), classes, maxDepth, minInstancesPerNode, tried, seed)
+        top.fit(rows.select("x", "y", "w", "row"), classes, maxDepth, minInstancesPerNode, tried, seed)
     drawn = _draw(F.col("row"), F.col("tree"), seed)
     bags = top.dealt(rows).withColumn("k", drawn).filter("k > 0").select("tree", "node", "x", "y", (F.col("k") * F.col("w")).alias("w"))
     levels = top.level

@@ -75,3 +75,27 @@ def test_rows_of_a_prediction_come_in_lots(noisy, monkeypatch):
     monkeypatch.setattr(grown, "LOCAL_ROWS", 1)
     m.model.rows = 100
     assert {r.id: r.y_pred for r in models.predict(m, noisy, keep=["id"]).collect()} == whole
+
+
+def test_bags_are_the_draws_of_spark(spark):
+    """The driver's nodes and the tasks' trees go by the same bags: numpy's hash is Spark's."""
+    rows = spark.range(-3, 500).select((F.col("id") * 1_234_567_891_011).alias("row"))
+    told = rows.select("row", F.array(*[grown._draw(F.col("row"), F.lit(t), 42) for t in range(7)]).alias("k")).toPandas()
+    assert (grown.bags(told["row"].to_numpy(), 7, 42) == np.stack(told["k"].to_numpy())).all()
+
+
+def test_cuts_of_both_kinds_agree():
+    """A level's cuts are the same from histograms as from sorted rows, with integer weights to the last bit."""
+    rng = np.random.default_rng(3)
+    x, y, w = rng.integers(0, 32, (3_000, 6)).astype(np.uint8), rng.integers(0, 3, 3_000), rng.integers(1, 4, 3_000).astype(float)
+    made = []
+    dense, sparse = grown._dense, grown._sparse
+    for least in (1, 5):
+        for one in (dense, sparse):
+            grown._dense = grown._sparse = one
+            try:
+                made.append(grown.grow(x, y, w, 3, 30, least, 3, np.random.default_rng(1)))
+            finally:
+                grown._dense, grown._sparse = dense, sparse
+    for a, b in (made[:2], made[2:]):
+        assert all((a[k] == b[k]).all() for k in a)
