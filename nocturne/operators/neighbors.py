@@ -20,6 +20,7 @@ from nocturne.session import keep
 CELL_POINTS = 512
 MAX_PIVOTS = 1024
 CHUNK = 512
+AT_ONCE = 500_000  # distances that a task holds
 
 
 def merged_points(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -79,11 +80,11 @@ def _search(k: int):
             return _rows([], [], [], [], [], [])
         base, times = np.stack(points["v"].to_numpy()).astype(float), points["times"].to_numpy()
         rows = np.stack(queries["v"].to_numpy()).astype(float)
-        chunk, m = max(1, 2_000_000 // len(base)), min(k + 1, len(base))
+        chunk, m = max(1, AT_ONCE // len(base)), min(k + 1, len(base))
         d, at = [], []
         for lo in range(0, len(rows), chunk):
             far = _distances(rows[lo : lo + chunk], base)
-            best = np.argpartition(far, m - 1, axis=1)[:, :m]
+            best = np.argpartition(far, m - 1, axis=1)[:, :m].copy()  # a view would hold the places of all points
             d.append(np.take_along_axis(far, best, axis=1))
             at.append(best)
         d, at = np.concatenate(d), np.concatenate(at)

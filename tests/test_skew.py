@@ -257,3 +257,25 @@ def test_describe_takes_one_narrow_scan(spark):
 def test_modes_counted_in_tasks_first(spark):
     df = spark.range(300_000, numPartitions=3).select((F.col("id") % 7).alias("few"), F.when(F.col("id") % 3 == 0, -0.0).otherwise(F.col("id") * 1.5).alias("many"), (F.col("id") % 2 == 0).alias("flag"), F.lit(None).cast("int").alias("none"))
     assert quantiles.exact_modes(df, df.columns) == {"few": 0, "many": 0.0, "flag": 0.0, "none": None}
+
+
+def test_neighbour_search_holds_one_chunk_of_distances():
+    """What a task holds doesn't grow with queries times points: only the nearest of each query are kept."""
+    import tracemalloc
+
+    from nocturne.operators import neighbors
+
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=(4_000, 2)), 3)
+    points = pd.DataFrame({"v": list(v), "times": 1})
+    queries = pd.DataFrame({"cls": "a", "v": list(v[:2_000]), "cell": 0, "far": np.inf})
+    search = neighbors._search(5)
+    tracemalloc.start()
+    try:
+        found = search(queries, points)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 30e6, peak  # all places together are 64 MB
+    for i in (0, 77, 1_999):
+        assert np.allclose(np.sort(found["d"][i]), np.sort(np.sqrt(((v - v[i]) ** 2).sum(1)))[:6])
