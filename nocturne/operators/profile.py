@@ -188,7 +188,9 @@ def _ranks(long: DataFrame) -> DataFrame:
     Rows are ranked per (v, range of values); what earlier ranges hold is added from a small table.  Only values at the ends of ranges can stand in
     several of them, and these are counted over all ranges, so a value that most rows share is ranked in many tasks.
     """
-    cut = keep(with_range(long, ["v", "x", "row"]))
+    path = shared_dir(long.sparkSession)
+    with_range(long, ["v", "x", "row"]).write.parquet(path)  # read three times; kept in executors it would be a row per value there, in blocks as large as its partitions
+    cut = long.sparkSession.read.parquet(path)
     parts = cut.groupBy("v", "_range").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("v").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = keep(parts.withColumn("ahead", ahead))  # one row per cut point and v at most
@@ -229,7 +231,8 @@ def correlation_spearman(df: DataFrame, columns: list[str] | None = None) -> Dat
     long = rows.select("row", F.explode(cells).alias("c")).select("row", "c.*").filter("x is not null")
     ranks = _ranks(long)
     sizes = {r["v"]: r["count"] for r in long.groupBy("v").count().collect()}
-    wide = ranks.groupBy("row").agg(*[F.max(F.when(F.col("v") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(wanted))]).drop("row")
+    # A row's ranks come from as many tasks as it has columns: brought together first, since sums per task before that would be wide rows for nothing.
+    wide = ranks.repartition("row").groupBy("row").agg(*[F.max(F.when(F.col("v") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(wanted))]).drop("row")
     shift = [(sizes.get(i, 0) + 1) / 2 for i in range(len(wanted))]  # the mean rank
     parts = wide.mapInArrow(_pair_sums([f"r{i}" for i in range(len(wanted))], shift), "i long, j long, n double, x double, y double, xx double, yy double, xy double")
     pairs = [(number[mask(a, b)], number[mask(b, a)], names[a], names[b]) for a, b in combinations(range(len(names)), 2)]

@@ -279,3 +279,16 @@ def test_neighbour_search_holds_one_chunk_of_distances():
     assert peak < 30e6, peak  # all places together are 64 MB
     for i in (0, 77, 1_999):
         assert np.allclose(np.sort(found["d"][i]), np.sort(np.sqrt(((v - v[i]) ** 2).sum(1)))[:6])
+
+
+def test_spearman_keeps_no_row_per_value_in_executors(spark, monkeypatch):
+    """A row per value and column is written to the shared folder; only tables of the ranges are kept. A row's ranks meet before they are summed."""
+    kept, real = [], profile.keep
+    monkeypatch.setattr(profile, "keep", lambda df: kept.append(df.columns) or real(df))
+    rng = np.random.default_rng(4)
+    made = pd.DataFrame({"a": rng.integers(0, 9, 500) * 1.0, "b": rng.normal(size=500), "c": rng.normal(size=500)})
+    out = profile.correlation_spearman(spark.createDataFrame(made))
+    got = {(r.column_a, r.column_b): r.r for r in out.collect()}
+    want = made.rank().corr()
+    assert len(got) == 3 and all(abs(want.loc[a, b] - r) < 1e-9 for (a, b), r in got.items())
+    assert kept and not any("row" in names for names in kept)
